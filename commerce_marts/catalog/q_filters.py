@@ -81,9 +81,9 @@ def _(t):
 
 
 @query("F14_document_filter", """SELECT document_id, filename, document_type, status, created_at FROM r_documents
-    WHERE document_type = 'src7' AND status = 'indexed' ORDER BY created_at DESC, document_id DESC LIMIT 100""")
+    WHERE document_type = 'src1' AND status = 'indexed' ORDER BY created_at DESC, document_id DESC LIMIT 100""")
 def _(t):
-    return filters.filter_documents(t.documents, "src7", "indexed").drop("text", "lang")
+    return filters.filter_documents(t.documents, "src1", "indexed").drop("text", "lang")
 
 
 @query("F15_active_sessions", """SELECT * FROM r_sessions WHERE is_active AND last_activity >= EV_AS_OF - INTERVAL 24 HOUR

@@ -126,7 +126,7 @@ def _(t):
 
 @query("J12_copurchase_large_orders", COPURCHASE)
 def _(t):
-    return recommend.copurchase(t.order_items, t.products, 4, large=8)
+    return recommend.copurchase(t.order_items, t.products, 4, large=4)
 
 
 @query("J13_category_neighbours", """SELECT p.id AS product_id, q.id AS other_id, row_number() OVER (PARTITION BY p.id ORDER BY q.id) AS rank

@@ -3,7 +3,8 @@
 A query is a function of :class:`Retail`. Its SQL may use the canonical tables ``r_users``,
 ``r_orders`` ... (added as CTEs when named) and a few shorthands that are expanded to plain SQL:
 ``msum(x)`` and ``mavg(x)`` for fixed-point money sums and averages, ``psum(x)`` with four decimals,
-``AS_OF`` and ``EV_AS_OF`` for the midnight after the newest order or event.
+``AS_OF`` and ``EV_AS_OF`` for the midnight after the newest order or event, ``NOON`` for noon of the
+last order day.
 """
 
 from __future__ import annotations
@@ -67,7 +68,9 @@ CTES = {
             WHEN 'O' THEN 'Pending' ELSE CASE WHEN o_orderpriority = '5-LOW' THEN 'Failed' ELSE 'Pending' END END AS payment_status,
         CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '3-MEDIUM' AND o_orderkey % 10 = 0 THEN 'Approved'
             ELSE 'Not Requested' END AS return_status,
-        o_orderdate + to_seconds((o_orderkey * 7919) % 86400) AS created_at FROM orders""",
+        o_orderdate + to_seconds((o_orderkey * 7919) % 86400) AS created_at,
+        CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '5-LOW' THEN
+            o_orderdate + to_seconds((o_orderkey * 7919) % 86400 + (o_orderkey * 13) % 900) END AS cancelled_at FROM orders""",
     "r_items": """SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS order_id, l_partkey AS product_id,
         'Item ' || l_partkey AS product_name,
         CASE l_linenumber % 3 WHEN 0 THEN 'S' WHEN 1 THEN 'M' ELSE 'L' END AS size,
@@ -177,6 +180,7 @@ def oracle_text(body: str) -> str:
     text = head + body
     text = re.sub(r"\bEV_AS_OF\b", "(SELECT date_trunc('day', max(ts)) + INTERVAL 1 DAY FROM events)", text)
     text = re.sub(r"\bAS_OF\b", "(SELECT max(o_orderdate) + INTERVAL 1 DAY FROM orders)", text)
+    text = re.sub(r"\bNOON\b", "(SELECT max(o_orderdate) + INTERVAL 12 HOUR FROM orders)", text)
     return _expand_calls(text)
 
 

@@ -155,5 +155,3 @@ def new_rows(candidates: DataFrame, existing: DataFrame, keys: list[str]) -> Dat
     return candidates.join(existing.select(*keys), keys, "left_anti")
 
 
-def share_within(df: DataFrame, keys: list[str], value: str) -> Column:
-    return F.col(value) / F.sum(value).over(Window.partitionBy(*keys))

@@ -272,5 +272,3 @@ def trailing_count(df: DataFrame, key: str, ts: str, seconds: int, out: str) ->
     return both.withColumn(out, F.count(F.lit(1)).over(w)).filter(F.col("_at") == F.col("_slot")).drop("_micros", "_slot", "_at")
 
 
-def daily_series(df: DataFrame, ts: str) -> Column:
-    return day(ts)

@@ -49,6 +49,11 @@ class Retail:
         newest = self.raw("orders").agg(F.expr("max(o_orderdate) + interval 1 day").alias("as_of"))
         return newest.scalar()
 
+    @cached_property
+    def noon(self) -> Column:
+        """Noon of the day of the newest order, so that "today" has orders."""
+        return self.raw("orders").agg(F.expr("max(o_orderdate) + interval 12 hours").alias("noon")).scalar()
+
     @cached_property
     def events_as_of(self) -> Column:
         newest = self.raw("events").agg(F.expr("cast(date_add(cast(max(ts) as date), 1) as timestamp_ntz)").alias("as_of"))
@@ -111,6 +116,8 @@ class Retail:
             "CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '3-MEDIUM' AND o_orderkey % 10 = 0 THEN 'Approved' "
             "ELSE 'Not Requested' END AS return_status",
             "o_orderdate + make_dt_interval(0, 0, 0, cast((o_orderkey * 7919) % 86400 AS int)) AS created_at",
+            "CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '5-LOW' THEN o_orderdate + make_dt_interval(0, 0, 0, "
+            "cast((o_orderkey * 7919) % 86400 + (o_orderkey * 13) % 900 AS int)) END AS cancelled_at",
         )
 
     @cached_property
