@@ -232,8 +232,8 @@ def _(t):
 
 
 @query("N13_remove_outliers_zscore", """SELECT date, product_id, quantity FROM (SELECT created_at::date AS date, product_id, sum(quantity)::bigint AS quantity FROM s_items_user
-    WHERE status IN ('Delivered', 'Shipped') GROUP BY 1, 2) QUALIFY count(*) OVER w < 10
-    OR abs((quantity - avg(quantity) OVER w) / nullif(stddev_samp(quantity) OVER w, 0)) < 3 WINDOW w AS (PARTITION BY product_id)""")
+    WHERE status IN ('Delivered', 'Shipped') GROUP BY 1, 2) WINDOW w AS (PARTITION BY product_id) QUALIFY count(*) OVER w < 10
+    OR abs((quantity - avg(quantity) OVER w) / nullif(stddev_samp(quantity) OVER w, 0)) < 3""")
 def _(t):
     series = metrics.product_series(t.orders, t.order_items, t.as_of, None)
     return anomaly.remove_outliers(series, "quantity", "zscore", ["product_id"])

@@ -49,5 +49,9 @@ def count_if(cond: Column) -> Column:
 
 
 def some_of(*flags: tuple[Column, Column]) -> Column:
-    """Array of the values whose condition holds, in the given order."""
-    return F.filter(F.array(*[F.when(cond, value) for cond, value in flags]), lambda x: x.isNotNull())
+    """Array of the values whose condition holds, in the given order.
+
+    Built from slices of one-element arrays, which stay in generated code and may use subqueries.
+    """
+    parts = [F.slice(F.array(F.when(cond, value)), F.lit(1), F.when(cond, 1).otherwise(0)) for cond, value in flags]
+    return F.concat(*parts)

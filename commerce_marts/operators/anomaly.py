@@ -16,6 +16,7 @@ from ..functions import fixed_values as fv
 from ..functions.money import as_col, count_if, money_avg, money_sum, ratio, some_of
 from ..functions.timeutil import AsOf, ago, as_of_ts, day, seconds_between, since, whole_days
 from . import ordered
+from .onerow import beside
 
 SHAPE = ["order_number", "user_id", "type", "severity", "risk_score", "reason", "reasons", "amount", "created_at", "detection_method"]
 
@@ -48,17 +49,16 @@ def recent_or_all(orders: DataFrame, as_of: AsOf, days: int = 30, small: int = 3
     return orders.filter((total < small) | since("created_at", as_of, days=days))
 
 
-def amount_stats(orders: DataFrame, quartiles: bool = False) -> Column:
-    """One struct with n, mean, population deviation, bounds and optionally the indexed quartiles."""
+def amount_stats(orders: DataFrame, quartiles: bool = False) -> DataFrame:
+    """One row with a struct ``_s``: n, mean, population deviation, bounds and optionally the indexed quartiles."""
     base = orders.agg(
         F.count(F.lit(1)).alias("n"), money_avg("total_amount").alias("mean"), F.stddev_pop("total_amount").alias("std"),
         F.min("total_amount").alias("lo"), F.max("total_amount").alias("hi"),
     )
     if quartiles:
         ranks = {"q1": ordered.index_quantile(0.25), "q3": ordered.index_quantile(0.75)}
-        packed = ordered.values_at_ranks(orders, "total_amount", ranks).select(F.struct("q1", "q3").alias("q")).scalar()
-        base = base.withColumns({"q1": packed.getField("q1"), "q3": packed.getField("q3")})
-    return base.select(F.struct(*base.columns).alias("s")).scalar()
+        base = beside(base, ordered.values_at_ranks(orders, "total_amount", ranks))
+    return base.select(F.struct(*base.columns).alias("_s"))
 
 
 def _shaped(df: DataFrame, kind: str, method: str, *extra: str) -> DataFrame:
@@ -68,7 +68,8 @@ def _shaped(df: DataFrame, kind: str, method: str, *extra: str) -> DataFrame:
 def order_outliers(orders: DataFrame, as_of: AsOf) -> DataFrame:
     """Outliers by z-score with size-dependent thresholds, quartile fences and multiples of the mean."""
     kept = recent_or_all(orders, as_of)
-    s = amount_stats(kept, quartiles=True)
+    kept = beside(kept, amount_stats(kept, quartiles=True))
+    s = F.col("_s")
     n, mean, std = s.getField("n"), s.getField("mean"), s.getField("std")
     spread = s.getField("q3") - s.getField("q1")
     upper, lower = s.getField("q3") + spread * 1.5, s.getField("q1") - spread * 1.5
@@ -99,19 +100,19 @@ def order_outliers(orders: DataFrame, as_of: AsOf) -> DataFrame:
 
 def global_zscores(daily: DataFrame, limit: float = 2.5) -> DataFrame:
     """z-score of each day against the whole series (sample deviation, floor 1); needs more than 7 days."""
-    s = daily.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("total_revenue").alias("m"), F.stddev_samp("total_revenue").alias("d")).alias("s")).scalar()
-    z = (F.col("total_revenue") - s.getField("m")) / F.greatest(s.getField("d"), F.lit(1.0))
+    stats = daily.agg(F.count(F.lit(1)).alias("_n"), F.avg("total_revenue").alias("_m"), F.stddev_samp("total_revenue").alias("_d"))
+    z = (F.col("total_revenue") - F.col("_m")) / F.greatest(F.col("_d"), F.lit(1.0))
     size = F.abs("revenue_zscore")
-    return daily.filter(s.getField("n") > 7).select("created_at", "total_revenue", "total_orders", z.alias("revenue_zscore")).withColumns(
+    return beside(daily, stats).filter("_n > 7").select("created_at", "total_revenue", "total_orders", z.alias("revenue_zscore")).withColumns(
         {"is_anomaly": size > limit, "severity": F.when(size > 3, "High").when(size > limit, "Medium").otherwise("Low")}
     )
 
 
 def series_anomalies(series: DataFrame, limit: float = 2.5) -> DataFrame:
     """Rows of a (date, revenue, orders) series at ``limit`` population deviations or more."""
-    s = series.agg(F.struct(F.avg("revenue").alias("m"), F.stddev_pop("revenue").alias("d")).alias("s")).scalar()
-    z = F.abs(ratio(F.col("revenue") - s.getField("m"), s.getField("d")))
-    out = series.select("date", "revenue", "orders", z.alias("z_score")).filter(F.col("z_score") >= limit)
+    stats = series.agg(F.avg("revenue").alias("_m"), F.stddev_pop("revenue").alias("_d"))
+    z = F.abs(ratio(F.col("revenue") - F.col("_m"), "_d"))
+    out = beside(series, stats).select("date", "revenue", "orders", z.alias("z_score")).filter(F.col("z_score") >= limit)
     return out.withColumn("severity", F.when(F.col("z_score") > 3, "High").otherwise("Medium"))
 
 
@@ -206,10 +207,10 @@ def cancellation_risk(orders: DataFrame, as_of: AsOf) -> DataFrame:
 
 def rule_anomalies(orders: DataFrame, as_of: AsOf) -> DataFrame:
     """Plain rules: extreme values, large deviation, stale pending orders, cancellations."""
-    s = amount_stats(orders)
+    s = F.col("_s")
     n, mean, lo, hi = (s.getField(x) for x in ("n", "mean", "lo", "hi"))
     per_user = orders.groupBy("user_id").agg(count_if(F.col("status") == "Cancelled").alias("_c"), F.count(F.lit(1)).alias("_n"))
-    df = orders.filter(n >= 2).join(per_user, "user_id").withColumns(
+    df = beside(orders, amount_stats(orders)).filter(n >= 2).join(per_user, "user_id").withColumns(
         {"_dev": F.abs(F.col("total_amount") - mean) / mean, "_age": whole_days("created_at", as_of_ts(as_of))}
     )
     amount, dev = F.col("total_amount"), F.col("_dev")
@@ -248,9 +249,9 @@ def fraud_features(orders: DataFrame, items: DataFrame) -> DataFrame:
     return df.join(lines, "id", "left").join(rate, "user_id").withColumn("item_count", F.coalesce("item_count", F.lit(0)))
 
 
-def fraud_score(features: DataFrame, stats: Column) -> DataFrame:
-    """Composite score from 0 to 100 with reasons, over :func:`fraud_features`."""
-    mean, std = stats.getField("mean"), stats.getField("std")
+def fraud_score(features: DataFrame, stats: DataFrame) -> DataFrame:
+    """Composite score from 0 to 100 with reasons, over :func:`fraud_features` and :func:`amount_stats`."""
+    mean, std = F.col("_s.mean"), F.col("_s.std")
     amount, hour = F.col("total_amount"), F.hour("created_at")
     z = F.coalesce(F.abs(ratio(amount - mean, std)), F.lit(0.0))
     recent, lines, past, rate = F.col("last_hour"), F.col("item_count"), F.col("user_history"), F.col("cancel_rate")
@@ -283,7 +284,7 @@ def fraud_score(features: DataFrame, stats: Column) -> DataFrame:
         (five, F.lit("Cancelled within 5 minutes")),
         (rate > 0.5, F.format_string("High cancellation rate: %.0f%%", rate * 100)),
     )
-    df = features.withColumns({"risk_score": F.least(score, F.lit(100.0)), "reasons": reasons, "amount": amount})
+    df = beside(features, stats).withColumns({"risk_score": F.least(score, F.lit(100.0)), "reasons": reasons, "amount": amount}).drop("_s")
     return df.withColumn("severity", severity4())
 
 
@@ -302,20 +303,21 @@ def multivariate_outliers(orders: DataFrame, items: DataFrame, as_of: AsOf, shar
         {"hour": F.hour("created_at"), "weekday": F.weekday("created_at"), "cancelled": (F.col("status") == "Cancelled").cast("int")}
     )
     stats = df.agg(
-        F.struct(*[F.avg(c).alias(f"m_{c}") for c in FEATURES], *[F.stddev_pop(c).alias(f"d_{c}") for c in FEATURES], F.count(F.lit(1)).alias("n")).alias("s")
-    ).scalar()
+        *[F.avg(c).alias(f"_m_{c}") for c in FEATURES], *[F.stddev_pop(c).alias(f"_d_{c}") for c in FEATURES], F.count(F.lit(1)).alias("_n")
+    )
 
     def unit(c):
-        d = stats.getField(f"d_{c}")
-        return (F.col(c) - stats.getField(f"m_{c}")) / F.when(d > 0, d).otherwise(1.0)
+        d = F.col(f"_d_{c}")
+        return (F.col(c) - F.col(f"_m_{c}")) / F.when(d > 0, d).otherwise(1.0)
 
     squared = reduce(lambda a, b: a + b, [F.pow(unit(c), 2) for c in FEATURES])
-    df = df.withColumn("distance", F.round(squared, 6))
+    amounts = amount_stats(df)
+    df = beside(df, stats).withColumn("distance", F.round(squared, 6))
     ranks = ordered.running_total(df, "distance", F.lit(1))
     smaller = F.col("running") - F.col("weight")
-    cut = ranks.agg(F.min(F.when(smaller >= (F.col("total") - 1) * (1 - share), F.col("distance"))).alias("c")).scalar()
-    far = df.filter((stats.getField("n") >= 3) & (F.col("distance") >= cut))
-    scored = fraud_score(far, amount_stats(df))
+    cut = ranks.agg(F.min(F.when(smaller >= (F.col("total") - 1) * (1 - share), F.col("distance"))).alias("_cut"))
+    far = beside(df, cut).filter("_n >= 3 AND distance >= _cut")
+    scored = fraud_score(far, amounts)
     reasons = F.when(F.size("reasons") > 0, F.col("reasons")).otherwise(F.array(F.lit("Unusual combination of features")))
     return _shaped(scored.withColumn("reasons", reasons), "multivariate", "Multivariate Distance", "distance", "item_count", "user_history")
 
@@ -448,10 +450,5 @@ def remove_outliers(series: DataFrame, value: str = "revenue", method: str = "iq
     else:
         stats = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg(value).alias("_m"), F.stddev_samp(value).alias("_d"))
         keep = F.abs(ratio(F.col(value) - F.col("_m"), "_d")) < 3
-    joined = series.join(stats, keys) if keys else _with_row(series, stats)
+    joined = series.join(stats, keys) if keys else beside(series, stats)
     return joined.filter((F.col("_n") < 10) | keep).select(*series.columns)
-
-
-def _with_row(df: DataFrame, one: DataFrame) -> DataFrame:
-    packed = one.select(F.struct(*one.columns).alias("s")).scalar()
-    return df.withColumns({c: packed.getField(c) for c in one.columns})

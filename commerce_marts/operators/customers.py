@@ -10,6 +10,7 @@ from ..functions import labels
 from ..functions.money import as_col, count_if, money_avg, money_sum, ratio, some_of
 from ..functions.timeutil import AsOf, ago, as_of_ts, since, whole_days
 from . import joins, metrics, ordered
+from .onerow import beside
 
 QUINTILES = [0.2, 0.4, 0.6, 0.8]
 
@@ -29,25 +30,27 @@ def rfm_scores(orders: DataFrame, as_of: AsOf, exact: bool = True) -> DataFrame:
     one-pass approximate sketch instead.
     """
     base = rfm_metrics(orders, as_of)
-    cuts = {}
-    for name in ("recency", "frequency", "monetary"):
-        if exact:
-            row = ordered.values_at_ranks(base, name, {f"q{i}": ordered.disc_quantile(q) for i, q in enumerate(QUINTILES)})
-            one = row.select(F.struct(*[f"q{i}" for i in range(4)]).alias("q")).scalar()
-            cuts[name] = [one.getField(f"q{i}") for i in range(4)]
-        else:
-            one = base.agg(F.percentile_approx(name, QUINTILES, 10000).alias("q")).scalar()
-            cuts[name] = [F.element_at(one, i + 1) for i in range(4)]
+    names = ("recency", "frequency", "monetary")
+    if exact:
+        ranks = {f"q{i}": ordered.disc_quantile(q) for i, q in enumerate(QUINTILES)}
+        rows = [
+            ordered.values_at_ranks(base, name, ranks).select(F.array(*ranks).alias(f"_{name}")) for name in names
+        ]
+        cuts = beside(*rows)
+    else:
+        cuts = base.agg(*[F.percentile_approx(name, QUINTILES, 10000).alias(f"_{name}") for name in names])
+
+    def at(name):
+        return [F.get(f"_{name}", F.lit(i)) for i in range(4)]
 
     def rising(name):
-        q = cuts[name]
-        c = F.col(name)
+        q, c = at(name), F.col(name)
         return F.when(c >= q[3], 5).when(c >= q[2], 4).when(c >= q[1], 3).when(c >= q[0], 2).otherwise(1)
 
-    q, c = cuts["recency"], F.col("recency")
+    q, c = at("recency"), F.col("recency")
     falling = F.when(c <= q[0], 5).when(c <= q[1], 4).when(c <= q[2], 3).when(c <= q[3], 2).otherwise(1)
-    scored = base.withColumns({"r_score": falling, "f_score": rising("frequency"), "m_score": rising("monetary")})
-    return with_rfm_segment(scored)
+    scored = beside(base, cuts).withColumns({"r_score": falling, "f_score": rising("frequency"), "m_score": rising("monetary")})
+    return with_rfm_segment(scored.drop(*[f"_{name}" for name in names]))
 
 
 def with_rfm_segment(scored: DataFrame) -> DataFrame:

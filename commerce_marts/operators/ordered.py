@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import as_col, growth_pct, ratio
-from ..functions.timeutil import day
+from .onerow import beside
 
 
 # --- running totals over any number of rows -------------------------------------------------
@@ -214,9 +214,7 @@ def min_max_scaled(df: DataFrame, value: str, keys: list[str] = []) -> DataFrame
     scaled = F.coalesce(ratio(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
     if keys:
         return df.join(bounds, keys).withColumn(f"{value}_scaled", scaled).drop("_lo", "_hi")
-    both = bounds.select(F.struct("_lo", "_hi").alias("b")).scalar()
-    lo, hi = both.getField("_lo"), both.getField("_hi")
-    return df.withColumn(f"{value}_scaled", F.coalesce(ratio(F.col(value) - lo, hi - lo), F.lit(0.0)))
+    return beside(df, bounds).withColumn(f"{value}_scaled", scaled).drop("_lo", "_hi")
 
 
 # --- top rows ------------------------------------------------------------------------------

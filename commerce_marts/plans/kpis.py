@@ -9,16 +9,12 @@ from ..functions import fixed_values as fv
 from ..functions.money import count_if, growth_pct, money_avg, money_sum, money_sum_if, pct, ratio, some_of
 from ..functions.timeutil import AsOf, ago, as_of_ts, calendar, day, since
 from ..operators import metrics, ordered
+from ..operators.onerow import beside
 
 
 def one_row(*frames: DataFrame) -> DataFrame:
-    """Columns of several one-row frames side by side, as scalar subqueries."""
-    first, rest = frames[0], frames[1:]
-    for frame in rest:
-        names = frame.columns
-        packed = frame.select(F.struct(*names).alias("s")).scalar()
-        first = first.withColumns({c: packed.getField(c) for c in names})
-    return first
+    """Columns of several one-row frames side by side."""
+    return beside(frames[0], *frames[1:])
 
 
 def headline(users: DataFrame, products: DataFrame, orders: DataFrame, as_of: AsOf) -> DataFrame:
@@ -435,9 +431,9 @@ def day_change_alerts(orders: DataFrame, as_of: AsOf) -> DataFrame:
 def order_hour_grid(orders: DataFrame, as_of: AsOf, days: int | None = 7) -> DataFrame:
     """Orders and outlying orders per weekday and hour, all 168 cells."""
     kept = orders if days is None else orders.filter(since("created_at", as_of, days=days))
-    stats = kept.agg(F.struct(money_avg("total_amount").alias("mean"), F.stddev_pop("total_amount").alias("std")).alias("s")).scalar()
-    odd = F.abs(F.col("total_amount") - stats.getField("mean")) > stats.getField("std") * 2
-    cells = kept.groupBy((F.dayofweek("created_at") - 1).alias("day_index"), F.hour("created_at").alias("hour")).agg(
+    stats = kept.agg(money_avg("total_amount").alias("_mean"), F.stddev_pop("total_amount").alias("_std"))
+    odd = F.abs(F.col("total_amount") - F.col("_mean")) > F.col("_std") * 2
+    cells = beside(kept, stats).groupBy((F.dayofweek("created_at") - 1).alias("day_index"), F.hour("created_at").alias("hour")).agg(
         F.count(F.lit(1)).alias("order_count"), count_if(odd).alias("anomaly_count")
     )
     names = F.array(*[F.lit(n) for n in ("Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat")])
