@@ -26,16 +26,23 @@ def b2i(*conds):
     return " + ".join(f"(CASE WHEN {c} THEN 1 ELSE 0 END)" for c in conds)
 
 
-add_cte("s_kept", "SELECT * FROM r_orders WHERE created_at >= AS_OF - INTERVAL 30 DAY OR (SELECT count(*) FROM r_orders) < 30")
-add_cte("s_kept_rank", "SELECT total_amount, row_number() OVER (ORDER BY total_amount) AS rn, count(*) OVER () AS n FROM s_kept")
-add_cte("s_kept_stats", """SELECT (SELECT count(*) FROM s_kept) AS n, (SELECT mavg(total_amount) FROM s_kept) AS mean, (SELECT stddev_pop(total_amount) FROM s_kept) AS std,
-    (SELECT total_amount FROM s_kept_rank WHERE rn = floor(n * 0.25) + 1) AS q1, (SELECT total_amount FROM s_kept_rank WHERE rn = floor(n * 0.75) + 1) AS q3""")
-add_cte("s_outlier_flags", """SELECT k.*, total_amount AS amount, (total_amount - mean) / std AS z, mean, q3 + 1.5 * (q3 - q1) AS upper, q1 - 1.5 * (q3 - q1) AS lower,
-    CASE WHEN n > 50 THEN 2.5 WHEN n > 20 THEN 1.8 ELSE 1.2 END AS hard, CASE WHEN n > 50 THEN 1.8 WHEN n > 20 THEN 1.2 ELSE 0.8 END AS soft FROM s_kept k, s_kept_stats""")
-add_cte("s_outlier_scored", f"""SELECT *, (CASE WHEN abs(z) > hard THEN 35 WHEN abs(z) > soft THEN 25 ELSE 0 END + CASE WHEN amount > upper THEN 25 WHEN amount < lower THEN 20 ELSE 0 END
-    + CASE WHEN amount > mean * 5 THEN 15 WHEN amount > mean * 3 THEN 10 ELSE 0 END)::double AS risk_score,
-    CASE WHEN abs(z) > hard THEN 2 WHEN abs(z) > soft AND z > 0 THEN 1 ELSE 0 END + {b2i('amount > upper', 'amount < lower', 'amount > mean * 3')} AS n_reasons FROM s_outlier_flags""")
-add_cte("s_outliers", f"SELECT *, {sev4()} FROM s_outlier_scored WHERE n_reasons > 0")
+def outlier_ctes(prefix, source, as_of):
+    """SQL blocks that score the outliers of ``source``; the last one is named ``<prefix>s``."""
+    add_cte(f"{prefix}_kept", f"SELECT * FROM {source} WHERE created_at >= {as_of} - INTERVAL 30 DAY OR (SELECT count(*) FROM {source}) < 30")
+    add_cte(f"{prefix}_rank", f"SELECT total_amount, row_number() OVER (ORDER BY total_amount) AS rn, count(*) OVER () AS n FROM {prefix}_kept")
+    add_cte(f"{prefix}_stats", f"""SELECT (SELECT count(*) FROM {prefix}_kept) AS n, (SELECT mavg(total_amount) FROM {prefix}_kept) AS mean, (SELECT stddev_pop(total_amount) FROM {prefix}_kept) AS std,
+        (SELECT total_amount FROM {prefix}_rank WHERE rn = floor(n * 0.25) + 1) AS q1, (SELECT total_amount FROM {prefix}_rank WHERE rn = floor(n * 0.75) + 1) AS q3""")
+    add_cte(f"{prefix}_flags", f"""SELECT k.*, total_amount AS amount, (total_amount - mean) / std AS z, mean, q3 + 1.5 * (q3 - q1) AS upper, q1 - 1.5 * (q3 - q1) AS lower,
+        CASE WHEN n > 50 THEN 2.5 WHEN n > 20 THEN 1.8 ELSE 1.2 END AS hard, CASE WHEN n > 50 THEN 1.8 WHEN n > 20 THEN 1.2 ELSE 0.8 END AS soft FROM {prefix}_kept k, {prefix}_stats""")
+    add_cte(f"{prefix}_scored", f"""SELECT *, (CASE WHEN abs(z) > hard THEN 35 WHEN abs(z) > soft THEN 25 ELSE 0 END + CASE WHEN amount > upper THEN 25 WHEN amount < lower THEN 20 ELSE 0 END
+        + CASE WHEN amount > mean * 5 THEN 15 WHEN amount > mean * 3 THEN 10 ELSE 0 END)::double AS risk_score,
+        CASE WHEN abs(z) > hard THEN 2 WHEN abs(z) > soft AND z > 0 THEN 1 ELSE 0 END + {b2i('amount > upper', 'amount < lower', 'amount > mean * 3')} AS n_reasons FROM {prefix}_flags""")
+    add_cte(f"{prefix}s", f"SELECT *, {sev4()} FROM {prefix}_scored WHERE n_reasons > 0")
+
+
+outlier_ctes("s_outlier", "r_orders", "AS_OF")
+add_cte("s_purchases", "SELECT event_id AS id, 'E' || event_id AS order_number, user_id, value * 100 AS total_amount, ts AS created_at FROM events")
+outlier_ctes("s_event_outlier", "s_purchases", "EV_AS_OF")
 
 
 @query("N01_order_outliers", """SELECT order_number, user_id, severity, risk_score, amount, created_at, n_reasons::bigint AS n_reasons, round(z, 6) AS z_score FROM s_outliers""")
@@ -43,6 +50,12 @@ def _(t):
     return brief(anomaly.order_outliers(t.orders, t.as_of), F.round("z_score", 6).alias("z_score"))
 
 
+@query("N01_purchase_outliers", """SELECT order_number, user_id, severity, risk_score, amount, created_at, n_reasons::bigint AS n_reasons, round(z, 6) AS z_score FROM s_event_outliers""")
+def _(t):
+    found = anomaly.order_outliers(purchases(t), t.events_as_of)
+    return brief(found, F.round("z_score", 6).alias("z_score"))
+
+
 @query("N02_global_zscores", """WITH z AS (SELECT created_at, total_revenue, total_orders, (total_revenue - avg(total_revenue) OVER ()) / greatest(stddev_samp(total_revenue) OVER (), 1) AS z,
     count(*) OVER () AS n FROM s_daily_sales) SELECT created_at, total_revenue, total_orders, round(z, 4) AS revenue_zscore, abs(z) > 2.5 AS is_anomaly,
     CASE WHEN abs(z) > 3 THEN 'High' WHEN abs(z) > 2.5 THEN 'Medium' ELSE 'Low' END AS severity FROM z WHERE n > 7""")
@@ -62,7 +75,7 @@ BURSTS = [("1 hour", 60, 2), ("24 hours", 1440, 3), ("7 days", 10080, 12)]
 
 def purchases(t):
     """Store events as a stream of purchases, at a hundred times their value."""
-    return t.raw("events").selectExpr("event_id AS id", "user_id", "value * 100 AS total_amount", "ts AS created_at")
+    return t.raw("events").selectExpr("event_id AS id", "'E' || event_id AS order_number", "user_id", "value * 100 AS total_amount", "ts AS created_at")
 
 
 def burst_sql(windows):
@@ -91,7 +104,7 @@ def _(t):
 @query("N04_velocity_history", """SELECT event_id AS id, user_id, ts AS created_at, count(*) OVER w AS last_day FROM events
     WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE INTERVAL 24 HOUR PRECEDING) QUALIFY last_day >= 5""")
 def _(t):
-    seen = ordered.trailing_count(purchases(t).drop("total_amount"), "user_id", "created_at", 86400, "last_day")
+    seen = ordered.trailing_count(purchases(t).drop("total_amount", "order_number"), "user_id", "created_at", 86400, "last_day")
     return seen.filter("last_day >= 5")
 
 
