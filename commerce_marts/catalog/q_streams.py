@@ -93,8 +93,8 @@ def _(t):
     return plain(result(t, streams.sessionize(live(t).raw("events"), "ts"), "sessions"), "start", "end")
 
 
-@query("R08_stream_sales_daily", """SELECT date_trunc('day', created_at)::timestamp AS day, count(*) AS total_orders, msum(total_amount) AS total_revenue, count(*) FILTER (status = 'Delivered') AS delivered_orders,
-    count(*) FILTER (status = 'Cancelled') AS cancelled_orders FROM r_orders GROUP BY 1 HAVING date_trunc('day', created_at) + INTERVAL 1 DAY <= (SELECT max(created_at) FROM r_orders) - INTERVAL 1 HOUR""")
+@query("R08_stream_sales_daily", """SELECT * FROM (SELECT created_at::date::timestamp AS day, count(*) AS total_orders, msum(total_amount) AS total_revenue, count(*) FILTER (status = 'Delivered') AS delivered_orders,
+    count(*) FILTER (status = 'Cancelled') AS cancelled_orders FROM r_orders GROUP BY 1) WHERE day + INTERVAL 1 DAY <= (SELECT max(created_at) FROM r_orders) - INTERVAL 1 HOUR""")
 def _(t):
     return plain(result(t, streams.sales_daily(live(t).orders), "sales"), "day").drop("unique_customers")
 
