@@ -60,7 +60,7 @@ def _(t):
 
 
 ROLLUP = """SELECT product_id, sum(quantity)::bigint AS units_sold, msum(line_revenue) AS total_revenue, psum(line_profit) AS total_profit,
-    cast(sum(cast(unit_price AS decimal(20,8))) AS double) / count(unit_price) AS avg_selling_price,
+    round(avg(unit_price), 6) AS avg_selling_price,
     count(DISTINCT order_id) AS orders_count, min(created_at) AS first_sale, max(created_at) AS last_sale
     FROM s_fact_items GROUP BY product_id"""
 

@@ -1,7 +1,8 @@
 """Money and ratio expressions.
 
-Money sums go through fixed-point decimals, so a total does not depend on the order in which
-partitions are merged. Results come back as double.
+Money is summed in whole cents (or finer units) as long integers, so a total is exact and does not
+depend on the order in which partitions are merged. Longs keep such sums in fixed-size aggregation
+buffers; they hold totals up to 92 quadrillion and raise on overflow. Results come back as double.
 """
 
 from __future__ import annotations
@@ -9,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CENTS = "decimal(18,2)"
-MILLS = "decimal(18,4)"
+CENTS = 100
+MILLS = 10_000
 FINE = "decimal(20,8)"
 
 
@@ -18,16 +19,23 @@ def as_col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def money_sum(c: str | Column, scale: str = CENTS) -> Column:
-    return F.sum(as_col(c).cast(scale)).cast("double")
+def in_units(c: str | Column, scale: int) -> Column:
+    return F.rint(as_col(c).cast("double") * scale).cast("bigint")
 
 
-def money_sum_if(cond: Column, c: str | Column, scale: str = CENTS) -> Column:
+def money_sum(c: str | Column, scale: int | str = CENTS) -> Column:
+    """Exact sum of amounts given in whole units of 1 / ``scale``, or of a decimal type."""
+    if isinstance(scale, str):
+        return F.sum(as_col(c).cast(scale)).cast("double")
+    return F.sum(in_units(c, scale)).cast("double") / F.lit(float(scale))
+
+
+def money_sum_if(cond: Column, c: str | Column, scale: int | str = CENTS) -> Column:
     """Sum of ``c`` over rows where ``cond`` holds; 0 when there are none."""
     return F.coalesce(money_sum(F.when(cond, as_col(c)), scale), F.lit(0.0))
 
 
-def money_avg(c: str | Column, scale: str = CENTS) -> Column:
+def money_avg(c: str | Column, scale: int | str = CENTS) -> Column:
     return ratio(money_sum(c, scale), F.count(as_col(c)))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.money import FINE, MILLS, as_col, count_if, money_avg, money_sum, pct, ratio
+from ..functions.money import MILLS, as_col, count_if, money_avg, money_sum, pct, ratio
 from ..functions.timeutil import day, since
 
 
@@ -44,10 +44,15 @@ def order_item_rollup(items: DataFrame) -> DataFrame:
 
 
 def in_parts(df: DataFrame, key: str, spread: list[str], part_rows: int) -> DataFrame:
-    """Add ``part``: 0 for a key of ordinary size, else one of several parts of about ``part_rows`` rows."""
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    """Add ``part``: 0 for a key of ordinary size, else one of several parts of about ``part_rows`` rows.
+
+    Only the keys above ``part_rows`` rows are joined back, a short list, so the rows are not moved
+    by key before they are grouped by key and part.
+    """
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > part_rows)
     parts = F.ceil(F.col("_rows") / part_rows)
-    return df.join(sizes, key).withColumn("part", F.pmod(F.xxhash64(*spread), parts)).drop("_rows")
+    part = F.when(F.col("_rows").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), parts)).cast("bigint")
+    return df.join(sizes, key, "left").withColumn("part", part).drop("_rows")
 
 
 def order_product_lists(items: DataFrame, part_rows: int = 10_000) -> DataFrame:
@@ -145,7 +150,7 @@ def product_rollup(fact_items: DataFrame) -> DataFrame:
         F.sum("quantity").alias("units_sold"),
         money_sum("line_revenue").alias("total_revenue"),
         money_sum("line_profit", MILLS).alias("total_profit"),
-        money_avg("unit_price", FINE).alias("avg_selling_price"),
+        F.round(F.avg("unit_price"), 6).alias("avg_selling_price"),
         F.countDistinct("order_id").alias("orders_count"),
         F.min("created_at").alias("first_sale"),
         F.max("created_at").alias("last_sale"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -75,10 +75,30 @@ def failed_logins(activities: DataFrame, threshold: int = 5, delay: str = "1 hou
     return velocity(activities.filter("activity_type = 'login_failed'"), "created_at", "24 hours", "1 hour", threshold, delay)
 
 
-def sessionize(df: DataFrame, ts: str, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
-    """User sessions that end after a gap without activity."""
-    grouped = with_event_time(df, ts, delay).groupBy(F.session_window(ts, gap), "user_id").agg(F.count(F.lit(1)).alias("events"))
-    return grouped.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events")
+def sessionize(df: DataFrame, ts: str, gap_minutes: int = 30, delay: str = "1 hour") -> DataFrame:
+    """User sessions that end after a gap without activity; a gap of exactly the limit continues one.
+
+    A stream uses session windows. A batch is first cut into sessions inside each user and day, then
+    these are joined over midnight, so a very busy user is not ordered in one task.
+    """
+    if df.isStreaming:
+        window = F.session_window(ts, f"{gap_minutes} minutes")
+        grouped = with_event_time(df, ts, delay).groupBy(window, "user_id").agg(F.count(F.lit(1)).alias("events"))
+        return grouped.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events")
+    gap = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(gap_minutes))
+    rows = df.select("user_id", F.col(ts).alias("first"), F.col(ts).alias("last"), F.lit(1).cast("bigint").alias("events"), F.col(ts).cast("date").alias("_day"))
+    by_day = _joined(rows, ["user_id", "_day"], gap)
+    whole = _joined(by_day, ["user_id"], gap)
+    return whole.select("user_id", F.col("first").alias("start"), (F.col("last") + gap).alias("end"), "events")
+
+
+def _joined(spans: DataFrame, keys: list[str], gap: Column) -> DataFrame:
+    """Join spans (first, last, events) of a key that lie within the gap of each other."""
+    w = Window.partitionBy(*keys).orderBy("first", "last")
+    reach = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(F.col("first") <= reach + gap, 0).otherwise(1)
+    numbered = spans.withColumn("_new", fresh).withColumn("_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "_no").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("events").alias("events")).drop("_no")
 
 
 def sales_daily(orders: DataFrame, delay: str = "1 hour") -> DataFrame:
