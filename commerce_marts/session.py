@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+from functools import cache
+from uuid import uuid4
 
 from pyspark.sql import SparkSession
 
@@ -36,17 +40,25 @@ def get_session(app: str = "commerce_marts", master: str | None = None, **conf:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder path under the cluster's shared checkpoint folder.
 
-    A cluster names its shared folder in ``spark.checkpoint.dir``. Only when that is unset, as on
-    one machine, is a local temporary folder taken.
+    A cluster names its shared folder in ``spark.checkpoint.dir``. Where that is unset, as in tests,
+    a temporary folder is taken once per process and removed at its end; a master that is not local
+    raises, because its executors could not see that folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        return tempfile.mkdtemp(prefix=f"{name}-")
-    from uuid import uuid4
-
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_folder()
     return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
 
 
+@cache
+def _own_folder() -> str:
+    path = tempfile.mkdtemp(prefix="commerce-marts-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def cut_lineage(df, name: str = "cut"):
     """Write ``df`` once to the shared folder and read it back, so later steps reuse the files."""
     path = shared_dir(df.sparkSession, name)
