@@ -22,6 +22,8 @@ from .common import PLAIN, SLICE_BYTES, buffers, mix, slices, text_or_empty, wor
 #: Labelled rows the model is fitted on: those with the smallest hashes of their ids.
 TRAIN_ROWS = 6_000
 BUCKET_BITS, DIMS, EPOCHS, RATE = 16, 8, 6, 0.5
+#: Few rows are passed more often, up to this many steps.
+MIN_STEPS = 12_000
 BYTE_GRAMS = (3, 4, 5)
 SEED = 11
 
@@ -101,6 +103,8 @@ def fit(texts: list[bytes], labels: np.ndarray, dims: int = DIMS, epochs: int =
             docs.append((ids.astype(np.int32), (counts / counts.sum()).astype(np.float32)))
         else:
             docs.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
+    if docs:
+        epochs = max(epochs, MIN_STEPS // len(docs))
     step, steps = 0, max(1, epochs * len(docs))
     for _ in range(epochs):
         for d in rng.permutation(len(docs)):
