@@ -25,8 +25,8 @@ ORDINARY = "[A-Za-z0-9+/_=-]{4,}"
 FIRST_CHAR, CHARS = 43, 80
 #: Documents the models are trained on, drawn by a hash of their id.
 TRAIN_ROWS = 20_000
-#: Share of a uniform model in the random one, and the weight of an unseen pair.
-UNIFORM, PRIOR = 0.5, 0.5
+#: Share of a uniform model in the random one; weight of single characters in that of pairs; count of an unseen character.
+UNIFORM, PRIOR, FLOOR = 0.5, 5.0, 0.1
 #: A string is random above this ratio (in nats) in all and for each character.
 MIN_RATIO, MIN_RATIO_CHAR = 15.0, 0.6
 
@@ -74,17 +74,18 @@ def _named(kind: str, place: int) -> Column:
 
 def _pairs(word: Column) -> Column:
     """Indices of a word's neighbouring characters in the models' tables."""
-    code = lambda i: F.ascii(F.substr(word, i, F.lit(1))) - FIRST_CHAR
-    return F.transform(F.sequence(F.lit(2), F.length(word)), lambda i: code(i - 1) * CHARS + code(i))
+    letters, n = F.split(word, ""), F.length(word) - 1
+    zipped = F.arrays_zip(F.slice(letters, 1, n).alias("a"), F.slice(letters, 2, n).alias("b"))
+    return F.transform(zipped, lambda p: (F.ascii(p["a"]) - FIRST_CHAR) * CHARS + F.ascii(p["b"]) - FIRST_CHAR)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> list[float]:
     """Log-likelihood ratio for each pair of characters, random over ordinary; CHARS * CHARS numbers.
 
     The labelled samples are strings of about ``rows`` documents (all, if there are fewer): values of
-    the patterns are random ones, all other strings of four and more characters ordinary ones. Only
-    the pair counts, at most 2 * CHARS * CHARS, come to the driver. Without any sample all ratios are
-    those of the priors.
+    the patterns are random ones, other strings of four and more characters ordinary ones if two
+    documents hold them. Only the pair counts, at most 2 * CHARS * CHARS, come to the driver. Without
+    any sample no string is found to be random.
     """
     total = docs.count()
     kept = F.shiftrightunsigned(F.xxhash64(F.lit(5), F.col(id_col)), 33) < F.lit(int(min(1.0, rows / max(total, 1)) * 2**31))
@@ -97,7 +98,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
     plain = F.filter(words, lambda w: ~F.exists("values", lambda v: F.contains(w, v)))
     labelled = some.select(F.explode(F.array(F.struct(F.lit(1).alias("random"), F.array_distinct("values").alias("words")), F.struct(F.lit(0).alias("random"), plain.alias("words")))).alias("x"))
     word = labelled.select("x.random", F.explode("x.words").alias("word")).filter(F.length("word") >= 4)
-    word = word.groupBy("random", "word").agg(F.count("*").alias("docs"))
+    # An unknown secret is no ordinary string; such a one hardly stands in two documents.
+    word = word.groupBy("random", "word").agg(F.count("*").alias("docs")).filter("random = 1 OR docs > 1")
     pair = word.select("random", F.explode(_pairs(F.col("word"))).alias("pair")).filter(F.col("pair").between(0, CHARS * CHARS - 1))
     counts = {(r["random"], r["pair"]): r["n"] for r in pair.groupBy("random", "pair").agg(F.count("*").alias("n")).collect()}
     return _ratios(counts)
@@ -106,11 +108,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
 def _ratios(counts: dict[tuple[int, int], int]) -> list[float]:
     from math import log
 
-    sums = {(c, p): sum(counts.get((c, p * CHARS + q), 0) for q in range(CHARS)) for c in (0, 1) for p in range(CHARS)}
+    table = [[[counts.get((c, p * CHARS + q), 0) for q in range(CHARS)] for p in range(CHARS)] for c in (0, 1)]
+    single = []
+    for rows in table:
+        whole = sum(map(sum, rows)) + FLOOR * CHARS
+        single.append([(sum(r[q] for r in rows) + FLOOR) / whole for q in range(CHARS)])
     out = []
     for p in range(CHARS):
+        seen = [sum(rows[p]) for rows in table]
         for q in range(CHARS):
-            chance = [(counts.get((c, p * CHARS + q), 0) + PRIOR) / (sums[c, p] + PRIOR * CHARS) for c in (0, 1)]
+            # Pairs lean on how frequent the second character is, the more the rarer the first one.
+            chance = [(table[c][p][q] + PRIOR * single[c][q]) / (seen[c] + PRIOR) for c in (0, 1)]
             out.append(round(log(UNIFORM / 64 + (1 - UNIFORM) * chance[1]) - log(chance[0]), 4))
     return out
 
