@@ -22,7 +22,6 @@ from functools import cache
 from math import erf, exp, sqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -387,20 +386,63 @@ def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(same))
 
 
-def _compare_blocks(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of two blocks of one key that lie in different groups so far and that the histograms do not rule out."""
-    own, other = rows[rows["side"] == 0], rows[rows["side"] == 1]
-    none = pd.DataFrame({"x": pd.Series(dtype="int64"), "y": pd.Series(dtype="int64")})
-    if own.empty or other.empty:
-        return none
-    hx, hy = (np.stack([np.frombuffer(h, np.uint8) for h in f["histogram"]]).astype(np.int16) for f in (own, other))
-    out = [none]
-    for i in range(len(own)):
-        row = own.iloc[i]
-        hit = _near_enough(hx[i], hy, np.int64(row["n"]), other["n"].to_numpy()) & (other["label"].to_numpy() != row["label"])
-        if hit.any():
-            out.append(pd.DataFrame({"x": row["class"], "y": other["class"].to_numpy()[hit]}))
-    return pd.concat(out)
+def _owed(first: bool, block: np.ndarray, names: np.ndarray, labels: np.ndarray, sizes: np.ndarray, bars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one block, or of two, that lie in different groups so far and that the histograms do not rule out."""
+    if first:
+        # Rows of the largest group are compared with all others, not with each other.
+        values, counts = np.unique(labels, return_counts=True)
+        left, right = np.flatnonzero(labels != values[counts.argmax()]), np.arange(len(names))
+    else:
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    found = []
+    for at in range(0, len(left), 32):
+        own = left[at : at + 32]
+        hit = labels[own][:, None] != labels[right][None, :]
+        hit &= _near_enough(bars[own][:, None, :], bars[right][None, :, :], sizes[own][:, None], sizes[right][None, :])
+        x, y = np.nonzero(hit)
+        found.append((names[own[x]], names[right[y]]))
+    if not found:
+        return names[:0], names[:0]
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Owed pairs of rows sorted by (key, p, q); rows of one such unit, two blocks at most, are held at once."""
+    held: list[pa.RecordBatch] = []
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def units(rows: pa.RecordBatch) -> np.ndarray:
+        unit = np.stack([np.asarray(rows.column(i)).astype(np.int64) for i in range(3)])
+        return np.flatnonzero(np.concatenate([[True], (unit[:, 1:] != unit[:, :-1]).any(axis=0)]))
+
+    def compare(rows: pa.RecordBatch, starts: np.ndarray) -> None:
+        p, q, block, names, labels, sizes = (np.asarray(rows.column(i)) for i in range(1, 7))
+        bars = _matrix(rows.column(7))
+        for a, b in zip(starts, np.append(starts[1:], rows.num_rows), strict=True):
+            pairs.append(_owed(p[a] == q[a], block[a:b], names[a:b], labels[a:b], sizes[a:b], bars[a:b]))
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        x, y = _distinct_pairs(np.concatenate([f[0] for f in pairs]), np.concatenate([f[1] for f in pairs]))
+        pairs.clear()
+        for at in range(0, len(x), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]), pa.array(y[at : at + 100_000])], ["x", "y"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        starts = units(rows)
+        last = int(starts[-1])
+        if last:
+            compare(rows.slice(0, last), starts[:-1])
+        held = [rows.slice(last)]
+        if sum(len(f[0]) for f in pairs) > 1_000_000:
+            yield from flush()
+    if held:
+        compare(held[0], np.array([0]))
+    if pairs:
+        yield from flush()
 
 
 # The join
@@ -432,14 +474,10 @@ def _rest(members: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFram
     open_ = open_.filter("low < high").groupBy("size", "sum", "low", "high").agg(F.min("key").alias("key"))
     open_ = settle(open_.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "open")
     rows = labelled.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
-    rows = settle(rows.join(classes.select("class", "n", "histogram"), "class"), "owing")
-    part = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    sides = rows.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("other", part)
-    first, second = F.col("side") == 0, F.col("side") == 1
-    placed = sides.withColumn("p", F.when(first, F.col("block")).otherwise(F.col("other"))).withColumn("q", F.when(second, F.col("block")).otherwise(F.col("other")))
-    placed = placed.filter("p <= q").select("key", "p", "q", "side", "class", "label", "n", "histogram")
-    found = placed.groupBy("key", "p", "q").applyInPandas(_compare_blocks, "x long, y long")
-    return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    rows = rows.join(classes.select("class", "n", "histogram"), "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = rows.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "class", "label", "n", "histogram")
+    found = placed.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_compare, "x long, y long")
+    return found.distinct()
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
