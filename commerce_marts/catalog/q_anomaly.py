@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import anomaly, metrics, ordered
 from ..plans import kpis
-from ..session import cut_lineage
 from . import shared as s
 from .registry import add_cte, query
 
@@ -29,7 +28,7 @@ def b2i(*conds):
 
 def outlier_ctes(prefix, source, as_of):
     """SQL blocks that score the outliers of ``source``; the last one is named ``<prefix>s``."""
-    add_cte(f"{prefix}_kept", f"SELECT * FROM {source} WHERE created_at >= {as_of} - INTERVAL 30 DAY OR (SELECT count(*) FROM {source}) < 30")
+    add_cte(f"{prefix}_kept", f"SELECT * FROM {source} WHERE created_at >= {as_of} - INTERVAL 30 DAY")
     add_cte(f"{prefix}_rank", f"SELECT total_amount, row_number() OVER (ORDER BY total_amount) AS rn, count(*) OVER () AS n FROM {prefix}_kept")
     add_cte(f"{prefix}_stats", f"""SELECT (SELECT count(*) FROM {prefix}_kept) AS n, (SELECT mavg(total_amount) FROM {prefix}_kept) AS mean, (SELECT stddev_pop(total_amount) FROM {prefix}_kept) AS std,
         (SELECT total_amount FROM {prefix}_rank WHERE rn = floor(n * 0.25) + 1) AS q1, (SELECT total_amount FROM {prefix}_rank WHERE rn = floor(n * 0.75) + 1) AS q3""")
@@ -270,8 +269,7 @@ def _(t):
 @query("T05_top_risk_users", """SELECT d.user_id, u.email, sum(risk_score) AS risk_score, count(*) AS anomaly_count, msum(amount) AS total_spent FROM s_detections_all d
     JOIN r_users u ON d.user_id = u.id GROUP BY 1, 2 ORDER BY risk_score DESC, d.user_id LIMIT 10""")
 def _(t):
-    # The ranking reads the detections three times, so they are written once.
-    found = cut_lineage(anomaly.all_detections(t.orders, t.order_items, t.as_of), "detections")
+    found = anomaly.all_detections(t.orders, t.order_items, t.as_of)
     return anomaly.top_risk_users(found, t.users).drop("reason")
 
 

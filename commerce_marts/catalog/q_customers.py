@@ -150,15 +150,13 @@ def _(t):
     return t.orders.select("id", "status", F.array_join(steps, ",").alias("timeline"))
 
 
-@query("E14_invoice_text", """SELECT o.id, length(concat_ws(chr(10), 'STORE INVOICE', 'Order Number: ' || order_number, 'Tracking ID: ' || tracking_id, 'Customer: ' || customer_name, 'Phone: ' || phone,
-    'Address: ' || address || ', ' || city || ', ' || state || ' - ' || pincode, 'Status: ' || status, 'Payment Method: ' || payment_method, 'Payment Status: ' || payment_status, '', 'Items:', l.lines, '')) AS body_length,
-    l.lines FROM r_orders o LEFT JOIN (SELECT order_id, string_agg('- ' || product_name || ' | Size: ' || size || ' | Qty: ' || quantity, chr(10) ORDER BY product_id, quantity, size) AS lines FROM r_items GROUP BY 1) l ON o.id = l.order_id""")
-def _(t):
-    text = F.regexp_replace("invoice", r" \| Amount: ₹[0-9]+", "")
-    head = F.regexp_replace(text, r"Total Amount: ₹[0-9]+$", "")
-    lines = F.regexp_extract(text, r"(?s)Items:\n(.*)\n\nTotal", 1)
-    cut = delivery.invoice_text(t.orders, t.order_items).select("id", (F.length(head) - 1).alias("body_length"), F.when(lines != "", lines).alias("lines"))
-    return cut
+@query("E14_invoice_text", """SELECT o.id, concat_ws(chr(10), 'STORE INVOICE', 'Order Number: ' || order_number, 'Tracking ID: ' || tracking_id, 'Customer: ' || customer_name, 'Phone: ' || phone,
+    'Address: ' || address || ', ' || city || ', ' || state || ' - ' || pincode, 'Status: ' || status, 'Payment Method: ' || payment_method, 'Payment Status: ' || payment_status, '', 'Items:', l.lines, '',
+    'Total Amount: ₹' || rnd0(total_amount)) AS invoice
+    FROM r_orders o LEFT JOIN (SELECT order_id, string_agg('- ' || product_name || ' | Size: ' || size || ' | Qty: ' || quantity || ' | Amount: ₹' || rnd0(unit_price * quantity), chr(10)
+    ORDER BY product_id, quantity, size, rnd0(unit_price * quantity)::varchar) AS lines FROM r_items GROUP BY 1) l ON o.id = l.order_id""")
+def _(t):
+    return delivery.invoice_text(t.orders, t.order_items)
 
 
 @query("C15_personalisation", f"""WITH base AS (SELECT g.user_id, g.segment, b.time_preference, b.cart_abandonment_rate, h.hints FROM s_segments g JOIN s_behaviour b ON g.user_id = b.user_id JOIN s_hints h ON g.user_id = h.user_id)

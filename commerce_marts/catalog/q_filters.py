@@ -29,20 +29,10 @@ def _(t):
     return filters.filter_orders(t.orders, "Packed", "not a date", "1996-06-30", whole_last_day=False).select("id", "status", "created_at")
 
 
-@query("F03_ticket_filter", """SELECT id, priority, status, created_at, row_number() OVER (ORDER BY CASE priority WHEN 'High' THEN 1
-    WHEN 'Medium' THEN 2 WHEN 'Low' THEN 3 ELSE 4 END, created_at DESC, id DESC) AS pos FROM r_tickets WHERE status = 'Open' ORDER BY pos LIMIT 50""")
+@query("F03_ticket_filter", """SELECT id, priority, status, created_at FROM r_tickets WHERE status = 'Open' ORDER BY CASE priority WHEN 'High' THEN 1
+    WHEN 'Medium' THEN 2 WHEN 'Low' THEN 3 ELSE 4 END, created_at DESC, id DESC""")
 def _(t):
-    first = filters.filter_tickets(t.tickets, "Open").limit(50)
-    rank = F.row_number().over(filters_window())
-    return first.select("id", "priority", "status", "created_at").withColumn("pos", rank)
-
-
-def filters_window():
-    from pyspark.sql import Window
-
-    from ..functions import labels
-
-    return Window.orderBy(labels.priority_rank(), F.desc("created_at"), F.desc("id"))
+    return filters.filter_tickets(t.tickets, "Open").select("id", "priority", "status", "created_at")
 
 
 @query("F04_customer_search", """SELECT u.id, name, email, u.phone, u.created_at, count(o.id) AS order_count,

@@ -24,7 +24,7 @@ def _(t):
 @query("A03_order_item_rollup", """SELECT r.*, p.product_ids FROM s_rollup r JOIN (SELECT order_id,
     string_agg(product_id, ',' ORDER BY product_id) AS product_ids FROM r_items GROUP BY order_id) p ON r.order_id = p.order_id""")
 def _(t):
-    lists = metrics.order_product_lists(t.order_items).filter("part = 0")
+    lists = metrics.order_product_lists(t.order_items)
     lists = lists.select("order_id", F.array_join(F.col("product_ids").cast("array<string>"), ",").alias("product_ids"))
     return metrics.order_item_rollup(t.order_items).join(lists, "order_id")
 

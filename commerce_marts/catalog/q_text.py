@@ -160,7 +160,20 @@ def _(t):
     return chunking.chunk_sentences(t.documents, "document_id", size=40, overlap=0).drop("chunk_text")
 
 
-@query("X14_chunk_words")
+add_cte("s_words", "SELECT document_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM r_documents")
+
+
+@query("X14_chunk_words", """WITH RECURSIVE word AS (SELECT document_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM s_words),
+    e AS (SELECT document_id, i, sum(length(x) + 1) OVER (PARTITION BY document_id ORDER BY i)::bigint AS upto FROM word),
+    l AS (SELECT document_id, list(upto ORDER BY i) AS ends, count(*) AS n FROM e GROUP BY 1),
+    c AS (SELECT document_id, ends, n, 0::bigint AS start, 0::bigint AS closed, NULL::bigint AS reach, -1 AS k FROM l
+        UNION ALL SELECT document_id, ends, n, CASE WHEN reach IS NULL THEN start ELSE greatest(start, reach - 50) END, coalesce(reach, 0),
+        greatest(coalesce(reach, 0) + 1, len(list_filter(ends, lambda x: x < 500 + CASE WHEN (CASE WHEN reach IS NULL THEN start ELSE greatest(start, reach - 50) END) = 0 THEN 0
+            ELSE ends[CASE WHEN reach IS NULL THEN start ELSE greatest(start, reach - 50) END] END)) + 1), k + 1
+        FROM c WHERE closed < n AND (reach IS NULL OR reach <= n) AND k < n),
+    spans AS (SELECT document_id, k, start, least(reach, n) AS stop FROM c WHERE k >= 0 AND start < n)
+    SELECT s.document_id, k::int AS chunk_index, length(array_to_string(w[start + 1:stop], ' '))::int AS chars, md5(array_to_string(w[start + 1:stop], ' ')) AS digest
+    FROM spans s JOIN s_words USING (document_id)""")
 def _(t):
     chunks = chunking.chunk_words(t.documents, "document_id")
     return chunks.select("document_id", "chunk_index", F.length("chunk_text").alias("chars"), F.md5("chunk_text").alias("digest"))

@@ -3,7 +3,7 @@
 A query is a function of :class:`Retail`. Its SQL may use the canonical tables ``r_users``,
 ``r_orders`` ... (added as CTEs when named) and a few shorthands that are expanded to plain SQL:
 ``msum(x)`` and ``mavg(x)`` for fixed-point money sums and averages, ``psum(x)`` with four decimals,
-``rnd1(x)`` and ``rnd2(x)`` for rounding half up on the decimal digits of a double,
+``rnd0(x)``, ``rnd1(x)`` and ``rnd2(x)`` for rounding half up on the decimal digits of a double,
 ``AS_OF`` and ``EV_AS_OF`` for the midnight after the newest order or event, ``NOON`` for noon of the
 last order day.
 """
@@ -134,6 +134,7 @@ _CALLS = {
     "msum": "cast(sum(cast({} AS decimal(18,2))) AS double)",
     "psum": "cast(sum(cast({} AS decimal(18,4))) AS double)",
     "rnd2": "cast(round(cast(cast({} AS varchar) AS decimal(38,18)), 2) AS double)",
+    "rnd0": "cast(round(cast(cast({} AS varchar) AS decimal(38,18)), 0) AS bigint)",
     "rnd1": "cast(round(cast(cast({} AS varchar) AS decimal(38,18)), 1) AS double)",
     "mavg": "(cast(sum(cast({0} AS decimal(18,2))) AS double) / count({0}))",
 }

@@ -43,12 +43,6 @@ def first_points(*rules: tuple[Column, float]) -> Column:
     return out.otherwise(0.0)
 
 
-def recent_or_all(orders: DataFrame, as_of: AsOf, days: int = 30, small: int = 30) -> DataFrame:
-    """The last ``days`` days, or all orders when there are fewer than ``small``."""
-    total = orders.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return orders.filter((total < small) | since("created_at", as_of, days=days))
-
-
 def amount_stats(orders: DataFrame, quartiles: bool = False) -> DataFrame:
     """One row with a struct ``_s``: n, mean, population deviation, bounds and optionally the indexed quartiles."""
     base = orders.agg(
@@ -65,9 +59,12 @@ def _shaped(df: DataFrame, kind: str, method: str, *extra: str) -> DataFrame:
     return df.withColumns({"type": F.lit(kind), "detection_method": F.lit(method), "reason": F.get("reasons", F.lit(0))}).select(*SHAPE, *extra)
 
 
-def order_outliers(orders: DataFrame, as_of: AsOf) -> DataFrame:
-    """Outliers by z-score with size-dependent thresholds, quartile fences and multiples of the mean."""
-    kept = recent_or_all(orders, as_of)
+def order_outliers(orders: DataFrame, as_of: AsOf, days: int | None = 30) -> DataFrame:
+    """Outliers by z-score with size-dependent thresholds, quartile fences and multiples of the mean.
+
+    Orders of the last ``days`` days are judged, or all orders where ``days`` is None.
+    """
+    kept = orders if days is None else orders.filter(since("created_at", as_of, days=days))
     kept = beside(kept, amount_stats(kept, quartiles=True))
     s = F.col("_s")
     n, mean, std = s.getField("n"), s.getField("mean"), s.getField("std")

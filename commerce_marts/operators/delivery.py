@@ -92,19 +92,13 @@ def order_timeline(status: str | Column = "status") -> Column:
 
 
 def invoice_text(orders: DataFrame, items: DataFrame, title: str = "STORE INVOICE") -> DataFrame:
-    """Invoice as text per order, its lines in product order.
-
-    An order above ``part`` size is given in numbered parts of its line block.
-    """
-    from .metrics import in_parts
-
-    amount = F.format_string("%.0f", F.col("unit_price") * F.col("quantity"))
+    """Invoice as text, one row for each order, its lines in product order. Amounts are rounded to whole units, halves up."""
+    whole = lambda c: F.round(c, 0).cast("bigint").cast("string")
+    amount = whole(F.col("unit_price") * F.col("quantity"))
     line = F.concat(F.lit("- "), "product_name", F.lit(" | Size: "), "size", F.lit(" | Qty: "), F.col("quantity").cast("string"), F.lit(" | Amount: ₹"), amount)
-    listed = in_parts(items, "order_id", ["id", "product_id", "quantity"], 10_000).select(
-        F.col("order_id").alias("id"), "part", F.struct("product_id", "quantity", "size", line.alias("text")).alias("l")
-    )
-    blocks = listed.groupBy("id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["text"]), "\n").alias("lines"))
-    df = orders.join(blocks, "id", "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    listed = items.select(F.col("order_id").alias("id"), F.struct("product_id", "quantity", "size", line.alias("text")).alias("l"))
+    blocks = listed.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["text"]), "\n").alias("lines"))
+    df = orders.join(blocks, "id", "left")
 
     def row(label, c):
         return F.concat(F.lit(label + ": "), c)
@@ -114,8 +108,8 @@ def invoice_text(orders: DataFrame, items: DataFrame, title: str = "STORE INVOIC
         "\n", F.lit(title), row("Order Number", F.col("order_number")), row("Tracking ID", F.col("tracking_id")), row("Customer", F.col("customer_name")),
         row("Phone", F.col("phone")), row("Address", place), row("Status", F.col("status")), row("Payment Method", F.col("payment_method")),
         row("Payment Status", F.col("payment_status")), F.lit(""), F.lit("Items:"), "lines", F.lit(""),
-        F.concat(F.lit("Total Amount: ₹"), F.format_string("%.0f", "total_amount")),
+        F.concat(F.lit("Total Amount: ₹"), whole(F.col("total_amount"))),
     )
-    return df.select("id", "part", text.alias("invoice"))
+    return df.select("id", text.alias("invoice"))
 
 

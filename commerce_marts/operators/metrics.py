@@ -43,40 +43,17 @@ def order_item_rollup(items: DataFrame) -> DataFrame:
     )
 
 
-def in_parts(df: DataFrame, key: str, spread: list[str], part_rows: int) -> DataFrame:
-    """Add ``part``: 0 for a key of ordinary size, else one of several parts of about ``part_rows`` rows.
-
-    Only the keys above ``part_rows`` rows are joined back, a short list, so the rows are not moved
-    by key before they are grouped by key and part.
-    """
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > part_rows)
-    parts = F.ceil(F.col("_rows") / part_rows)
-    part = F.when(F.col("_rows").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), parts)).cast("bigint")
-    return df.join(sizes, key, "left").withColumn("part", part).drop("_rows")
-
-
-def order_product_lists(items: DataFrame, part_rows: int = 10_000) -> DataFrame:
-    """Sorted product ids per order. An order above ``part_rows`` lines is given as several parts."""
-    return (
-        in_parts(items, "order_id", ["product_id"], part_rows)
-        .groupBy("order_id", "part")
-        .agg(F.sort_array(F.collect_list("product_id")).alias("product_ids"))
-    )
+def order_product_lists(items: DataFrame) -> DataFrame:
+    """Sorted product ids, one row for each order, whatever the number of its lines."""
+    return items.groupBy("order_id").agg(F.sort_array(F.collect_list("product_id")).alias("product_ids"))
 
 
-def orders_nested(orders: DataFrame, items: DataFrame, part_rows: int = 10_000) -> DataFrame:
-    """Each order with its lines as an array of structs, large orders in several parts."""
+def orders_nested(orders: DataFrame, items: DataFrame) -> DataFrame:
+    """Each order with its lines as one array of structs, empty where it has none: one row for each order at any size."""
     line = F.struct("product_id", "product_name", "quantity", "unit_price")
-    lists = (
-        in_parts(items, "order_id", ["id", "product_id", "quantity"], part_rows)
-        .groupBy("order_id", "part")
-        .agg(F.sort_array(F.collect_list(line)).alias("items"))
-        .withColumnRenamed("order_id", "id")
-    )
+    lists = items.groupBy(F.col("order_id").alias("id")).agg(F.sort_array(F.collect_list(line)).alias("items"))
     empty = F.array().cast("array<struct<product_id:bigint,product_name:string,quantity:int,unit_price:double>>")
-    return orders.join(lists, "id", "left").withColumns(
-        {"items": F.coalesce("items", empty), "part": F.coalesce("part", F.lit(0).cast("bigint"))}
-    )
+    return orders.join(lists, "id", "left").withColumn("items", F.coalesce("items", empty))
 
 
 def daily_sales(orders: DataFrame, order_rollup: DataFrame) -> DataFrame:

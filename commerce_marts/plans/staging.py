@@ -97,11 +97,7 @@ def simple_fact_orders(orders: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def nested_fact_orders(nested: DataFrame) -> DataFrame:
-    """The same measures from orders that carry their lines as an array.
-
-    Parts of a large order are merged by the group-by. Distinct products are counted over exploded
-    product ids, so no array of a large order is joined together.
-    """
+    """The same measures from orders that carry their lines as an array."""
     value = F.aggregate("items", F.lit(0.0), lambda acc, x: acc + x["quantity"] * x["unit_price"] * 0.4)
     units = F.aggregate("items", F.lit(0).cast("bigint"), lambda acc, x: acc + x["quantity"].cast("bigint"))
     measures = nested.select("id", units.alias("units"), value.alias("profit")).groupBy("id").agg(
