@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,28 +77,44 @@ def chunk_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return out.withColumn("chunk_id", F.substring(digest, 1, 16))
 
 
+def _word_spans(lengths: np.ndarray, size: int, overlap: int) -> list[tuple[int, int]]:
+    """Spans of words whose text, a blank after each word, reaches ``size``; each begins ``overlap`` words back.
+
+    Ends are looked up in the running sum of the lengths, so a chunk costs one search.
+    """
+    ends = np.concatenate([[0], np.cumsum(lengths + 1)])
+    spans, start, closed = [], 0, 0
+    while closed < len(lengths):
+        reach = max(closed + 1, int(np.searchsorted(ends, ends[start] + size)))
+        if reach > len(lengths):
+            break
+        spans.append((start, reach))
+        start, closed = max(start, reach - max(overlap, 0)), reach
+    if start < len(lengths):
+        spans.append((start, len(lengths)))
+    return spans
+
+
 def chunk_words(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 500, overlap: int = 50) -> DataFrame:
-    """Chunks of words that close once they reach ``size`` characters, each started with the last words of the one before."""
+    """Chunks of words that close once they reach ``size`` characters, each started with the last words of the one before.
+
+    One row is read at a time and its chunks leave in slices, so memory follows the longest text.
+    """
     prepared = docs.select(F.col(key), F.filter(F.split(as_col(text), r"(?U)\s+"), lambda w: w != "").alias("words"))
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for k, words in zip(batch[key], batch["words"]):
-                start, chars, index = 0, 0, 0
-                for i, word in enumerate(words):
-                    chars += len(word) + 1
-                    if chars >= size:
-                        rows.append((k, index, " ".join(words[start : i + 1])))
-                        index += 1
-                        start = max(start, i + 1 - overlap) if overlap > 0 else i + 1
-                        chars = sum(len(w) + 1 for w in words[start : i + 1])
-                if len(words) > start:
-                    rows.append((k, index, " ".join(words[start:])))
-            yield pd.DataFrame(rows, columns=[key, "chunk_index", "chunk_text"])
+            for i in range(batch.num_rows):
+                words = batch.column(1)[i].as_py() or []
+                spans = _word_spans(np.fromiter(map(len, words), np.int64, len(words)), size, overlap)
+                for at in range(0, len(spans), 1000):
+                    part = spans[at : at + 1000]
+                    keys = pa.array([batch.column(0)[i].as_py()] * len(part), batch.column(0).type)
+                    index = pa.array(range(at, at + len(part)), pa.int32())
+                    yield pa.RecordBatch.from_arrays([keys, index, pa.array([" ".join(words[a:b]) for a, b in part], pa.string())], [key, "chunk_index", "chunk_text"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return prepared.mapInPandas(fold, f"{key} {kind}, chunk_index int, chunk_text string")
+    return prepared.mapInArrow(fold, f"{key} {kind}, chunk_index int, chunk_text string")
 
 
 def chunk_fixed(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 800) -> DataFrame:

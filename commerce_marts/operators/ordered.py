@@ -257,16 +257,28 @@ def prior_count(df: DataFrame, key: str, ts: str, out: str, tie: str | None = No
     )
 
 
-def trailing_count(df: DataFrame, key: str, ts: str, seconds: int, out: str) -> DataFrame:
+def trailing_count(df: DataFrame, key: str, ts: str, seconds: int, out: str, slot_seconds: int = 60) -> DataFrame:
     """Rows of the same key within the last ``seconds`` up to and including the current row.
 
-    Every row is copied to its own time slot and the next one, so a window of one slot width sees
-    all it needs inside a single slot and work is split by (key, slot).
+    The figure is a difference of two running counts: rows up to now, less rows before the start of
+    the period. Equal times of a key are counted first; running counts are kept by (key, time slot)
+    and completed inside a slot, so the work grows with the rows and a busy key is spread over its slots.
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = df.withColumn("_micros", micros).withColumn("_slot", F.floor(F.col("_micros") / (seconds * 1_000_000)))
-    both = rows.withColumn("_at", F.explode(F.array(F.col("_slot"), F.col("_slot") + 1)))
-    w = Window.partitionBy(key, "_at").orderBy("_micros").rangeBetween(-seconds * 1_000_000, 0)
-    return both.withColumn(out, F.count(F.lit(1)).over(w)).filter(F.col("_at") == F.col("_slot")).drop("_micros", "_slot", "_at")
-
-
+    rows = df.withColumn("_micros", micros)
+    points = rows.groupBy(key, "_micros").agg(F.count(F.lit(1)).alias("_n"))
+    now = F.struct(F.col("_micros").alias("at"), F.col("_n").alias("n"), F.lit(True).alias("now"))
+    start = F.struct((F.col("_micros") - seconds * 1_000_000).alias("at"), F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("now"))
+    marks = points.select(key, "_micros", F.explode(F.array(now, start)).alias("_m")).select(key, "_micros", "_m.*")
+    marks = marks.withColumn("_slot", F.floor(F.col("at") / (slot_seconds * 1_000_000)))
+    earlier = Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = marks.groupBy(key, "_slot").agg(F.sum("n").alias("_c")).select(
+        F.col(key).alias("_key"), F.col("_slot").alias("_at_slot"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before")
+    )
+    inside = Window.partitionBy(key, "_slot").orderBy("at")
+    upto, below = inside.rangeBetween(Window.unboundedPreceding, 0), inside.rangeBetween(Window.unboundedPreceding, -1)
+    reached = F.when(F.col("now"), F.sum("n").over(upto)).otherwise(-F.coalesce(F.sum("n").over(below), F.lit(0)))
+    counted = marks.withColumn("_in", reached).join(slots, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_slot") == F.col("_at_slot"))).drop("_key")
+    total = F.sum(F.col("_in") + F.when(F.col("now"), F.col("_before")).otherwise(-F.col("_before")))
+    found = counted.groupBy(F.col(key).alias("_key"), F.col("_micros").alias("_time")).agg(total.alias(out))
+    return rows.join(found, F.col(key).eqNullSafe(F.col("_key")) & F.col("_micros").eqNullSafe(F.col("_time"))).drop("_micros", "_key", "_time")

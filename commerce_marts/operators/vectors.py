@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .ordered import top_n
 
-MAX_QUERIES = 4096
+#: Blocks into which queries and vectors are dealt; a task holds one block of each.
+QUERY_BLOCKS, VECTOR_BLOCKS = 1, 32
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -19,46 +18,40 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _scan(vectors: DataFrame, ids: list, matrix: np.ndarray, k: int, id_col: str, vec_col: str) -> DataFrame:
-    """Best ``k`` of every partition per query; the query matrix travels with the task."""
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            base = np.stack(batch[vec_col].to_numpy()).astype("float64")
-            sims = np.round(_unit(base) @ matrix.T, 6)
-            keys = batch[id_col].to_numpy()
-            for j, query in enumerate(ids):
-                pick = np.lexsort((keys, -sims[:, j]))[:k]
-                yield pd.DataFrame({"query_id": query, "vector_id": keys[pick], "similarity": sims[pick, j]})
-
-    return vectors.select(id_col, vec_col).mapInPandas(best, "query_id bigint, vector_id bigint, similarity double")
-
-
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, query_id: str = "query_id", query_vec: str = "query", id_col: str = "vec_id", vec_col: str = "embedding", max_queries: int = MAX_QUERIES) -> DataFrame:
+def vector_topk(
+    queries: DataFrame, vectors: DataFrame, k: int = 5, query_id: str = "query_id", query_vec: str = "query", id_col: str = "vec_id", vec_col: str = "embedding",
+    query_blocks: int = QUERY_BLOCKS, vector_blocks: int = VECTOR_BLOCKS,
+) -> DataFrame:
     """The ``k`` most similar vectors of every query, ties by id.
 
-    Queries go to the tasks, vectors are never moved: each batch keeps its best ``k`` per query and
-    only those are shuffled. The queries are read in blocks of at most ``max_queries``, so any number
-    of queries works with bounded memory.
+    Queries and vectors are dealt to blocks by their ids and each block of queries meets each block
+    of vectors in a task of its own, which keeps its best ``k`` for each query; only these are
+    ranked. Blocks should be chosen so that a pair of them fits a task.
     """
-    total = queries.count()
-    blocks = max(1, -(-total // max_queries))
-    keyed = queries.select(F.col(query_id).alias("q"), F.col(query_vec).alias("v"))
-    scans = []
-    for b in range(blocks):
-        part = keyed if blocks == 1 else keyed.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
-        rows = part.collect()
-        if rows:
-            matrix = _unit(np.array([r["v"] for r in rows], dtype="float64"))
-            scans.append(_scan(vectors, [r["q"] for r in rows], matrix, k, id_col, vec_col))
-    if not scans:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, vector_id bigint, similarity double, rank int")
-    found = scans[0]
-    for scan in scans[1:]:
-        found = found.unionByName(scan)
-    return top_n(found, ["query_id"], [F.desc("similarity"), F.asc("vector_id")], k, rank="rank")
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    doubles = "array<double>"
+    asked = queries.select(F.col(query_id).cast("bigint").alias("id"), F.col(query_vec).cast(doubles).alias("v"), dealt(query_id, query_blocks).alias("qb"))
+    asked = asked.select("id", "v", "qb", each(vector_blocks).alias("vb"), F.lit(True).alias("asks"))
+    held = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast(doubles).alias("v"), dealt(id_col, vector_blocks).alias("vb"))
+    held = held.select("id", "v", each(query_blocks).alias("qb"), "vb", F.lit(False).alias("asks"))
+
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        asks = rows["asks"].to_numpy()
+        none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vector_id": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
+        if asks.all() or not asks.any():
+            return none
+        ids = rows["id"].to_numpy()
+        left, right = (_unit(np.stack(rows["v"].to_numpy()[m])) for m in (asks, ~asks))
+        sims = np.round(left @ right.T, 6)
+        # Stable sorts by id, then by similarity: ties keep the smaller id first.
+        order = np.argsort(ids[~asks], kind="stable")
+        pick = np.argsort(-sims[:, order], axis=1, kind="stable")[:, :k]
+        found = np.take_along_axis(sims[:, order], pick, axis=1)
+        return pd.DataFrame({"query_id": np.repeat(ids[asks], pick.shape[1]), "vector_id": ids[~asks][order][pick].ravel(), "similarity": found.ravel()})
+
+    met = asked.unionByName(held).groupBy("qb", "vb").applyInPandas(best, "query_id bigint, vector_id bigint, similarity double")
+    return top_n(met, ["query_id"], [F.desc("similarity"), F.asc("vector_id")], k, rank="rank")
 
 
 def label_centroids(vectors: DataFrame, label: str = "label", vec_col: str = "embedding") -> DataFrame:

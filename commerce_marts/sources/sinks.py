@@ -141,7 +141,9 @@ class SnapshotTable:
 
 
 def newest_per_key(changes: DataFrame, keys: list[str], order_col: str) -> DataFrame:
-    return top_n(changes, keys, [F.desc(order_col)], 1)
+    """The row of each key with the largest ``order_col``; equal ones are told apart by all other columns."""
+    rest = [F.desc_nulls_last(c) for c in sorted(changes.columns) if c not in (*keys, order_col)]
+    return top_n(changes, keys, [F.desc(order_col), *rest], 1)
 
 
 def upsert(target: DataFrame, changes: DataFrame, keys: list[str], order_col: str) -> DataFrame:
@@ -156,18 +158,17 @@ def scd2_merge(current: DataFrame, incoming: DataFrame, key: str, tracked: list[
     changes nothing. Keys that are missing from ``incoming`` stay current.
     """
     state = F.struct(*tracked)
+    # A key that comes twice in a batch counts once: the row that is largest in the tracked columns.
+    incoming = newest_per_key(incoming, [key], tracked[0])
     fresh = incoming.select(key, state.alias("_new"))
-    marked = current.join(fresh, key, "left")
-    changed = F.col("is_current") & F.col("_new").isNotNull() & ~state.eqNullSafe(F.col("_new"))
-    kept = marked.withColumn("_changed", changed).withColumns(
-        {
-            "expiration_date": F.when(F.col("_changed"), F.lit(as_of)).otherwise(F.col("expiration_date")),
-            "is_current": F.col("is_current") & ~F.col("_changed"),
-        }
+    closed, open_ = current.filter("NOT is_current"), current.filter("is_current")
+    changed = F.col("_new").isNotNull() & ~state.eqNullSafe(F.col("_new"))
+    kept = open_.join(fresh, key, "left").withColumn("_changed", changed).withColumns(
+        {"expiration_date": F.when(F.col("_changed"), F.lit(as_of)).otherwise(F.col("expiration_date")), "is_current": ~F.col("_changed")}
     ).select(*current.columns)
-    before = current.filter("is_current").select(key, state.alias("_old"))
+    before = open_.select(key, state.alias("_old"))
     added = incoming.join(before, key, "left").filter(F.col("_old").isNull() | ~state.eqNullSafe(F.col("_old"))).drop("_old")
     added = added.withColumns(
         {"effective_date": F.lit(as_of), "expiration_date": F.lit("9999-12-31").cast("date"), "is_current": F.lit(True)}
     )
-    return kept.unionByName(added.select(*current.columns))
+    return closed.unionByName(kept).unionByName(added.select(*current.columns))

@@ -94,7 +94,7 @@ def test_vector_topk_blocks_and_zero_vector(spark):
     vecs = spark.createDataFrame(base, "vec_id bigint, embedding array<float>").repartition(7)
     queries = spark.createDataFrame(base[:20], "query_id bigint, query array<double>")
     one = sorted(vectors.vector_topk(queries, vecs, 3).collect())
-    many = sorted(vectors.vector_topk(queries, vecs, 3, max_queries=6).collect())
+    many = sorted(vectors.vector_topk(queries, vecs, 3, query_blocks=6).collect())
     assert one == many and len(one) == 60
     assert all(r["vector_id"] == r["query_id"] for r in one if r["rank"] == 1)
 
