@@ -27,57 +27,62 @@ def _(t):
 TOKENS = ["red-widget economy", "small ring", "Brand#2 gear"]
 
 
-def score_sql(q, need, points):
-    return f"""SELECT '{q}' AS query, id, name, price, {points} AS score FROM (SELECT *, lower(name || ' ' || category || ' ' || description) AS hay FROM r_products) WHERE {need}"""
+add_cte("s_hay", "SELECT *, lower(name || ' ' || category || ' ' || description) AS hay FROM r_products")
 
 
-def token_sql(q):
-    tokens = q.lower().replace("-", " ").replace("_", " ").split()
-    points = " + ".join(f"2 * contains(hay, '{x}')::int" for x in tokens)
-    return score_sql(q, f"{points} > 0", points)
+def asked(t, sql_like: list[str], made):
+    """A query table: fixed queries and those made from a column expression over the products."""
+    fixed = t.spark.createDataFrame([(q,) for q in sql_like], "query string")
+    return t.products.select(made.alias("query")).unionByName(fixed).distinct()
 
 
-RANKED = "SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, price, id)::int AS rank FROM ({}) QUALIFY rank <= 6"
-
-
-@query("X03_token_match", RANKED.format(" UNION ALL ".join(token_sql(q) for q in TOKENS)))
+@query("X03_token_match", f"""WITH q AS (SELECT name AS query FROM r_products UNION SELECT unnest({TOKENS})),
+    t AS (SELECT query, unnest(string_split(trim(regexp_replace(lower(query), '[-_\\s]+', ' ', 'g')), ' ')) AS term FROM q),
+    h AS (SELECT query, id, name, price, (2 * count(*))::int AS score FROM t JOIN s_hay ON contains(hay, term) WHERE term <> '' GROUP BY 1, 2, 3, 4)
+    SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, price, id)::int AS rank FROM h QUALIFY rank <= 6""")
 def _(t):
-    return search.token_match(t.products, TOKENS)
+    return search.token_match(t.products, asked(t, TOKENS, F.col("name")))
 
 
-WISHES = ["red watch under 950", "blue widget below 920", "small gear"]
+WISHES = ["red watch under 950", "blue widget below 920", "small gear", "women tops less 1,200", "₹930 ring", "gizmo under 0"]
 
 
-@query("X04_attribute_match", RANKED.format(" UNION ALL ".join([
-    score_sql("red watch under 950", "contains(hay, 'watch') AND contains(hay, 'red') AND price <= 950", "2 * (contains(hay, 'red')::int + contains(hay, 'watch')::int + contains(hay, 'under')::int + contains(hay, '950')::int) + 8"),
-    score_sql("blue widget below 920", "contains(hay, 'blue') AND price <= 920", "2 * (contains(hay, 'blue')::int + contains(hay, 'widget')::int + contains(hay, 'below')::int + contains(hay, '920')::int) + 4"),
-    score_sql("small gear", "true", "2 * (contains(hay, 'small')::int + contains(hay, 'gear')::int)")])))
+@query("X04_attribute_match", f"""WITH q AS (SELECT name || ' under ' || (900 + 10 * (id % 10)) AS query FROM r_products UNION SELECT unnest({WISHES})),
+    l AS (SELECT query, lower(query) AS low, regexp_replace(lower(query), '[₹,]', '', 'g') AS plain FROM q),
+    p AS (SELECT query, low, list_filter({fv.COLOURS}, lambda c: contains(low, c))[1] AS colour, regexp_replace(list_filter({fv.GARMENTS}, lambda g: contains(low, g))[1], 's+$', '') AS garment,
+        nullif(coalesce(try_cast(regexp_extract(plain, '(?:^|\\s)(?:under|below|less)\\s+(\\d+(?:\\.\\d+)?)(?:\\s|$)', 1) AS double),
+        try_cast(regexp_replace(regexp_extract(plain, '(\\S*\\d\\S*)', 1), '[^0-9]', '', 'g') AS double)), 0) AS cap, list_filter(regexp_split_to_array(low, '\\s+'), lambda w: w <> '') AS words FROM l),
+    h AS (SELECT query, id, name, price, (2 * len(list_filter(words, lambda w: contains(hay, w))) + CASE WHEN colour IS NULL THEN 0 ELSE 4 END + CASE WHEN garment IS NULL THEN 0 ELSE 4 END
+        + 3 * (contains(low, 'men') AND contains(hay, 'men'))::int + 3 * (contains(low, 'women') AND contains(hay, 'women'))::int)::int AS score
+        FROM p JOIN s_hay ON (colour IS NULL OR contains(hay, colour)) AND (garment IS NULL OR contains(hay, garment)) AND (cap IS NULL OR price <= cap))
+    SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, price, id)::int AS rank FROM h QUALIFY rank <= 6""")
 def _(t):
-    return search.attribute_match(t.products, WISHES)
+    made = F.concat("name", F.lit(" under "), (900 + 10 * (F.col("id") % 10)).cast("string"))
+    return search.attribute_match(t.products, asked(t, WISHES, made))
 
 
 TERMS = ["the one", "license", "ation"]
 add_cte("s_docs", "SELECT *, lower(text) AS low FROM r_documents WHERE status IN ('processed', 'indexed')")
+add_cte("s_asked", f"""SELECT unnest({TERMS}) AS query UNION SELECT word FROM (SELECT word, count(*) AS n FROM s_words WHERE regexp_full_match(word, '[a-z]{{4,}}') GROUP BY 1 ORDER BY n DESC, word LIMIT 100)""")
+PLAIN_COUNT = "((length(low) - length(replace(low, term, ''))) // length(term))"
+add_cte("s_found", f"""SELECT *, CASE match_type WHEN 'word' THEN length(regexp_extract(low, '(?s)^((?:.*?{W})??)' || term || '(?:{W}|$)', 1)) + 1 ELSE instr(low, term) END AS position FROM (
+    SELECT *, row_number() OVER (PARTITION BY query ORDER BY match_count DESC, document_id) AS rank FROM (
+    SELECT document_id, filename, document_type, text, low, query, term, CASE WHEN contains(term, ' ') OR words = 0 THEN {PLAIN_COUNT} ELSE words END AS match_count,
+        CASE WHEN contains(term, ' ') THEN 'phrase' WHEN words > 0 THEN 'word' ELSE 'substring' END AS match_type
+    FROM (SELECT d.*, query, lower(query) AS term, len(list_filter(regexp_split_to_array(low, '{W}+'), lambda w: w = lower(query))) AS words FROM s_docs d JOIN s_asked ON contains(low, lower(query)))) QUALIFY rank <= 10)""")
 
 
-def doc_sql(q):
-    term = q.lower()
-    plain = f"((length(low) - length(replace(low, '{term}', ''))) // {len(term)})"
-    if " " in term:
-        return f"SELECT document_id, filename, document_type, text, '{q}' AS query, {plain} AS match_count, 'phrase' AS match_type, instr(low, '{term}') AS position FROM s_docs WHERE contains(low, '{term}')"
-    words = f"len(list_filter(regexp_split_to_array(low, '{W}+'), lambda w: w = '{term}'))"
-    at = f"length(regexp_extract(low, '(?s)^((?:.*?{W})??){term}(?:{W}|$)', 1)) + 1"
-    return f"""SELECT document_id, filename, document_type, text, '{q}', CASE WHEN {words} > 0 THEN {words} ELSE {plain} END, CASE WHEN {words} > 0 THEN 'word' ELSE 'substring' END,
-        CASE WHEN {words} > 0 THEN {at} ELSE instr(low, '{term}') END FROM s_docs WHERE contains(low, '{term}')"""
-
-
-add_cte("s_found", "SELECT *, row_number() OVER (PARTITION BY query ORDER BY match_count DESC, document_id) AS rank FROM (" + " UNION ALL ".join(doc_sql(q) for q in TERMS) + ") QUALIFY rank <= 10")
+def document_queries(t):
+    fixed = t.spark.createDataFrame([(q,) for q in TERMS], "query string")
+    return search.top_keywords(t.documents, 100).select(F.col("word").alias("query")).unionByName(fixed)
 
 
-@query("X05_search_documents", """SELECT document_id, filename, document_type, query, match_count::int AS match_count, match_type, position::int AS position, rank::int AS rank,
-    replace(substr(text, greatest(position - 150, 1), position + length(query) + 150 - greatest(position - 150, 1)), chr(10), ' ') AS snippet FROM s_found""")
+@query("X05_search_documents", """SELECT document_id, filename, document_type, query, match_count::int AS match_count, match_type, position::int AS position, rank::int AS rank, s AS snippet,
+    CASE WHEN match_type = 'word' THEN regexp_replace(s, '(' || query || ')', '<mark>\\1</mark>', 'gi') END AS highlighted FROM (SELECT *,
+    replace(substr(text, greatest(position - 150, 1), position + length(query) + 150 - greatest(position - 150, 1)), chr(10), ' ') AS s FROM s_found)""")
 def _(t):
-    return search.search_documents(t.documents, TERMS).drop("highlighted")
+    found = search.search_documents(t.documents, document_queries(t)).drop("matches")
+    return found.withColumn("highlighted", F.when(F.col("match_type") == "word", F.col("highlighted")))
 
 
 @query("X05_match_positions", """WITH p AS (SELECT document_id, string_split(lower(text), 'license') AS parts FROM r_documents), l AS (SELECT document_id, len(parts) AS n, unnest(range(len(parts))) AS match_no, unnest(parts) AS part FROM p)
@@ -160,10 +165,10 @@ def _(t):
     return chunking.chunk_sentences(t.documents, "document_id", size=40, overlap=0).drop("chunk_text")
 
 
-add_cte("s_words", "SELECT document_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM r_documents")
+add_cte("s_word_lists", "SELECT document_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM r_documents")
 
 
-@query("X14_chunk_words", """WITH RECURSIVE word AS (SELECT document_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM s_words),
+@query("X14_chunk_words", """WITH RECURSIVE word AS (SELECT document_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM s_word_lists),
     e AS (SELECT document_id, i, sum(length(x) + 1) OVER (PARTITION BY document_id ORDER BY i)::bigint AS upto FROM word),
     l AS (SELECT document_id, list(upto ORDER BY i) AS ends, count(*) AS n FROM e GROUP BY 1),
     c AS (SELECT document_id, ends, n, 0::bigint AS start, 0::bigint AS closed, NULL::bigint AS reach, -1 AS k FROM l
@@ -173,7 +178,7 @@ add_cte("s_words", "SELECT document_id, list_filter(regexp_split_to_array(text,
         FROM c WHERE closed < n AND (reach IS NULL OR reach <= n) AND k < n),
     spans AS (SELECT document_id, k, start, least(reach, n) AS stop FROM c WHERE k >= 0 AND start < n)
     SELECT s.document_id, k::int AS chunk_index, length(array_to_string(w[start + 1:stop], ' '))::int AS chars, md5(array_to_string(w[start + 1:stop], ' ')) AS digest
-    FROM spans s JOIN s_words USING (document_id)""")
+    FROM spans s JOIN s_word_lists USING (document_id)""")
 def _(t):
     chunks = chunking.chunk_words(t.documents, "document_id")
     return chunks.select("document_id", "chunk_index", F.length("chunk_text").alias("chars"), F.md5("chunk_text").alias("digest"))
@@ -240,7 +245,7 @@ def _(t):
 @query("X23_search_summary", """SELECT query, count(*) AS document_count, sum(match_count)::bigint AS total_matches, string_agg(DISTINCT document_type, ',' ORDER BY document_type) AS document_types,
     printf('Found ''%s'' in %d document(s) with %d total matches.', query, count(*), sum(match_count)::bigint) AS summary FROM s_found GROUP BY query""")
 def _(t):
-    pack = search.search_summary(search.search_documents(t.documents, TERMS))
+    pack = search.search_summary(search.search_documents(t.documents, document_queries(t)))
     return pack.withColumn("document_types", F.array_join("document_types", ",")).drop("snippets")
 
 

@@ -1,7 +1,7 @@
 """Product and document search, keywords and reference extraction.
 
-Search terms are a short list given by the caller. They are compiled into column expressions, so a
-search is one scan of the texts without a join.
+Queries come as a table. Their distinct terms travel to the texts as one array, so a search is one
+scan of the texts whatever the number of queries; scores are then joined by term.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions.money import as_col
 from .filters import any_like
+from .onerow import beside
 from .ordered import top_n
 
 WORD_CHARS = r"\p{L}\p{N}_"
@@ -44,96 +45,116 @@ def _hay() -> Column:
     return F.lower(F.concat_ws(" ", "name", "category", "description"))
 
 
-def _sum(parts: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, parts) if parts else F.lit(0)
-
-
-def _ranked(products: DataFrame, scored: list[tuple[str, Column]], k: int) -> DataFrame:
-    """Best products per query; ``scored`` pairs a query with its score, NULL when it does not match."""
-    options = F.array(*[F.struct(F.lit(q).alias("query"), s.cast("int").alias("score")) for q, s in scored])
-    hits = products.withColumn("hay", _hay()).select("id", "name", "price", F.inline(options)).filter("score IS NOT NULL")
-    return top_n(hits, ["query"], [F.desc("score"), F.asc("price"), F.asc("id")], k, rank="rank")
-
-
-def token_match(products: DataFrame, queries: list[str], k: int = 6) -> DataFrame:
-    """Two points per query token found in name, category or description."""
-    scored = []
-    for q in queries:
-        tokens = q.lower().replace("-", " ").replace("_", " ").split()
-        score = _sum([F.col("hay").contains(t).cast("int") * 2 for t in tokens])
-        scored.append((q, F.when(score > 0, score)))
-    return _ranked(products, scored, k)
-
-
-def price_limit(query: str) -> float | None:
-    """The number after under, below or less, else the first number in the query."""
-    words = query.lower().replace("₹", "").replace(",", "").split()
-    for word, following in zip(words, words[1:]):
-        if word in {"under", "below", "less"} and re.fullmatch(r"\d+(\.\d+)?", following):
-            return float(following)
-    digits = ("".join(ch for ch in w if ch.isdigit()) for w in words)
-    return next((float(d) for d in digits if d), None)
-
-
-def attribute_match(products: DataFrame, queries: list[str], k: int = 6) -> DataFrame:
-    """Match by colour, garment and price cap with token, attribute and gender points."""
-    hay = F.col("hay")
-    scored = []
-    for query in queries:
-        q = query.lower()
-        colour = next((c for c in fv.COLOURS if c in q), None)
-        garment = next((g for g in fv.GARMENTS if g in q), None)
-        cap = price_limit(query)
-        need, points = [F.lit(True)], [hay.contains(t).cast("int") * 2 for t in q.split()]
-        for attribute in (garment.rstrip("s") if garment else None, colour):
-            if attribute:
-                need.append(hay.contains(attribute))
-                points.append(hay.contains(attribute).cast("int") * 4)
-        points += [hay.contains(g).cast("int") * 3 for g in ("men", "women") if g in q]
-        if cap:
-            need.append(F.col("price") <= cap)
-        scored.append((query, F.when(reduce(lambda a, b: a & b, need), _sum(points))))
-    return _ranked(products, scored, k)
-
-
-def word_pattern(term: str) -> str:
+def _with_terms(rows: DataFrame, text: Column, terms: DataFrame, carry: list[str]) -> DataFrame:
+    """(carry, term) for every term of a query table that a row's text contains.
+
+    The distinct terms go to the tasks as one array, so the plan is the same for any number of
+    queries and rows are neither moved nor multiplied before they match.
+    """
+    listed = terms.select("term").distinct().agg(F.collect_list("term").alias("_terms"))
+    found = beside(rows.withColumn("_text", text), listed)
+    return found.select(*carry, F.explode(F.filter("_terms", lambda t: F.contains(F.col("_text"), t))).alias("term"))
+
+
+def _best(hits: DataFrame, k: int) -> DataFrame:
+    ranked = top_n(hits, ["query"], [F.desc("score"), F.asc("price"), F.asc("id")], k, rank="rank")
+    return ranked.select("query", "id", "name", "price", F.col("score").cast("int").alias("score"), "rank")
+
+
+def token_match(products: DataFrame, queries: DataFrame, k: int = 6) -> DataFrame:
+    """Two points per token of a query found in name, category or description; ``queries`` has one column ``query``."""
+    words = F.split(F.trim(F.regexp_replace(F.lower("query"), r"[-_\s]+", " ")), " ")
+    tokens = queries.select("query").distinct().select("query", F.explode(words).alias("term")).filter("term <> ''")
+    hits = _with_terms(products, _hay(), tokens, ["id", "name", "price"]).join(tokens, "term")
+    return _best(hits.groupBy("query", "id", "name", "price").agg((2 * F.count(F.lit(1))).alias("score")), k)
+
+
+def price_limit(query: str | Column = "query") -> Column:
+    """Price cap named in a query: a number right after a word for "up to", else the digits of the first word that has some; NULL for none or 0."""
+    plain = F.regexp_replace(F.lower(as_col(query)), "[₹,]", "")
+    cue = F.regexp_extract(plain, r"(?:^|\s)(?:under|below|less)\s+(\d+(?:\.\d+)?)(?=\s|$)", 1)
+    other = F.regexp_replace(F.regexp_extract(plain, r"(\S*\d\S*)", 1), r"\D", "")
+    return F.nullif(F.coalesce(cue.try_cast("double"), other.try_cast("double")), F.lit(0.0))
+
+
+def _first_named(values: list[str], text: Column) -> Column:
+    return F.get(F.filter(F.array(*[F.lit(v) for v in values]), lambda v: F.contains(text, v)), F.lit(0))
+
+
+def attribute_match(products: DataFrame, queries: DataFrame, k: int = 6) -> DataFrame:
+    """Match by colour, garment and price cap with token, attribute and gender points.
+
+    A product must have the garment (in the singular) and the colour that a query names, and cost no
+    more than its cap. A query that names neither ranks all products within its cap: those without a
+    point follow by price, and only the cheapest ``k`` of these can be among its first.
+    """
+    low = F.lower("query")
+    parsed = queries.select("query").distinct().select(
+        "query", price_limit().alias("cap"), F.regexp_replace(_first_named(fv.GARMENTS, low), "s+$", "").alias("garment"), _first_named(fv.COLOURS, low).alias("colour"), low.alias("low")
+    )
+    point = lambda term, points, need: F.struct(term.alias("term"), F.lit(points).alias("points"), F.lit(need).alias("need"))
+    tokens = F.transform(F.filter(F.split(F.col("low"), r"\s+"), lambda w: w != ""), lambda w: point(w, 2, 0))
+    attributes = F.filter(F.array(point(F.col("garment"), 4, 1), point(F.col("colour"), 4, 1)), lambda x: x["term"].isNotNull())
+    genders = F.filter(F.array(*[point(F.lit(g), 3, 0) for g in ("men", "women")]), lambda x: F.contains(F.col("low"), x["term"]))
+    parsed = parsed.withColumn("needs", F.size(attributes))
+    terms = parsed.select("query", "cap", "needs", F.inline(F.concat(tokens, attributes, genders)))
+    scored = _with_terms(products, _hay(), terms, ["id", "name", "price"]).join(terms, "term")
+    scored = scored.groupBy("query", "id", "name", "price", "cap", "needs").agg(F.sum("points").alias("score"), F.sum("need").alias("met"))
+    within = F.col("cap").isNull() | (F.col("price") <= F.col("cap"))
+    hits = scored.filter((F.col("met") == F.col("needs")) & within).select("query", "id", "name", "price", "score")
+    cheap = products.orderBy("price", "id").limit(k).agg(F.collect_list(F.struct("id", "name", "price")).alias("_cheap"))
+    rest = beside(parsed.filter("needs = 0").select("query", "cap"), cheap).select("query", "cap", F.inline("_cheap")).filter(within)
+    rest = rest.join(hits.select("query", "id"), ["query", "id"], "left_anti").select("query", "id", "name", "price", F.lit(0).cast("bigint").alias("score"))
+    return _best(hits.unionByName(rest), k)
+
+
+def _quoted(term: Column) -> Column:
+    return F.regexp_replace(term, r"([^\w\s])", r"\\$1")
+
+
+def word_pattern(term: Column) -> Column:
     """Whole-word pattern that treats every letter and digit of any script as part of a word."""
-    return f"(?<![{WORD_CHARS}])" + re.sub(r"([^\w\s])", r"\\\1", term.lower()) + f"(?![{WORD_CHARS}])"
+    return F.concat(F.lit(f"(?<![{WORD_CHARS}])"), _quoted(term), F.lit(f"(?![{WORD_CHARS}])"))
 
 
-def _count_substring(low: Column, term: str) -> Column:
-    """Non-overlapping occurrences of a literal."""
-    return ((F.length(low) - F.length(F.replace(low, F.lit(term), F.lit("")))) / len(term)).cast("int")
+def _snippet(text: Column, position: Column, size: Column, context: int) -> Column:
+    start = F.greatest(position - context, F.lit(1))
+    return F.replace(F.substr(text, start, position + size + context - start), F.lit("\n"), F.lit(" "))
 
 
-def search_documents(documents: DataFrame, queries: list[str], k: int = 10, context: int = 150) -> DataFrame:
-    """Rank documents per query by number of matches.
+def search_documents(documents: DataFrame, queries: DataFrame, k: int = 10, context: int = 150, document_type: str | None = None) -> DataFrame:
+    """The ``k`` documents with most matches for every row of a query table (one column ``query``).
 
     A query with a space is searched as a phrase. A single word is searched as a whole word and,
-    where a document has none, as a substring. The snippet shows the first match with its
-    surroundings and the match marked.
+    where a document has none, as a substring. Documents are ranked by their counts alone; the texts
+    of the winners are joined back. ``matches`` lists every match with its position (from 1) and
+    surroundings; snippet and highlighted show the first one.
     """
-    docs = documents.filter(F.col("text").isNotNull() & F.col("status").isin("processed", "indexed")).withColumn("_low", F.lower("text"))
-    low = F.col("_low")
-    hits = []
-    for q in queries:
-        term = q.strip().lower()
-        plain = _count_substring(low, term)
-        if " " in term:
-            count, kind, pos = plain, F.lit("phrase"), F.instr(low, term)
-        else:
-            words = F.regexp_count(low, F.lit(word_pattern(term)))
-            count = F.when(words > 0, words).otherwise(plain)
-            kind = F.when(words > 0, "word").otherwise("substring")
-            pos = F.when(words > 0, F.length(F.regexp_extract(low, f"(?s)^(.*?){word_pattern(term)}", 1)) + 1).otherwise(F.instr(low, term))
-        hits.append(F.when(low.contains(term), F.struct(F.lit(q.strip()).alias("query"), count.alias("match_count"), kind.alias("match_type"), pos.alias("position"))))
-    found = docs.select("document_id", "filename", "document_type", "text", F.explode(F.array(*hits)).alias("h")).filter("h IS NOT NULL")
-    best = top_n(found.select("document_id", "filename", "document_type", "text", "h.*"), ["query"], [F.desc("match_count"), F.asc("document_id")], k, rank="rank")
-    start = F.greatest(F.col("position") - context, F.lit(1))
-    size = F.col("position") + F.length("query") + context - start
-    snippet = F.replace(F.substr("text", start, size), F.lit("\n"), F.lit(" "))
-    marked = F.regexp_replace(snippet, F.concat(F.lit("(?i)("), F.regexp_replace("query", r"([^\w\s])", r"\\$1"), F.lit(")")), F.lit("<mark>$1</mark>"))
-    return best.withColumns({"snippet": snippet, "highlighted": marked}).drop("text")
+    docs = documents.filter(F.col("text").isNotNull() & F.col("status").isin("processed", "indexed"))
+    if document_type:
+        docs = docs.filter(F.col("document_type") == document_type)
+    asked = queries.select(F.trim("query").alias("query")).distinct().withColumn("term", F.lower("query")).filter("term <> ''")
+    low, term = F.lower("text"), F.col("term")
+    found = _with_terms(docs, low, asked, ["document_id", "filename", "document_type", "text"])
+    words = F.when(F.contains(term, F.lit(" ")), 0).otherwise(F.regexp_count(low, word_pattern(term)))
+    plain = ((F.length(low) - F.length(F.replace(low, term, F.lit("")))) / F.length(term)).cast("int")
+    kind = F.when(F.contains(term, F.lit(" ")), "phrase").when(F.col("_words") > 0, "word").otherwise("substring")
+    counted = found.withColumn("_words", words).select(
+        "document_id", "filename", "document_type", "term", F.when(F.col("_words") > 0, F.col("_words")).otherwise(plain).alias("match_count"), kind.alias("match_type")
+    )
+    best = top_n(counted.join(asked, "term"), ["query"], [F.desc("match_count"), F.asc("document_id")], k, rank="rank")
+    full = best.join(docs.select("document_id", "text"), "document_id")
+    pattern = F.when(F.col("match_type") == "word", word_pattern(term)).otherwise(_quoted(term))
+    gaps = F.transform(F.split(low, pattern, -1), F.length)
+    none = F.from_json(F.lit('{"at":1,"found":[]}'), "struct<at:int,found:array<int>>")
+    # A match starts where the gaps and matches before it end.
+    step = lambda done, gap: F.struct((done["at"] + gap + F.length("term")).alias("at"), F.concat(done["found"], F.array(done["at"] + gap)).alias("found"))
+    places = F.aggregate(F.slice("_gaps", 1, F.size("_gaps") - 1), none, step, lambda done: done["found"])
+    full = full.withColumn("_gaps", gaps).withColumn("_at", places).withColumn("position", F.get("_at", F.lit(0)))
+    listed = F.transform("_at", lambda p: F.struct(p.alias("position"), _snippet(F.col("text"), p, F.length("term"), context).alias("snippet")))
+    marked = F.regexp_replace(F.col("snippet"), F.concat(F.lit("(?i)("), _quoted(F.col("query")), F.lit(")")), F.lit("<mark>$1</mark>"))
+    full = full.withColumn("matches", listed).withColumn("snippet", F.get("matches", F.lit(0))["snippet"]).withColumn("highlighted", marked)
+    return full.select("document_id", "filename", "document_type", "query", "match_count", "match_type", "position", "rank", "snippet", "highlighted", "matches")
 
 
 def match_positions(documents: DataFrame, term: str) -> DataFrame:

@@ -76,16 +76,23 @@ def test_fixed_chunks_rebuild_the_text(spark):
     assert {r["doc_id"]: (r["n"], r["c"]) for r in rows} == {1: (1, 800), 2: (2, 801), 3: (1, 1)}
 
 
+def asked(spark, *queries):
+    return spark.createDataFrame([(q,) for q in queries], "query string")
+
+
 def test_document_search_match_types(spark):
     rows = [(1, "a", "t", "The old cat sat. Cat!", "indexed"), (2, "b", "t", "concatenate", "indexed"), (3, "c", "t", "an old cat here", "processed"), (4, "d", "t", "cat", "failed"), (5, "e", "t", "écat scatter", "indexed")]
     docs = spark.createDataFrame(rows, "document_id bigint, filename string, document_type string, text string, status string")
-    got = {(r["query"], r["document_id"]): (r["match_count"], r["match_type"], r["position"]) for r in search.search_documents(docs, ["cat", "old cat"]).collect()}
+    got = {(r["query"], r["document_id"]): (r["match_count"], r["match_type"], r["position"]) for r in search.search_documents(docs, asked(spark, "cat", "old cat")).collect()}
     assert got == {
         ("cat", 1): (2, "word", 9), ("cat", 2): (1, "substring", 4), ("cat", 3): (1, "word", 8), ("cat", 5): (2, "substring", 2),
         ("old cat", 1): (1, "phrase", 5), ("old cat", 3): (1, "phrase", 4),
     }
-    marked = search.search_documents(docs, ["cat"]).filter("document_id = 1").first()["highlighted"]
+    marked = search.search_documents(docs, asked(spark, "cat"), document_type="t").filter("document_id = 1").first()["highlighted"]
     assert marked == "The old <mark>cat</mark> sat. <mark>Cat</mark>!"
+    listed = search.search_documents(docs, asked(spark, "cat")).filter("document_id IN (1, 5)").orderBy("document_id").collect()
+    assert [[m["position"] for m in r["matches"]] for r in listed] == [[9, 18], [2, 7]]
+    assert search.search_documents(docs, asked(spark, "cat"), document_type="u").count() == 0
 
 
 def test_vector_topk_blocks_and_zero_vector(spark):
@@ -99,7 +106,13 @@ def test_vector_topk_blocks_and_zero_vector(spark):
     assert all(r["vector_id"] == r["query_id"] for r in one if r["rank"] == 1)
 
 
-def test_price_limit():
-    assert search.price_limit("shoes under 2,000") == 2000.0
-    assert search.price_limit("red shirt ₹1500") == 1500.0
-    assert search.price_limit("red shirt") is None
+def test_price_limit(spark):
+    want = {"shoes under 2,000": 2000.0, "red shirt ₹1500": 1500.0, "red shirt": None, "less than 5 below 7.5 ok": 7.5, "a1b2 c3": 12.0, "under x9": 9.0, "below 0": None}
+    got = asked(spark, *want).select("query", search.price_limit().alias("cap")).collect()
+    assert {r["query"]: r["cap"] for r in got} == want
+
+
+def test_attribute_match_fills_up_by_price(spark):
+    products = spark.createDataFrame([(i, f"thing {i}", "x", "", float(i)) for i in range(9)], "id long, name string, category string, description string, price double")
+    got = search.attribute_match(products, asked(spark, "thing 4 under 5", "none"), 3).orderBy("query", "rank").collect()
+    assert [(r["query"], r["id"], r["score"]) for r in got] == [("none", 0, 0), ("none", 1, 0), ("none", 2, 0), ("thing 4 under 5", 4, 4), ("thing 4 under 5", 5, 4), ("thing 4 under 5", 0, 2)]
