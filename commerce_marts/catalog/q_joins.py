@@ -126,7 +126,7 @@ def _(t):
 
 @query("J12_copurchase_large_orders", COPURCHASE)
 def _(t):
-    return recommend.copurchase(t.order_items, t.products, 4, large=4)
+    return recommend.copurchase(t.order_items, t.products, 4, block=4)
 
 
 @query("J13_category_neighbours", """SELECT p.id AS product_id, q.id AS other_id, row_number() OVER (PARTITION BY p.id ORDER BY q.id) AS rank
@@ -254,6 +254,8 @@ add_cte("s_segments", """SELECT *, CASE WHEN total_orders = 0 THEN 'new_customer
     SELECT g.user_id, g.segment, h.rank, h.id AS product_id, h.reason FROM s_segments g JOIN shared h ON g.segment = h.segment UNION ALL
     SELECT g.user_id, g.segment, n.rank, n.id, 'New in ' || a.category FROM s_segments g JOIN a ON g.user_id = a.user_id JOIN n ON a.category = n.category
         WHERE g.segment = 'active_shopper' UNION ALL
+    SELECT g.user_id, g.segment, w.rank, w.id, 'New Arrivals' FROM s_segments g, (SELECT id, row_number() OVER (ORDER BY created_at DESC, id) AS rank FROM r_products QUALIFY rank <= 8) w
+        WHERE g.segment = 'active_shopper' AND g.user_id NOT IN (SELECT user_id FROM a) UNION ALL
     SELECT user_id, segment, rank, product_id, CASE tier WHEN 0 THEN 'Similar to your purchase' ELSE 'Trending' END FROM mixed""")
 def _(t):
     affinity = customers.category_affinity(joins.items_with_user(s.fact_items(t), t.orders))

@@ -1,5 +1,5 @@
-"""Recommendations. None of them pairs all members of a group: lists per category are cut to what a
-reader can need before they are joined, and large orders are counted by signature, not by pairs."""
+"""Recommendations. Lists per category are cut to what a reader can need before they are joined; products
+bought together are counted block by block of an order."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import joins
+from .onerow import beside
 from .ordered import top_n
 
 
@@ -14,62 +15,26 @@ def by_popularity() -> list[Column]:
     return [F.desc("stock"), F.desc("created_at"), F.asc("id")]
 
 
-def copurchase_counts(items: DataFrame, k: int, large: int = 200) -> DataFrame:
-    """Candidate pairs with the number of orders that hold both products.
+def copurchase_counts(items: DataFrame, block: int = 200) -> DataFrame:
+    """All pairs of products with the number of orders that hold both.
 
-    Orders of up to ``large`` distinct products are paired directly. A larger order would add a
-    square number of pairs, so products are grouped by the set of large orders that hold them, their
-    signature: products with one signature are alike, and only signatures are compared. Each product
-    then needs the ``k + 1`` lowest ids per signature besides its direct partners: a partner outside
-    these cannot reach the first ``k``. Counts are exact; repeated lines count as often as they occur
-    on the partner side.
+    The products of an order are dealt to blocks of about ``block`` and blocks are paired, so the
+    pairs of one order are made and summed by many tasks, none of which holds more than two blocks
+    of it. Repeated lines count as often as they occur on the partner side.
     """
     lines = items.groupBy("order_id", "product_id").agg(F.count(F.lit(1)).alias("lines"))
-    sizes = lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("_size"))
-    sized = lines.join(sizes, "order_id")
-    small = sized.filter(F.col("_size") <= large)
-    left = small.select("order_id", "product_id")
-    right = small.select("order_id", F.col("product_id").alias("other_id"), "lines")
-    direct = left.join(right, "order_id").filter("product_id <> other_id")
-    direct = direct.groupBy("product_id", "other_id").agg(F.sum("lines").alias("direct"))
-
-    big = sized.filter(F.col("_size") > large).select("order_id", "product_id", "lines")
-    # Two order-free hashes of the (order, lines) set stand for the list itself.
-    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "order_id", "lines")).cast("string") for seed in (1, 2)]
-    held = big.groupBy("product_id").agg(F.concat_ws(":", *marks).alias("sig"))
-    sigs = big.join(held, "product_id").select("sig", "order_id", "lines").distinct()
-    overlap = (
-        sigs.select("order_id", "sig")
-        .join(sigs.select("order_id", F.col("sig").alias("other_sig"), "lines"), "order_id")
-        .groupBy("sig", "other_sig")
-        .agg(F.sum("lines").alias("shared"))
-    )
-    heads = top_n(held.select("product_id", "sig"), ["sig"], [F.asc("product_id")], k + 1, rank="_pos")
-    heads = heads.select(F.col("sig").alias("other_sig"), F.col("product_id").alias("other_id"))
-    # The best k + 1 partners per signature, so a signature never lists all the products it meets.
-    near = top_n(overlap.join(heads, "other_sig"), ["sig"], [F.desc("shared"), F.asc("other_id")], k + 1, rank="_pos")
-    near = near.select("sig", "other_id")
-    by_sig = held.select("product_id", "sig")
-    candidates = (
-        by_sig.join(near, "sig").filter("product_id <> other_id").select("product_id", "other_id")
-        .unionByName(direct.select("product_id", "other_id"))
-        .distinct()
-    )
-    return (
-        candidates.join(by_sig, "product_id", "left")
-        .join(by_sig.select(F.col("product_id").alias("other_id"), F.col("sig").alias("other_sig")), "other_id", "left")
-        .join(overlap, ["sig", "other_sig"], "left")
-        .join(direct, ["product_id", "other_id"], "left")
-        .select(
-            "product_id", "other_id",
-            (F.coalesce("direct", F.lit(0)) + F.coalesce("shared", F.lit(0))).alias("frequency"),
-        )
-    )
+    sizes = lines.groupBy("order_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    dealt = lines.join(sizes, "order_id").withColumn("_own", F.pmod(F.xxhash64("product_id"), "_blocks").cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    left = dealt.select("order_id", F.col("_own").alias("_p"), each.alias("_q"), "product_id")
+    right = dealt.select("order_id", each.alias("_p"), F.col("_own").alias("_q"), F.col("product_id").alias("other_id"), "lines")
+    pairs = left.join(right, ["order_id", "_p", "_q"]).filter("product_id <> other_id")
+    return pairs.groupBy("product_id", "other_id").agg(F.sum("lines").alias("frequency"))
 
 
-def copurchase(items: DataFrame, products: DataFrame, k: int = 4, large: int = 200) -> DataFrame:
+def copurchase(items: DataFrame, products: DataFrame, k: int = 4, block: int = 200) -> DataFrame:
     """The ``k`` products most often in the same orders; category neighbours where there are none."""
-    best = top_n(copurchase_counts(items, k, large), ["product_id"], [F.desc("frequency"), F.asc("other_id")], k, rank="rank")
+    best = top_n(copurchase_counts(items, block), ["product_id"], [F.desc("frequency"), F.asc("other_id")], k, rank="rank")
     alone = products.join(best.select(F.col("product_id").alias("id")), "id", "left_anti")
     stocked = products.filter("stock > 0")
     fallback = category_neighbours(alone, k, [F.desc("stock"), F.asc("id")], pool=stocked).withColumn("frequency", F.lit(0).cast("bigint"))
@@ -105,8 +70,8 @@ def recommend_unseen(users: DataFrame, orders: DataFrame, items: DataFrame, prod
     own = top_n(fresh, ["user_id"], by_popularity(), k, rank="rank").select("user_id", F.col("id").alias("product_id"), "rank")
     rest = users.select(F.col("id").alias("user_id")).join(own.select("user_id"), "user_id", "left_anti")
     general = popular(products, k)
-    everyone = rest.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(k)))).join(general, "rank").select("user_id", "product_id", "rank")
-    return own.withColumn("source", F.lit("category")).unionByName(everyone.withColumn("source", F.lit("popular")))
+    everyone = _each(rest, general)
+    return own.withColumn("source", F.lit("category")).unionByName(everyone.select("user_id", "product_id", "rank").withColumn("source", F.lit("popular")))
 
 
 def _positions(stocked: DataFrame) -> DataFrame:
@@ -122,6 +87,12 @@ def _positions(stocked: DataFrame) -> DataFrame:
     return placed.select("category", (F.col("_before") + F.col("_in")).cast("int").alias("_pos"), "id", "stock", "created_at")
 
 
+def _each(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """Every row with every entry of a short list, which goes to the tasks as one array."""
+    one = listed.agg(F.collect_list(F.struct(*listed.columns)).alias("_list"))
+    return beside(rows, one).select(*rows.columns, F.inline("_list"))
+
+
 def popular(products: DataFrame, k: int) -> DataFrame:
     """The ``k`` best stocked, newest products with their rank."""
     return top_n(products, [], by_popularity(), k, rank="rank").select("rank", F.col("id").alias("product_id"))
@@ -131,7 +102,7 @@ def segment_recommendations(segments: DataFrame, affinity: DataFrame, orders: Da
     """Product list per customer chosen by segment.
 
     New customers see what is popular, high spenders premium goods, active shoppers new goods of
-    their first category, explorers the best stocked product of each category, and all others
+    their first category or, without one, any new goods, explorers the best stocked product of each category, and all others
     neighbours of the products in their last order, filled up with well-stocked goods.
     Lists are ranked once per strategy and joined by segment.
     """
@@ -158,6 +129,9 @@ def segment_recommendations(segments: DataFrame, affinity: DataFrame, orders: Da
         "user_id", "segment", "rank", "product_id", F.concat(F.lit("New in "), "category").alias("reason")
     )
 
+    anything = top_n(products, [], newest, k, rank="rank").select("rank", F.col("id").alias("product_id"), F.lit("New Arrivals").alias("reason"))
+    untold = _each(active.join(first.select("user_id"), "user_id", "left_anti").select("user_id", "segment"), anything)
+
     others = segments.filter(~F.col("segment").isin("new_customer", "vip_customer", "high_value", "active_shopper", "explorer"))
     last = top_n(orders.select("user_id", "id", "created_at"), ["user_id"], [F.desc("created_at"), F.desc("id")], 1)
     basket = last.select("user_id", F.col("id").alias("order_id")).join(items.select("order_id", "product_id"), "order_id").distinct()
@@ -168,9 +142,9 @@ def segment_recommendations(segments: DataFrame, affinity: DataFrame, orders: Da
         .select("user_id", "segment", F.col("other_id").alias("product_id"), F.lit(0).alias("_tier"), "_at.product_id", "_at.rank")
     ).toDF("user_id", "segment", "product_id", "_tier", "_a", "_b")
     stocked = top_n(products, [], [F.desc("stock"), F.asc("id")], k, rank="_b").select(F.col("id").alias("product_id"), "_b")
-    filler = others.select("user_id", "segment").withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(k)))).join(stocked, "_b")
+    filler = _each(others.select("user_id", "segment"), stocked)
     filler = filler.select("user_id", "segment", "product_id", F.lit(1).alias("_tier"), F.lit(0).cast("bigint").alias("_a"), "_b")
     mixed = top_n(similar.unionByName(filler), ["user_id"], [F.asc("_tier"), F.asc("_a"), F.asc("_b"), F.asc("product_id")], k, rank="rank")
     reason = F.when(F.col("_tier") == 0, "Similar to your purchase").otherwise("Trending")
     rest = mixed.select("user_id", "segment", "rank", "product_id", reason.alias("reason"))
-    return by_segment.unionByName(by_category).unionByName(rest)
+    return by_segment.unionByName(by_category).unionByName(untold).unionByName(rest)

@@ -3,6 +3,8 @@
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from commerce_marts.operators import recommend
 
 
@@ -37,6 +39,19 @@ def test_copurchase_with_large_orders(spark):
     assert [r["other_id"] for r in alone] == [6, 13, 20, 27]
 
 
+def test_copurchase_of_a_dozen_large_orders(spark):
+    """Orders over 500 of 600 products, each product in its own set of orders."""
+    rng = random.Random(6)
+    lines = [(o, p) for o in range(12) for p in rng.sample(range(600), 500)]
+    items = spark.createDataFrame(lines, "order_id bigint, product_id bigint").repartition(4)
+    want = brute(lines, 4)
+    counts = recommend.copurchase_counts(items)
+    got = defaultdict(list)
+    for r in recommend.top_n(counts, ["product_id"], [F.desc("frequency"), F.asc("other_id")], 4).collect():
+        got[r["product_id"]].append((r["other_id"], r["frequency"]))
+    assert {p: sorted(v, key=lambda x: (-x[1], x[0])) for p, v in got.items()} == want
+
+
 def test_category_neighbours_excludes_self(spark):
     products = spark.createDataFrame([(i, "a" if i < 5 else "b") for i in range(6)], "id bigint, category string")
     got = defaultdict(list)
