@@ -33,8 +33,10 @@ WORDS, NUM, DEN = 5, 4, 5
 BAND = 1.25
 #: Keys with at most this many classes give all pairs.
 FEW = 8
-#: Buckets of the histograms that bound the difference of two sets.
-HISTOGRAM = 128
+#: Buckets of the histograms that bound the difference of two sets: for candidate pairs, and for pairs within full keys.
+HISTOGRAM, WIDE = 128, 512
+#: Closest classes to which each one of a full key is compared at first.
+NEAREST = 3
 #: Text that a task turns to keys at once; classes that it remembers; classes of a block; bytes of keys for a task.
 STEP_BYTES, SEEN, BLOCK, TASK_BYTES = 8 << 20, 500_000, 1024, 64 << 20
 #: Parts into which the keys of empty segments are divided.
@@ -75,8 +77,8 @@ def class_of(own: np.ndarray) -> int:
     return int(mix(mix(own).sum(keepdims=True) + np.array([len(own)], np.uint64) * _PLACES[0]).view(np.int64)[0])
 
 
-def histogram(own: np.ndarray) -> bytes:
-    counts = np.bincount((mix(own) & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM)
+def histogram(own: np.ndarray, buckets: int) -> bytes:
+    counts = np.bincount((mix(own) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
@@ -184,9 +186,9 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.array([histogram(s) for s in sets], pa.binary()),
+                    pa.array([histogram(s, HISTOGRAM) for s in sets], pa.binary()), pa.array([histogram(s, WIDE) for s in sets], pa.binary()),
                 ],
-                ["doc_id", "n", "class", "histogram"],
+                ["doc_id", "n", "class", "histogram", "wide"],
             )
 
 
@@ -341,17 +343,17 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _matrix(column: pa.Array) -> np.ndarray:
     raw, _ = buffers(column)
-    return raw.reshape(len(column), HISTOGRAM).astype(np.int16)
+    return raw.reshape(len(column), -1).astype(np.int16) if len(column) else np.zeros((0, HISTOGRAM), np.int16)
 
 
-def _near_enough(hx: np.ndarray, hy: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
-    """Pairs whose histograms do not rule them out."""
+def _near_enough(apart: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Pairs of sets that neither their sizes nor the distance of their histograms rule out."""
     sizes = (np.minimum(nx, ny) * DEN >= np.maximum(nx, ny) * NUM) & (np.minimum(nx, ny) > 0)
-    return sizes & (np.abs(hx - hy).sum(axis=-1) <= differing(nx + ny))
+    return sizes & (apart <= differing(nx + ny))
 
 
 def _possible(hx: pa.Array, hy: pa.Array, nx: pa.Array, ny: pa.Array) -> pa.Array:
-    return pa.array(_near_enough(_matrix(hx), _matrix(hy), np.asarray(nx), np.asarray(ny)))
+    return pa.array(_near_enough(np.abs(_matrix(hx) - _matrix(hy)).sum(axis=1), np.asarray(nx), np.asarray(ny)))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -386,8 +388,11 @@ def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(same))
 
 
-def _owed(first: bool, block: np.ndarray, names: np.ndarray, labels: np.ndarray, sizes: np.ndarray, bars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one block, or of two, that lie in different groups so far and that the histograms do not rule out."""
+def _owed(first: bool, block: np.ndarray, names: np.ndarray, labels: np.ndarray, sizes: np.ndarray, bars: np.ndarray, nearest: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one block, or of two, that lie in different groups so far and that the histograms do not rule out.
+
+    With ``nearest`` only that many for each row, the closest ones.
+    """
     if first:
         # Rows of the largest group are compared with all others, not with each other.
         values, counts = np.unique(labels, return_counts=True)
@@ -395,10 +400,15 @@ def _owed(first: bool, block: np.ndarray, names: np.ndarray, labels: np.ndarray,
     else:
         left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
     found = []
-    for at in range(0, len(left), 32):
-        own = left[at : at + 32]
-        hit = labels[own][:, None] != labels[right][None, :]
-        hit &= _near_enough(bars[own][:, None, :], bars[right][None, :, :], sizes[own][:, None], sizes[right][None, :])
+    for at in range(0, len(left), 16):
+        own = left[at : at + 16]
+        apart = np.stack([np.abs(bars[i] - bars[right]).sum(axis=1) for i in own])
+        hit = _near_enough(apart, sizes[own][:, None], sizes[right][None, :]) & (labels[own][:, None] != labels[right][None, :])
+        if nearest is not None and hit.shape[1] > nearest:
+            closest = np.argpartition(np.where(hit, apart, 1 << 20), nearest, axis=1)[:, :nearest]
+            chosen = np.zeros_like(hit)
+            np.put_along_axis(chosen, closest, True, axis=1)
+            hit &= chosen
         x, y = np.nonzero(hit)
         found.append((names[own[x]], names[right[y]]))
     if not found:
@@ -406,7 +416,7 @@ def _owed(first: bool, block: np.ndarray, names: np.ndarray, labels: np.ndarray,
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], nearest: int | None) -> Iterator[pa.RecordBatch]:
     """Owed pairs of rows sorted by (key, p, q); rows of one such unit, two blocks at most, are held at once."""
     held: list[pa.RecordBatch] = []
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
@@ -419,7 +429,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, q, block, names, labels, sizes = (np.asarray(rows.column(i)) for i in range(1, 7))
         bars = _matrix(rows.column(7))
         for a, b in zip(starts, np.append(starts[1:], rows.num_rows), strict=True):
-            pairs.append(_owed(p[a] == q[a], block[a:b], names[a:b], labels[a:b], sizes[a:b], bars[a:b]))
+            pairs.append(_owed(p[a] == q[a], block[a:b], names[a:b], labels[a:b], sizes[a:b], bars[a:b], nearest))
 
     def flush() -> Iterator[pa.RecordBatch]:
         x, y = _distinct_pairs(np.concatenate([f[0] for f in pairs]), np.concatenate([f[1] for f in pairs]))
@@ -465,8 +475,11 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     return settle(pairs.select("x", "y", "tx", "ty").mapInArrow(_verify, "x long, y long"), "similar")
 
 
-def _rest(members: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs that keys with many classes still owe: all between classes that no link connects so far."""
+def _rest(members: DataFrame, groups: DataFrame, classes: DataFrame, nearest: int | None) -> DataFrame:
+    """Pairs that keys with many classes still owe: all between classes that no link connects so far.
+
+    With ``nearest`` only those of each class and its closest ones.
+    """
     labelled = members.join(groups.select(F.col("node").alias("class"), F.col("component").alias("label")), "class", "left")
     labelled = settle(labelled.select("key", "class", F.coalesce("label", "class").alias("label")), "members")
     open_ = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sum"))
@@ -474,9 +487,9 @@ def _rest(members: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFram
     open_ = open_.filter("low < high").groupBy("size", "sum", "low", "high").agg(F.min("key").alias("key"))
     open_ = settle(open_.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "open")
     rows = labelled.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
-    rows = rows.join(classes.select("class", "n", "histogram"), "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = rows.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "class", "label", "n", "histogram")
-    found = placed.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_compare, "x long, y long")
+    rows = rows.join(classes.select("class", "n", "wide"), "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = rows.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "class", "label", "n", "wide")
+    found = placed.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(lambda batches: _compare(batches, nearest), "x long, y long")
     return found.distinct()
 
 
@@ -492,9 +505,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text"))
-    described = settle(rows.mapInArrow(_describe, "doc_id long, n long, class long, histogram binary"), "sets")
+    described = settle(rows.mapInArrow(_describe, "doc_id long, n long, class long, histogram binary, wide binary"), "sets")
     known = described.filter("class is not null")
-    classes = known.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("histogram").alias("histogram"))
+    classes = known.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("histogram").alias("histogram"), F.min("wide").alias("wide"))
     classes = settle(classes, "classes")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(tasks, -(-(described.agg(F.sum("n")).first()[0] or 0) * 10 // TASK_BYTES))
@@ -505,10 +518,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = _links(pairs, classes, rows)
     groups = components(links)
     members = found.filter("kind = 2").select(F.col("x").alias("key"), F.col("y").alias("class")).distinct()
-    owed = settle(_rest(members, groups, classes), "owed")
-    if not owed.isEmpty():
-        links = links.unionByName(_links(owed, classes, rows))
-        groups = components(links)
+    # The closest pairs connect most of a group of near copies; then all pairs that are still between groups are due.
+    for nearest in (NEAREST, None):
+        owed = settle(_rest(members, groups, classes, nearest), "owed")
+        if not owed.isEmpty():
+            links = links.unionByName(_links(owed, classes, rows))
+            groups = components(links)
     named = classes.select("class", "rep").join(groups.withColumnRenamed("node", "class"), "class", "left")
     named = settle(named.select("class", "rep", F.coalesce("component", "class").alias("component")), "grouped")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
