@@ -21,6 +21,15 @@ def counted(pairs, t, name="rows"):
     return t.spark.createDataFrame([(k, int(v)) for k, v in pairs.items()], f"table_name string, {name} bigint").coalesce(1)
 
 
+def summed(df, name, value, digits=2):
+    """Rows of a table that was read back, and the sum of one of its columns."""
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col(value).cast(f"decimal(18,{digits})")).cast("double").alias("amount")).select(F.lit(name).alias("table_name"), "rows", "amount")
+
+
+def plus(out, one):
+    return one if out is None else out.unionByName(one)
+
+
 @query("S01_read_source", "SELECT o_orderstatus AS status, count(*) AS rows FROM orders GROUP BY 1")
 def _(t):
     df = readers.read_source(t.spark, "parquet", path=f"{t.root}/orders.parquet")
@@ -40,11 +49,14 @@ def _(t):
     return t.spark.read.parquet(path).groupBy("category").agg(F.count(F.lit(1)).alias("products"), metrics.money_sum("price").alias("price"))
 
 
-@query("S04_orders_with_items", "SELECT 'orders' AS table_name, count(*) AS rows FROM r_orders UNION ALL SELECT 'order_items', count(*) FROM r_items")
+@query("S04_orders_with_items", "SELECT 'orders' AS table_name, count(*) AS rows, msum(total_amount) AS amount FROM r_orders UNION ALL SELECT 'order_items', count(*), msum(quantity) FROM r_items")
 def _(t):
     root = shared_dir(t.spark, "ingest")
-    tables = {"orders": t.orders, "order_items": t.order_items}
-    return counted({n: sinks.write_table(readers.with_ingest_meta(df, DAY, "store", DAY), f"{root}/{n}") for n, df in tables.items()}, t)
+    out = None
+    for name, df, value in (("orders", t.orders, "total_amount"), ("order_items", t.order_items, "quantity")):
+        sinks.write_table(readers.with_ingest_meta(df, DAY, "store", DAY), f"{root}/{name}")
+        out = plus(out, summed(t.spark.read.parquet(f"{root}/{name}"), name, value))
+    return out
 
 
 @query("S05_ticket_ingest", "SELECT created_at::date AS created_on, count(*) AS tickets FROM r_tickets GROUP BY 1")
@@ -67,12 +79,16 @@ def _(t):
     return out
 
 
-COPIED = ["customer", "part", "orders", "lineitem", "events"]
+COPIED = {"customer": "c_acctbal", "part": "p_retailprice", "orders": "o_totalprice", "lineitem": "l_extendedprice", "events": "value"}
 
 
-@query("S07_land_all", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS rows FROM {n}" for n in COPIED))
+@query("S07_land_all", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS rows, msum({c}) AS amount FROM {n}" for n, c in COPIED.items()))
 def _(t):
-    return counted(sinks.land_all({n: t.raw(n) for n in COPIED}, shared_dir(t.spark, "landing"), dt.date(2001, 8, 2)), t)
+    root, out = shared_dir(t.spark, "landing"), None
+    sinks.land_all({n: t.raw(n) for n in COPIED}, root, dt.date(2001, 8, 2))
+    for name, value in COPIED.items():
+        out = plus(out, summed(t.spark.read.parquet(f"{root}/{name}/2001/08/02"), name, value))
+    return out
 
 
 @query("S08_json_landing", "SELECT event_type, count(*) AS events, msum(value) AS value FROM events GROUP BY 1")
@@ -157,20 +173,30 @@ def _(t):
     return readers.rows_to_df(t.spark, t.raw("events").select(F.when(F.col("event_id") % 5 == 0, "{oops").otherwise(good).alias("payload")))
 
 
-@query("S14_export_csv", "SELECT 'users' AS table_name, count(*) AS rows FROM r_users UNION ALL SELECT 'products', count(*) FROM r_products UNION ALL SELECT 'orders', count(*) FROM r_orders")
+@query("S14_export_csv", "SELECT 'users' AS table_name, count(*) AS rows, msum(id) AS amount FROM r_users UNION ALL SELECT 'products', count(*), msum(price) FROM r_products UNION ALL SELECT 'orders', count(*), msum(total_amount) FROM r_orders")
 def _(t):
-    return counted(sinks.export_csv({"users": t.users, "products": t.products, "orders": t.orders}, shared_dir(t.spark, "csv")), t)
+    root, out = shared_dir(t.spark, "csv"), None
+    sinks.export_csv({"users": t.users, "products": t.products, "orders": t.orders}, root)
+    for name, value in (("users", "id"), ("products", "price"), ("orders", "total_amount")):
+        out = plus(out, summed(t.spark.read.option("header", True).csv(f"{root}/{name}"), name, value))
+    return out
 
 
-def stock_table(t):
-    """A product snapshot with two rounds of changes."""
-    table = sinks.SnapshotTable(t.spark, shared_dir(t.spark, "stock"))
+def stock_changes(t):
+    """Products, and two rounds of changes to them in one batch."""
     base = t.products.select("id", "category", "price", "stock", F.lit(0).alias("seq"))
-    table.commit(base, dt.datetime(2001, 8, 1))
     moved = base.filter("stock < 30").select("id", "category", "price", (F.col("stock") + 100).alias("stock"), F.lit(1).alias("seq"))
     again = base.filter("stock < 10").select((F.col("id") + 1_000_000_000).alias("id"), "category", "price", "stock", F.lit(2).alias("seq"))
     later = base.filter("stock < 20").select("id", "category", "price", (F.col("stock") + 200).alias("stock"), F.lit(3).alias("seq"))
-    table.upsert(moved.unionByName(again).unionByName(later), ["id"], "seq", dt.datetime(2001, 8, 5))
+    return base, moved.unionByName(again).unionByName(later)
+
+
+def stock_table(t):
+    """A product snapshot with two rounds of changes."""
+    table = sinks.SnapshotTable(t.spark, shared_dir(t.spark, "stock"))
+    base, changes = stock_changes(t)
+    table.commit(base, dt.datetime(2001, 8, 1))
+    table.upsert(changes, ["id"], "seq", dt.datetime(2001, 8, 5))
     return table
 
 
@@ -180,7 +206,8 @@ UPSERTED = """SELECT id, category, CASE WHEN stock < 20 THEN stock + 200 WHEN st
 
 @query("S15_upsert", UPSERTED)
 def _(t):
-    return stock_table(t).read().select("id", "category", "stock")
+    base, changes = stock_changes(t)
+    return sinks.upsert(base, changes, ["id"], "seq").select("id", "category", "stock")
 
 
 @query("S17_compact", UPSERTED)
@@ -232,7 +259,7 @@ def _(t):
     return readers.catalog_profile({"users": t.users, "products": t.products, "order_items": t.order_items}).drop("types")
 
 
-@query("S22_page", "SELECT id, name, email FROM r_users ORDER BY id LIMIT 25 OFFSET 50")
+@query("S22_page", "SELECT id, name, email, (SELECT count(*) FROM r_users) AS total FROM r_users ORDER BY id LIMIT 25 OFFSET 50")
 def _(t):
     return readers.page(t.users.select("id", "name", "email"), ["id"], 25, 50)
 
@@ -246,20 +273,20 @@ def _(t):
     return out
 
 
-@query("X19_replace_chunks", """SELECT doc_id AS document_id, (least(length(text), CASE WHEN doc_id % 2 = 0 THEN 2000 ELSE 100000000 END) + 799) // 800 AS chunks FROM documents WHERE length(text) > 0""")
+@query("X19_replace_chunks", """SELECT doc_id AS document_id, (length(text) * CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END + 799) // 800 AS chunks FROM documents WHERE length(text) > 0""")
 def _(t):
     from ..operators import chunking, joins, search
 
-    # Every second document gets a new, shorter text; all its old chunks go, not only those with equal ids.
+    # Every second document gets a new text, the old one twice; all its old chunks go, not only those with equal ids.
     old = chunking.chunk_fixed(t.documents, "document_id")
-    renewed = t.documents.filter("document_id % 2 = 0").withColumn("text", F.substring("text", 1, 2000))
+    renewed = t.documents.filter("document_id % 2 = 0").withColumn("text", F.concat("text", "text"))
     fresh = chunking.chunk_fixed(renewed, "document_id")
     merged = joins.new_rows(old, fresh.select("document_id").distinct(), ["document_id"]).unionByName(fresh)
     return search.chunk_inventory(merged, "document_id").withColumnRenamed("total_chunks", "chunks")
 
 
 def history(t):
-    """Customer tiers as of mid-1998, then merged with the tiers of all orders."""
+    """Customer tiers by the orders before 1996, without every tenth customer so that new keys occur; then merged with the tiers of all orders."""
     early = staging.dim_customers(t.users, t.orders.filter("created_at < timestamp_ntz'1996-01-01 00:00:00'"), "1996-01-01").filter("id % 10 <> 0")
     cols = ["id", "email", "customer_segment", "effective_date", "expiration_date", "is_current"]
     now = s.dim_customers(t).select("id", "email", "customer_segment")

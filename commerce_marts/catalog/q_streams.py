@@ -45,9 +45,8 @@ def _(t):
     root = shared_dir(t.spark, "refresh")
     t.raw("events").repartition(3, "event_id").write.parquet(f"{root}/in")
     source = streams.file_stream(t.spark, f"{root}/in", RAW_SCHEMAS["events"], max_files=1)
-    table = sinks.SnapshotTable(t.spark, f"{root}/table")
-    streams.refresh_totals(source, table, "user_id", "value", f"{root}/checkpoint").start().awaitTermination()
-    return table.read().select("user_id", "rows", F.col("amount").cast("double").alias("amount"))
+    streams.refresh_totals(source, f"{root}/totals", "user_id", "value", f"{root}/checkpoint").start().awaitTermination()
+    return streams.read_totals(t.spark, f"{root}/totals", "user_id").withColumn("amount", F.col("amount").cast("double"))
 
 
 def windows_sql(where, limit):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.timeutil import AsOf, as_of_ts
+from ..operators.onerow import beside
 
 
 def read_source(spark: SparkSession, fmt: str, schema: str | None = None, bounds: tuple[str, int, int, int] | None = None, **options) -> DataFrame:
@@ -128,8 +129,8 @@ def catalog_profile(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def page(df: DataFrame, order_by: list[str], limit: int, offset: int = 0) -> DataFrame:
-    """One page of a table in a fixed order."""
-    return df.orderBy(*order_by).offset(offset).limit(limit)
+    """One page of a table in a fixed order, each row with the ``total`` number of rows."""
+    return beside(df.orderBy(*order_by).offset(offset).limit(limit), df.agg(F.count(F.lit(1)).alias("total")))
 
 
 def layer_sample(tables: dict[str, DataFrame], n: int = 100) -> dict[str, tuple[DataFrame, bool]]:

@@ -6,15 +6,12 @@ appear in append mode once a window is closed.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.money import money_sum
 from ..operators.filters import apply_rules
-from ..sources.sinks import SnapshotTable
 
 MAX_FILES = 100
 EVERY = "5 minutes"
@@ -111,29 +108,26 @@ def sales_daily(orders: DataFrame, delay: str = "1 hour") -> DataFrame:
     return daily.select(F.col("window.start").alias("day"), *[c for c in daily.columns if c != "window"])
 
 
-def refresh_totals(source: DataFrame, table: SnapshotTable, key: str, amount: str, checkpoint: str, once: bool = True) -> DataStreamWriter:
-    """Keep a table of (key, rows, amount) fresh: each micro-batch upserts only the keys it touches.
+def refresh_totals(source: DataFrame, path: str, key: str, amount: str, checkpoint: str, once: bool = True) -> DataStreamWriter:
+    """Keep totals by key fresh: each micro-batch stores only its own sums, in a folder of its own.
 
-    Every row remembers the last batch that changed it, so a repeated batch adds nothing.
+    A repeated batch replaces its folder, so it counts once; nothing that is stored is read or
+    written again. :func:`read_totals` adds the batches up.
     """
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        delta = batch.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(amount).cast("decimal(18,2)")).alias("_s"))
-        current = table.read().select(key, "rows", "amount", "last_batch")
-        joined = delta.join(current, key, "left").filter(F.coalesce(F.col("last_batch") < batch_id, F.lit(True)))
-        fresh = joined.select(
-            key, (F.coalesce("rows", F.lit(0)) + F.col("_n")).alias("rows"),
-            (F.coalesce("amount", F.lit(0)) + F.col("_s")).cast("decimal(28,2)").alias("amount"), F.lit(batch_id).cast("bigint").alias("last_batch"),
-        )
-        table.upsert(fresh, [key], "last_batch", dt.datetime.fromtimestamp(batch_id, dt.timezone.utc).replace(tzinfo=None))
-
-    if table.latest() is None:
-        shape = f"{key} {source.schema[key].dataType.simpleString()}, rows bigint, amount decimal(28,2), last_batch bigint"
-        table.commit(source.sparkSession.createDataFrame([], shape), dt.datetime(1970, 1, 1))
-    out = source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    def store(batch: DataFrame, batch_id: int) -> None:
+        sums = batch.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col(amount).cast("decimal(18,2)")).cast("decimal(28,2)").alias("amount"))
+        sums.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    out = source.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return out.trigger(availableNow=True) if once else out.trigger(processingTime=EVERY)
 
 
+def read_totals(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """Rows and amount by key over all stored batches."""
+    return spark.read.parquet(path).groupBy(key).agg(F.sum("rows").alias("rows"), F.sum("amount").cast("decimal(28,2)").alias("amount"))
+
+
 def stream_alerts(source: DataFrame, rules: list[tuple[str, str, str]], key: Column, path: str, checkpoint: str, once: bool = True) -> DataStreamWriter:
     """Apply alert rules to every micro-batch; each batch writes its own folder, so a repeat replaces it."""
 
