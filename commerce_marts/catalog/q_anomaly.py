@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import anomaly, metrics, ordered
 from ..plans import kpis
+from ..session import cut_lineage
 from . import shared as s
 from .registry import add_cte, query
 
@@ -269,7 +270,8 @@ def _(t):
 @query("T05_top_risk_users", """SELECT d.user_id, u.email, sum(risk_score) AS risk_score, count(*) AS anomaly_count, msum(amount) AS total_spent FROM s_detections_all d
     JOIN r_users u ON d.user_id = u.id GROUP BY 1, 2 ORDER BY risk_score DESC, d.user_id LIMIT 10""")
 def _(t):
-    found = anomaly.all_detections(t.orders, t.order_items, t.as_of)
+    # The ranking reads the detections three times, so they are written once, to the shared folder.
+    found = cut_lineage(anomaly.all_detections(t.orders, t.order_items, t.as_of), "detections")
     return anomaly.top_risk_users(found, t.users).drop("reason")
 
 

@@ -9,6 +9,7 @@ from ..operators import customers, delivery, inventory, joins, personalise, reco
 from ..plans import exports
 from . import shared as s
 from .q_joins import segments
+from ..session import shared_dir
 from .registry import add_cte, query
 
 
@@ -260,6 +261,11 @@ def _(t):
     return flow.select("id", "stock", "stock_alert", "suggested_reorder_qty")
 
 
+@query("S24_dataflow_customers", "SELECT * FROM s_c360")
+def _(t):
+    return exports.dataflows(s.daily(t), s.customer_360(t), s.inventory(t), t.as_of)["customers"]
+
+
 @query("S25_export_sales", SALES)
 def _(t):
     return exports.export_sales(t.orders, t.order_items, t.products, t.as_of).drop("unit_price")
@@ -288,10 +294,10 @@ def _(t):
 @query("S30_export_bundle", f"""SELECT 'sales_data' AS dataset, count(*) AS rows, '1.0' AS schema_version FROM ({SALES}) UNION ALL SELECT 'customer_data', count(*), '1.0' FROM ({CUSTOMERS})
     UNION ALL SELECT 'inventory_data', count(*), '1.0' FROM ({INVENTORY}) UNION ALL SELECT 'support_tickets', count(*), '1.0' FROM ({TICKETS}) UNION ALL SELECT 'daily_metrics', count(*), '1.0' FROM ({DAILY})""")
 def _(t):
-    frames = exports.all_exports(t.users, t.products, t.orders, t.order_items, t.tickets, t.as_of)
-    out = None
-    for name, df in frames.items():
-        one = df.groupBy("schema_version").agg(F.count(F.lit(1)).alias("rows")).withColumn("dataset", F.lit(name))
+    root, out = shared_dir(t.spark, "exports"), None
+    exports.write_exports(exports.all_exports(t.users, t.products, t.orders, t.order_items, t.tickets, t.as_of), root)
+    for name in ("sales_data", "customer_data", "inventory_data", "support_tickets", "daily_metrics"):
+        one = t.spark.read.parquet(f"{root}/{name}").groupBy("schema_version").agg(F.count(F.lit(1)).alias("rows")).withColumn("dataset", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 

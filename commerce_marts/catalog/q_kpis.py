@@ -271,6 +271,11 @@ def _(t):
     return kpis.document_stats(t.documents)
 
 
+@query("A41_newest_documents", """SELECT row_number() OVER (ORDER BY created_at DESC, document_id DESC)::int AS rank, document_id, filename, document_type, status, created_at FROM r_documents QUALIFY rank <= 5""")
+def _(t):
+    return kpis.newest_documents(t.documents)
+
+
 @query("A42_run_log_summary", """SELECT pipeline_id, arg_max(status, (start_time, run_id)) AS status, max(start_time) AS last_run,
     round(count(*) FILTER (status = 'success') / count(*) * 100, 1) AS success_rate, count(*) AS total_runs FROM r_runs GROUP BY 1""")
 def _(t):

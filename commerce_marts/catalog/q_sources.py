@@ -67,15 +67,18 @@ def _(t):
     return t.spark.read.parquet(path).groupBy("created_on").agg(F.count(F.lit(1)).alias("tickets"))
 
 
-@query("S06_incremental_ingest", """SELECT 'orders' AS table_name, count(*) AS rows, max(created_at) AS mark FROM r_orders WHERE created_at > TIMESTAMP '2000-01-01' UNION ALL
-    SELECT 'users', count(*), max(created_at) FROM r_users WHERE created_at > TIMESTAMP '2000-01-01'""")
+@query("S06_incremental_ingest", """SELECT 'orders' AS table_name, count(*) AS rows, max(created_at) AS mark FROM r_orders UNION ALL SELECT 'users', count(*), max(created_at) FROM r_users""")
 def _(t):
-    out = None
+    root, out = shared_dir(t.spark, "increments"), None
     for name, df in (("orders", t.orders), ("users", t.users)):
         mark_col = fv.INGEST_TABLES[name][1]
-        fresh = readers.incremental_ingest(df, mark_col, "2000-01-01 00:00:00")
-        one = fresh.agg(F.count(F.lit(1)).alias("rows"), F.max(mark_col).alias("mark")).withColumn("table_name", F.lit(name))
-        out = one if out is None else out.unionByName(one)
+        # Two loads: rows up to 2000, then all rows beyond the stored mark. A third finds nothing new.
+        for part in (df.filter(F.col(mark_col) <= F.lit("2000-01-01").cast("timestamp_ntz")), df, df):
+            readers.append_increment(part, f"{root}/{name}", f"{root}/_marks", name, mark_col)
+        landed = t.spark.read.parquet(f"{root}/{name}")
+        mark = readers.stored_mark(t.spark, f"{root}/_marks", name)
+        one = landed.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.lit(name).alias("table_name"), F.lit(mark).cast("timestamp_ntz").alias("mark"))
+        out = plus(out, one)
     return out
 
 
@@ -254,9 +257,22 @@ def _(t):
     return t.spark.read.parquet(path).groupBy("table_name").agg(F.count(F.lit(1)).alias("checks"))
 
 
-@query("S21_catalog_profile", "SELECT 'users' AS table_name, 6 AS columns, count(*) AS rows FROM r_users UNION ALL SELECT 'products', 9, count(*) FROM r_products UNION ALL SELECT 'order_items', 7, count(*) FROM r_items")
+def columns_sql(*tables):
+    """Column names and types of canonical tables as the SQL engine sees them, in Spark's names."""
+    kind = "CASE typeof({0}) WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(typeof({0})) END"
+    parts = []
+    for name, cte, cols in tables:
+        types = " || ', ' || ".join(f"'{c}:' || max({kind.format(c)})" for c in cols)
+        parts.append(f"SELECT '{name}' AS table_name, {len(cols)} AS columns, {types} AS types, count(*) AS rows FROM {cte}")
+    return " UNION ALL ".join(parts)
+
+
+@query("S21_catalog_profile", columns_sql(
+    ("users", "r_users", ["id", "name", "email", "phone", "is_admin", "created_at"]),
+    ("products", "r_products", ["id", "sku", "name", "category", "description", "price", "stock", "sizes", "created_at"]),
+    ("order_items", "r_items", ["id", "order_id", "product_id", "product_name", "size", "quantity", "unit_price"])))
 def _(t):
-    return readers.catalog_profile({"users": t.users, "products": t.products, "order_items": t.order_items}).drop("types")
+    return readers.catalog_profile({"users": t.users, "products": t.products, "order_items": t.order_items})
 
 
 @query("S22_page", "SELECT id, name, email, (SELECT count(*) FROM r_users) AS total FROM r_users ORDER BY id LIMIT 25 OFFSET 50")

@@ -104,3 +104,9 @@ def all_exports(users, products, orders, items, tickets, as_of: AsOf) -> dict[st
         "daily_metrics": daily_metrics(orders, users, tickets, as_of),
     }
     return {name: df.withColumn("schema_version", F.lit(SCHEMA_VERSION)) for name, df in frames.items()}
+
+
+def write_exports(frames: dict[str, DataFrame], root: str) -> None:
+    """Store a bundle, one folder for each dataset."""
+    for name, df in frames.items():
+        df.write.mode("overwrite").parquet(f"{root}/{name}")

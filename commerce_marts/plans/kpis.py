@@ -377,6 +377,11 @@ def document_stats(documents: DataFrame) -> DataFrame:
     return documents.groupingSets([["status"], ["document_type"], []], "status", "document_type").agg(F.count(F.lit(1)).alias("documents"))
 
 
+def newest_documents(documents: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` newest documents."""
+    return ordered.top_n(documents, [], [F.desc("created_at"), F.desc("document_id")], n, rank="rank").select("rank", "document_id", "filename", "document_type", "status", "created_at")
+
+
 def collection_stats(documents: DataFrame) -> DataFrame:
     return documents.groupBy("document_type").agg(
         F.count(F.lit(1)).alias("documents"), count_if(F.col("status") == "processed").alias("processed"), count_if(F.col("status") == "indexed").alias("indexed")

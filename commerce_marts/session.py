@@ -57,3 +57,10 @@ def _own_folder() -> str:
     path = tempfile.mkdtemp(prefix="commerce-marts-")
     atexit.register(shutil.rmtree, path, ignore_errors=True)
     return path
+
+
+def cut_lineage(df, name: str = "cut"):
+    """Write ``df`` once to the shared folder and read it back, so later steps reuse the files."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

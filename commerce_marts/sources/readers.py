@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,28 @@ def high_water_mark(df: DataFrame, table: str, mark_col: str) -> DataFrame:
     return df.agg(F.max(mark_col).alias("mark")).withColumn("table_name", F.lit(table))
 
 
+def stored_mark(spark: SparkSession, marks: str, table: str):
+    """The largest mark stored for a table, None before its first load."""
+    try:
+        stored = spark.read.schema("mark timestamp_ntz, table_name string").parquet(marks)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return stored.filter(F.col("table_name") == table).agg(F.max("mark")).first()[0]
+
+
+def append_increment(df: DataFrame, path: str, marks: str, table: str, mark_col: str) -> None:
+    """Append the rows beyond the stored mark, then store the new mark.
+
+    A load that ends between both is taken up by the next one with the same rows; an append of the
+    same rows again is told by the mark column and a key, not here.
+    """
+    fresh = incremental_ingest(df, mark_col, stored_mark(df.sparkSession, marks, table))
+    fresh.write.mode("append").parquet(path)
+    high_water_mark(fresh, table, mark_col).filter("mark IS NOT NULL").write.mode("append").parquet(marks)
+
+
 def read_sales_csv(spark: SparkSession, path: str) -> DataFrame:
     """A (date, revenue, orders) file read leniently: bad date NULL, bad revenue 0.0, bad orders 0."""
     raw = spark.read.option("header", True).schema("date string, revenue string, orders string").csv(path)
