@@ -3,6 +3,8 @@
 Every detector scores rows with column expressions against one-row statistics (scalar subqueries)
 and per-user or per-day counts that are aggregated first and joined back. Reasons are arrays of
 texts; the first one is the main reason. All detectors share the columns of :data:`SHAPE`.
+
+The reason texts and the points of the rules are fixed values: results must carry them as they are.
 """
 
 from __future__ import annotations

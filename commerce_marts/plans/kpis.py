@@ -77,12 +77,12 @@ def insight_flags(orders: DataFrame, products: DataFrame, tickets: DataFrame, as
     )
     margin = ratio(F.col("revenue") * 0.2, "revenue") * 100
     texts = some_of(
-        (F.col("revenue") > 100000, F.lit("Revenue exceeded ₹1L this month - strong performance")),
-        (F.col("orders") > 500, F.lit("Order volume is high - consider scaling operations")),
-        (F.col("low") > 10, F.format_string("%d products are running low on stock - urgent restocking needed", "low")),
-        (F.col("active") > 50, F.lit("High customer retention rate - loyalty programs effective")),
-        ((F.col("revenue") > 0) & (margin < 15), F.lit("Profit margin below 15% - review pricing strategy")),
-        (F.col("open") > 20, F.format_string("%d pending support tickets - allocate more resources", "open")),
+        (F.col("revenue") > 100000, F.lit(fv.INSIGHTS["revenue"])),
+        (F.col("orders") > 500, F.lit(fv.INSIGHTS["orders"])),
+        (F.col("low") > 10, F.format_string(fv.INSIGHTS["low_stock"], "low")),
+        (F.col("active") > 50, F.lit(fv.INSIGHTS["retention"])),
+        ((F.col("revenue") > 0) & (margin < 15), F.lit(fv.INSIGHTS["margin"])),
+        (F.col("open") > 20, F.format_string(fv.INSIGHTS["tickets"], "open")),
     )
     return kpi.select(F.posexplode(texts).alias("pos", "insight"))
 
