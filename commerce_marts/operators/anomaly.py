@@ -293,11 +293,15 @@ FEATURES = ["total_amount", "item_count", "hour", "weekday", "cancelled", "user_
 def multivariate_outliers(orders: DataFrame, items: DataFrame, as_of: AsOf, share: float = 0.05, days: int | None = 30) -> DataFrame:
     """The ``share`` of recent orders that lie farthest out over six standardised features, with fraud score.
 
-    History and hourly counts use all orders. The cut is the exact rank value of the distance.
+    History and hourly counts use all orders of the users seen in the period. The cut is the exact
+    rank value of the distance.
     """
-    df = fraud_features(orders, items)
-    if days is not None:
-        df = df.filter(since("created_at", as_of, days=days))
+    if days is None:
+        df = fraud_features(orders, items)
+    else:
+        recent = since("created_at", as_of, days=days)
+        seen = orders.filter(recent).select("user_id").distinct()
+        df = fraud_features(orders.join(seen, "user_id", "left_semi"), items).filter(recent)
     df = df.withColumns(
         {"hour": F.hour("created_at"), "weekday": F.weekday("created_at"), "cancelled": (F.col("status") == "Cancelled").cast("int")}
     )

@@ -45,15 +45,23 @@ def _hay() -> Column:
     return F.lower(F.concat_ws(" ", "name", "category", "description"))
 
 
-def _with_terms(rows: DataFrame, text: Column, terms: DataFrame, carry: list[str]) -> DataFrame:
+def _with_terms(rows: DataFrame, text: Column, terms: DataFrame, carry: list[str], measures=()) -> DataFrame:
     """(carry, term) for every term of a query table that a row's text contains.
 
+    Each measure is a name and a function of (text, struct so far) whose result is added as a field.
     The distinct terms go to the tasks as one array, so the plan is the same for any number of
     queries and rows are neither moved nor multiplied before they match.
     """
     listed = terms.select("term").distinct().agg(F.collect_list("term").alias("_terms"))
     found = beside(rows.withColumn("_text", text), listed)
-    return found.select(*carry, F.explode(F.filter("_terms", lambda t: F.contains(F.col("_text"), t))).alias("term"))
+    held = F.transform(F.filter("_terms", lambda t: F.contains(F.col("_text"), t)), lambda t: F.struct(t.alias("term")))
+    for name, measure in measures:
+        held = _added(held, name, measure)
+    return found.select(*carry, F.inline(held))
+
+
+def _added(structs: Column, name: str, measure) -> Column:
+    return F.transform(structs, lambda x: x.withField(name, measure(F.col("_text"), x)))
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
@@ -135,12 +143,22 @@ def search_documents(documents: DataFrame, queries: DataFrame, k: int = 10, cont
         docs = docs.filter(F.col("document_type") == document_type)
     asked = queries.select(F.trim("query").alias("query")).distinct().withColumn("term", F.lower("query")).filter("term <> ''")
     low, term = F.lower("text"), F.col("term")
-    found = _with_terms(docs, low, asked, ["document_id", "filename", "document_type", "text"])
-    words = F.when(F.contains(term, F.lit(" ")), 0).otherwise(F.regexp_count(low, word_pattern(term)))
-    plain = ((F.length(low) - F.length(F.replace(low, term, F.lit("")))) / F.length(term)).cast("int")
-    kind = F.when(F.contains(term, F.lit(" ")), "phrase").when(F.col("_words") > 0, "word").otherwise("substring")
-    counted = found.withColumn("_words", words).select(
-        "document_id", "filename", "document_type", "term", F.when(F.col("_words") > 0, F.col("_words")).otherwise(plain).alias("match_count"), kind.alias("match_type")
+    docs = docs.withColumn("_words", F.split(low, f"[^{WORD_CHARS}]+"))
+
+    def words(text: Column, x: Column) -> Column:
+        # A term of word characters is counted among the words; others need the pattern.
+        t = x["term"]
+        whole = F.when(t.rlike(f"^[{WORD_CHARS}]+$"), F.size(F.filter("_words", lambda w: w == t))).otherwise(F.regexp_count(text, word_pattern(t)))
+        return F.when(F.contains(t, F.lit(" ")), 0).otherwise(whole)
+
+    def plain(text: Column, x: Column) -> Column:
+        t = x["term"]
+        return F.when(x["words"] > 0, 0).otherwise(((F.length(text) - F.length(F.replace(text, t, F.lit("")))) / F.length(t)).cast("int"))
+
+    found = _with_terms(docs, low, asked, ["document_id", "filename", "document_type"], [("words", words), ("plain", plain)])
+    kind = F.when(F.contains(term, F.lit(" ")), "phrase").when(F.col("words") > 0, "word").otherwise("substring")
+    counted = found.select(
+        "document_id", "filename", "document_type", "term", F.when(F.col("words") > 0, F.col("words")).otherwise(F.col("plain")).alias("match_count"), kind.alias("match_type")
     )
     best = top_n(counted.join(asked, "term"), ["query"], [F.desc("match_count"), F.asc("document_id")], k, rank="rank")
     full = best.join(docs.select("document_id", "text"), "document_id")
