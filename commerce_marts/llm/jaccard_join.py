@@ -39,12 +39,12 @@ HISTOGRAM, WIDE = 128, 512
 NEAREST = 3
 #: Text that a task turns to keys at once; classes that it remembers; classes of a block; bytes of keys for a task.
 STEP_BYTES, SEEN, BLOCK, TASK_BYTES = 8 << 20, 500_000, 1024, 64 << 20
-#: Parts into which the keys of empty segments are divided.
-SALTS = 64
+#: Parts into which the keys of empty segments are divided; the most parts of all keys.
+SALTS, MAX_PARTS = 64, 1 << 16
 
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _EMPTY, _SHORT, _MANY = np.uint64(1), np.uint64(2), np.uint64(4)
-_HASH = ~np.uint64(7)
+_HASH, _LOW = ~np.uint64(7), np.uint64((1 << 48) - 1)
 
 
 # Shingle sets
@@ -195,14 +195,31 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _STEP = "kind int, part int, keys binary, names binary, table binary"
 
 
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+
+
+def _short_keys(keys: np.ndarray, part: np.ndarray | int) -> np.ndarray:
+    """The low 48 bits, which travel, below the part's number. Keys that agree in these may still differ: then pairs are verified in vain."""
+    return (keys & _LOW) | (np.asarray(part).astype(np.uint64) << np.uint64(48))
+
+
 def _blob(kind: int, part: int, keys: np.ndarray, names: np.ndarray) -> tuple:
     table, at = np.unique(names, return_inverse=True)
     width = np.uint16 if len(table) <= 1 << 16 else np.uint32
-    return kind, part, keys.tobytes(), at.astype(width).tobytes(), table.tobytes()
+    raw = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6] if kind == 0 else keys.astype("<u8")
+    return kind, part, raw.tobytes(), at.astype(width).tobytes(), table.tobytes()
 
 
 def _unblob(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    keys, table = np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["table"], np.int64)
+    table = np.frombuffer(row["table"], np.int64)
+    if row["kind"] == 0:
+        raw = np.frombuffer(row["keys"], np.uint8).reshape(-1, 6)
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :6] = raw
+        keys = _short_keys(wide.view("<u8").ravel(), row["part"])
+    else:
+        keys = np.frombuffer(row["keys"], "<u8")
     width = np.uint16 if len(table) <= 1 << 16 else np.uint32
     return keys, table[np.frombuffer(row["names"], width)]
 
@@ -250,6 +267,7 @@ def _index(parts: int):
                     continue
                 who = np.repeat(np.array(names, np.int64), [len(k) for k in keys])
                 key = np.concatenate(keys)
+                key = _short_keys(key, _part(key, parts))
                 rows = []
                 plain = (key & _EMPTY) == 0
                 k, w, first = _star(key[plain], who[plain])
@@ -263,7 +281,7 @@ def _index(parts: int):
                     k, w, many = k[first | ~many], w[first | ~many], many[first | ~many]
                     k = k | np.where(many, _MANY, np.uint64(0))
                 k, w = np.concatenate([k, key[~plain]]), np.concatenate([w, who[~plain]])
-                part = ((k >> np.uint64(3)) % np.uint64(parts)).astype(np.int64)
+                part = (k >> np.uint64(48)).astype(np.int64)
                 at = np.argsort(part, kind="stable")
                 k, w, part = k[at], w[at], part[at]
                 cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
@@ -511,8 +529,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = settle(classes, "classes")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(tasks, -(-(described.agg(F.sum("n")).first()[0] or 0) * 10 // TASK_BYTES))
-    # More parts than tasks, so that hashing parts to tasks fills these evenly.
-    keyed = rows.select("text").mapInArrow(_index(4 * tasks), _STEP).repartition(tasks, "part")
+    keyed = rows.select("text").mapInArrow(_index(min(tasks, MAX_PARTS)), _STEP).repartitionById(min(tasks, MAX_PARTS), F.col("part"))
     found = settle(keyed.mapInArrow(_match, "kind int, x long, y long"), "candidates")
     pairs = found.filter("kind = 1").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     links = _links(pairs, classes, rows)
