@@ -181,6 +181,15 @@ def _(t):
     return parts["comparison"].groupBy("product_id").agg(F.count(F.lit(1)).alias("models"), F.min("best_model").alias("best_model"))
 
 
+@query("P05_seasonal_part", """WITH m AS (SELECT product_id, year(date) AS y, month(date)::int AS month, sum(quantity)::double AS total FROM s_units GROUP BY 1, 2, 3),
+    a AS (SELECT product_id, month, count(*) AS years, round(avg(total), 6)::decimal(28,6) AS t FROM m GROUP BY 1, 2),
+    l AS (SELECT *, t::double / (sum(t) OVER w::double / count(*) OVER w) AS v FROM a WINDOW w AS (PARTITION BY product_id))
+    SELECT product_id, month, years, t::double AS total, round(v, 6) AS level, CASE WHEN v > 1.2 THEN 'peak' WHEN v < 0.8 THEN 'low' END AS type FROM l""")
+def _(t):
+    part = forecast.forecast_bundle(units(t), ["product_id"], value="quantity")["seasonal"]
+    return part.withColumns({"total": F.round("total", 6), "level": F.round("level", 6)})
+
+
 @query("P06_best_forecast", f"""SELECT f.model, step, date, {rsql(BAND)}, CASE WHEN slope > 0.01 THEN 'upward' WHEN slope < -0.01 THEN 'downward' ELSE 'stable' END AS trend,
     CASE WHEN r2 <> 0 THEN greatest(0, least(100, trunc(r2 * 100)))::int ELSE 85 END AS confidence, round(avg(yhat_lower) OVER (), 3) AS lower_bound,
     round(avg(yhat_upper) OVER (), 3) AS upper_bound FROM s_fs_fc f JOIN s_fs_cmp c ON f.model = c.model AND c.model = c.best_model, s_fs_par""")

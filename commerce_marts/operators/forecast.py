@@ -116,15 +116,28 @@ def compare_models(forecasts: DataFrame, metrics: DataFrame, keys: list[str]) ->
     return _attach(df, best, keys)
 
 
+def seasonal_levels(series: DataFrame, keys: list[str], value: str = "revenue", high: float = 1.2, low: float = 0.8) -> DataFrame:
+    """Mean monthly total of each calendar month over the years, its level against the mean of all months, peak and low months marked."""
+    months = series.groupBy(*keys, F.year("date").alias("_year"), F.month("date").alias("month")).agg(F.sum(F.col(value).cast("double")).alias("_total"))
+    # Fixed-point totals, so that the mean does not depend on the order of rows.
+    mean = F.round(F.avg("_total"), 6).cast("decimal(28,6)")
+    means = months.groupBy(*keys, "month").agg(F.count(F.lit(1)).alias("years"), mean.alias("total"))
+    every = Window.partitionBy(*keys)
+    means = means.withColumn("_all", F.sum("total").over(every).cast("double") / F.count(F.lit(1)).over(every)).withColumn("total", F.col("total").cast("double"))
+    level = F.try_divide(F.col("total"), F.col("_all"))
+    kind = F.when(F.col("level") > high, "peak").when(F.col("level") < low, "low")
+    return means.withColumn("level", level).drop("_all").withColumn("type", kind)
+
+
 def forecast_bundle(series: DataFrame, keys: list[str], periods: int = 30, value: str = "revenue") -> dict[str, DataFrame]:
-    """Forecasts, in-sample errors, comparison and outlying days of the given series."""
+    """Forecasts, in-sample errors, comparison, outlying days and seasonal levels of the given series."""
     from .ordered import centred_anomalies
 
     forecasts = all_forecasts(series, keys, periods, value)
     errors = forecast_metrics(join_actuals(fitted_values(series, keys, value), series, keys, value), keys)
     return {
         "forecasts": forecasts, "metrics": errors, "comparison": compare_models(forecasts, errors, keys),
-        "anomalies": centred_anomalies(series, value, "date", keys),
+        "anomalies": centred_anomalies(series, value, "date", keys), "seasonal": seasonal_levels(series, keys, value),
     }
 
 
