@@ -108,11 +108,10 @@ def test_customer_without_orders_and_category_tie(spark):
     assert {r["user_id"]: r["s"] for r in segment.collect()} == {1: "regular_customer", 2: "new_customer"}
 
 
-def test_large_order_is_given_in_parts(spark):
+def test_large_order_is_one_row(spark):
     items = spark.createDataFrame([(1, i) for i in range(500)] + [(2, 7)], "order_id bigint, product_id bigint")
-    lists = metrics.order_product_lists(items, part_rows=100).collect()
-    assert sorted(x for r in lists if r["order_id"] == 1 for x in r["product_ids"]) == list(range(500))
-    assert max(len(r["product_ids"]) for r in lists) < 200 and len([r for r in lists if r["order_id"] == 2]) == 1
+    lists = {r["order_id"]: r["product_ids"] for r in metrics.order_product_lists(items).collect()}
+    assert lists == {1: list(range(500)), 2: [7]}
 
 
 def test_repair_takes_the_largest_quantity(spark):
