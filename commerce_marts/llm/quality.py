@@ -9,7 +9,7 @@ needs one lookup for each gram and texts never leave the tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -84,31 +84,37 @@ def grams_of(text: np.ndarray) -> Iterator[np.ndarray]:
         yield from _word_grams(word_hashes(part, np.array([0, len(part)]), PLAIN)[0])
 
 
-def fit(texts: list[bytes], labels: np.ndarray, dims: int = DIMS, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
-    """Train vectors and outputs by stochastic gradient descent, one document a step, the rate falling to 0.
+def fit(rows: Iterable[tuple[bytes, int]], dims: int = DIMS, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
+    """Train vectors and outputs on (text, label) by stochastic gradient descent, one document a step, the rate falling to 0.
 
-    Without rows the model scores 0.5 everywhere; with one label only it leans to that label.
+    Without rows the model scores 0.5 everywhere; with one label only it leans to that label. Of each
+    text only its buckets and their shares are held, six bytes a bucket.
     """
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dims, 1 / dims, (1 << BUCKET_BITS, dims)).astype(np.float32)
     out = np.zeros((2, dims), np.float32)
-    share = float(np.clip((labels.sum() + 1) / (len(labels) + 2), 1e-3, 1 - 1e-3)) if len(labels) else 0.5
-    prior = np.log(share / (1 - share))
-    bias = np.array([0.0, prior], np.float32)
-    docs = []
-    for text in texts:
+    all_ids, all_parts, ends, known = bytearray(), bytearray(), [0], []
+    for text, label in rows:
         grams = [g for g in grams_of(np.frombuffer(text, np.uint8)) if len(g)]
         if grams:
             ids, counts = np.unique(np.concatenate(grams), return_counts=True)
-            docs.append((ids.astype(np.int32), (counts / counts.sum()).astype(np.float32)))
-        else:
-            docs.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
+            all_ids += ids.astype(np.uint16).tobytes()
+            all_parts += (counts / counts.sum()).astype(np.float32).tobytes()
+        ends.append(len(all_ids) // 2)
+        known.append(int(label))
+    held, shares = np.frombuffer(all_ids, np.uint16), np.frombuffer(all_parts, np.float32)
+    labels = np.array(known, np.int64)
+    share = float(np.clip((labels.sum() + 1) / (len(labels) + 2), 1e-3, 1 - 1e-3)) if len(labels) else 0.5
+    prior = np.log(share / (1 - share))
+    bias = np.array([0.0, prior], np.float32)
+    docs = list(zip(ends, ends[1:], strict=False))
     if docs:
         epochs = max(epochs, MIN_STEPS // len(docs))
     step, steps = 0, max(1, epochs * len(docs))
     for _ in range(epochs):
         for d in rng.permutation(len(docs)):
-            ids, part = docs[d]
+            first, last = docs[d]
+            ids, part = held[first:last], shares[first:last]
             now = rate * (1 - step / steps)
             step += 1
             if not len(ids):
@@ -191,9 +197,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     known = known.orderBy(F.xxhash64("id"), "id").limit(rows)
     # The bound on the rows above bounds what is broadcast.
     sample = docs.select(F.col(id_col).alias("id"), text_or_empty(docs, text_col).alias("text")).join(F.broadcast(known), "id")
-    sample = sample.orderBy(F.xxhash64("id"), "id").limit(rows).select("text", "label").toArrow()
-    texts = [x.encode() for x in sample["text"].to_pylist()]
-    return fit(texts, np.asarray(sample["label"], dtype=np.int64) if len(texts) else np.zeros(0, np.int64))
+    sample = sample.orderBy(F.xxhash64("id"), "id").limit(rows).select("text", "label")
+    # One task fits the model, over that many rows at most; the driver sees the folded weights only.
+    row = sample.mapInArrow(_fit_task, "weights binary, bias double").first()
+    return Model(np.frombuffer(row["weights"], np.float32), row["bias"]) if row else fit([])
+
+
+def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = ((text.as_buffer().to_pybytes(), label.as_py()) for batch in batches for text, label in zip(*batch.columns, strict=True))
+    model = fit(rows)
+    yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], ["weights", "bias"])
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:

@@ -10,7 +10,7 @@ from commerce_marts.llm import quality, queries
 def model():
     good = [f"the cat number {i} sat on the mat, and it was calm.".encode() for i in range(60)]
     bad = [f"BUY!! NOW!! OFFER!! {i}!! CHEAP!!".encode() for i in range(60)]
-    return quality.fit(good + bad, np.array([1] * 60 + [0] * 60))
+    return quality.fit(list(zip(good + bad, [1] * 60 + [0] * 60, strict=True)))
 
 
 def test_batch_scores_equal_single_scores(documents):
