@@ -1,9 +1,10 @@
 """Main text of web pages by the distribution of line blocks.
 
 Markup is stripped into lines, one for each block element. A line weighs its text outside links, or
-nothing inside elements whose kind or name marks them as page furniture, and nothing outside the
-article element where a page has one. Weights are summed over a sliding window of lines; text surges
-where the sum rises over a threshold and dives where it falls to nothing. Lines between are kept.
+nothing inside elements whose kind or name marks them as page furniture. Weights are summed over a
+sliding window of lines; text surges where the sum rises over a threshold and dives where it falls to
+nothing. Lines between are kept. Sums of lines in an article element get a bonus; text outside it is
+measured by the same threshold, and every text that surges is kept.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,8 @@ from .common import text_or_empty
 
 #: Lines of a window; weight of the sum at which text surges; longest stretch without weight inside a text.
 WINDOW, SURGE, GAP = 3, 40, 2
+#: Added to the sums of lines in an article or main element; as much as the threshold, so that none of their lines is lost.
+BONUS = SURGE
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _NAME = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -162,46 +166,43 @@ def lines_of(page: str) -> list[Line]:
     return out
 
 
-def keep(lines: list[Line], window: int = WINDOW, surge: int = SURGE, gap: int = GAP) -> list[bool]:
+def keep(lines: list[Line], window: int = WINDOW, surge: int = SURGE, gap: int = GAP, bonus: int = BONUS) -> list[bool]:
     """Which lines lie between a surge and a dive of the window sums."""
-    if not lines:
-        return []
-    rooted = any(x.rooted and not x.furniture for x in lines)
-    usable = np.array([not x.furniture and (x.rooted or not rooted) for x in lines])
-    # Each line of an article surges by itself, however short or full of links it is.
-    weight = np.array([len(x.text) + surge if rooted else max(len(x.text) - x.link_chars, 0) for x in lines]) * usable
-    sums = np.convolve(weight, np.ones(window, np.int64), "full")[window // 2 : window // 2 + len(lines)]
+    out = [False] * len(lines)
+    weight = np.array([0 if x.furniture else max(len(x.text) - x.link_chars, 0) for x in lines], np.int64)
+    # Text inside and outside articles surges for itself; furniture inside an article does not part its text.
+    stretches = [list(g) for _, g in groupby((i for i, x in enumerate(lines) if not (x.furniture and x.rooted)), key=lambda i: lines[i].rooted)]
+    sums = [np.convolve(weight[s], np.ones(window, np.int64), "full")[window // 2 : window // 2 + len(s)] for s in stretches]
     # Short pages have no line of the usual length: half of their best window counts.
-    level = min(surge, max(1, int(sums.max()) // 2))
-    runs: list[list[int]] = []
-    i = 0
-    while i < len(lines):
-        if weight[i] and sums[i] >= level:
+    level = min(surge, max(1, max((int(x.max()) for x in sums), default=0) // 2))
+    for places, total in zip(stretches, sums, strict=True):
+        # Lines that can begin or end a text: not those that are mostly links, but for an article's.
+        solid = [lines[k].rooted or bool(weight[k]) and (weight[k] * 2 >= len(lines[k].text) or weight[k] >= surge) for k in places]
+        i = 0
+        while i < len(places):
+            if not solid[i] or total[i] + bonus * lines[places[i]].rooted < level:
+                i += 1
+                continue
             start = stop = i
             empty = 0
             j = i + 1
-            while j < len(lines) and empty <= gap:
-                if weight[j] and usable[j]:
+            while j < len(places) and empty <= gap:
+                if solid[j]:
                     stop, empty = j, 0
                 else:
                     empty += 1
                 j += 1
             # Headings and short lines just before the surge belong to it.
-            while start and weight[start - 1] and usable[start - 1]:
+            while start and solid[start - 1]:
                 start -= 1
-            runs.append([start, stop])
+            for k in places[start : stop + 1]:
+                out[k] = not lines[k].furniture
+            # So do headings just before an article.
+            k = places[start] - 1
+            while not start and k >= 0 and lines[k].heading and not lines[k].furniture:
+                out[k] = True
+                k -= 1
             i = stop + 1
-        else:
-            i += 1
-    if not runs:
-        return [False] * len(lines)
-    mass = [int(weight[a : b + 1].sum()) for a, b in runs]
-    out = [False] * len(lines)
-    for (a, b), m in zip(runs, mass, strict=True):
-        # Beside the heaviest text, others count when they carry a fair part of its weight or belong to an article.
-        if rooted or m * 4 >= max(mass):
-            for k in range(a, b + 1):
-                out[k] = bool(usable[k]) and weight[k] * 2 >= len(lines[k].text)
     return out
 
 

@@ -41,6 +41,17 @@ def test_density_without_an_article():
     assert got.split("\n")[0] == "Short head" and len(got.split("\n")) == 6 and "Link" not in got and "rights" not in got
 
 
+def test_an_article_does_not_hide_text_outside_it():
+    body = [f"This is paragraph {i} of a text that stands in a plain division of the page." for i in range(4)]
+    inner = "".join(f"<p>{x}</p>" for x in body)
+    card = "<article><h3>A card</h3><p>Short.</p></article>"
+    assert main_text(f"<nav><a href=/>Home</a></nav><div><h1>Title</h1>{inner}</div>{card}<div>3 min</div>").split("\n") == ["Title", *body, "A card", "Short."]
+    assert main_text(f"<div><h1>Title</h1></div><article>{inner}</article><div>3 min</div>").split("\n") == ["Title", *body]
+    # Without the bonus the short card does not surge.
+    lines = html_blocks.lines_of(f"<div>{inner}</div>{card}")
+    assert sum(html_blocks.keep(lines)) == 6 and sum(html_blocks.keep(lines, bonus=0)) == 4
+
+
 def test_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (2, "", "x"), (3, "<p>" + "long text " * 50_000, "x")], "page_id long, html string, text string")
     got = html_blocks.extract_pages(pages)
