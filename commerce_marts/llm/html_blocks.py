@@ -27,10 +27,10 @@ WINDOW, SURGE, GAP = 3, 40, 2
 BONUS = SURGE
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-_NAME = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
-_PART = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_PART = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 # Elements whose content is never text of a page: skipped up to their end tag.
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "audio", "video", "xmp", "noframes"}
@@ -41,12 +41,21 @@ _INLINE = {
     "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "label",
 }
 _TEXT_ROOT = {"article", "main"}
-#: Words in a class, id or role that mark furniture.
-_WORDS = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "contentinfo", "cookie", "cookies",
-    "disqus", "footer", "gdpr", "header", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pagination", "pager",
-    "popup", "promo", "promotion", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget",
-}
+#: Elements whose names are looked at; those of headings, paragraphs, list items and inline elements say nothing about a page's parts.
+_CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "tbody", "td", "center"}
+#: Whole classes, ids and labels of furniture.
+_NAMES = {
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "breadcrumb", "breadcrumbs", "comments", "consent", "cookie", "cookies", "disqus", "disqus-thread", "footer", "gdpr",
+    "masthead", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "pagination", "pager", "popup", "promo", "replies", "respond", "share", "sharing", "sidebar", "social", "sponsor",
+    "sponsored", "subscribe", "toolbar", "topbar", "skip-link", "skip-links", "skip-to-content", "search-form", "search-box", "search-bar", "social-media", "cookie-law", "cookie-policy", "page-footer",
+} | {f"{x}-{y}" for x in ("site", "main", "global", "top", "primary", "secondary", "left", "right") for y in ("nav", "navbar", "navigation", "menu", "sidebar", "footer")} | {
+    f"{x}-{y}"
+    for x in ("ad", "ads", "advert", "advertisement", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "footer", "nav", "newsletter", "share", "sharing", "sidebar", "social", "sponsor")
+    for y in ("area", "banner", "bar", "block", "box", "button", "buttons", "consent", "form", "icons", "links", "list", "menu", "notice", "slot", "signup", "unit", "widget")
+} | {f"related-{x}" for x in ("articles", "content", "items", "links", "news", "posts", "stories")}
+#: Names that furniture has outside an article, while inside one they can be parts of the text.
+_OUTER_NAMES = {"banner", "comment", "header", "menu", "notice", "notices", "notification", "promotion", "related", "search", "site-header", "main-header", "skip", "widget"}
+_ROLES = {"alertdialog", "banner", "complementary", "contentinfo", "dialog", "menu", "menubar", "navigation", "search", "toolbar"}
 #: Elements that end an open element of the first set when they start.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -60,14 +69,22 @@ class Line:
     heading: bool
 
 
-def _marked(attributes: str) -> bool:
-    if not attributes:
-        return False
-    for groups in _NAME.findall(attributes):
-        words = set(_PART.sub(" ", "".join(groups)).lower().split())
-        if words & _WORDS:
+def _marked(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether the names or the role of an element make it furniture, or its attributes hide it."""
+    for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
+            return True
+        if tag not in _CONTAINERS:
+            continue
+        if name == "role" and not _ROLES.isdisjoint(value.lower().split()):
             return True
-    return bool(_HIDDEN.search(attributes))
+        # Ids inside an article, and those of sections, are often made from the words of a heading.
+        if name == "class" or name in ("id", "aria-label") and not inside and tag != "section":
+            whole = {_PART.sub("-", x).strip("-").lower() for x in (value.split() if name == "class" else [value])}
+            if not whole.isdisjoint(_NAMES) or not inside and not whole.isdisjoint(_OUTER_NAMES):
+                return True
+    return False
 
 
 def lines_of(page: str) -> list[Line]:
@@ -156,7 +173,7 @@ def lines_of(page: str) -> list[Line]:
             while furniture:
                 pop()
         inside = roots > 0
-        bad = tag in _FURNITURE and not (tag in ("header", "label") and inside) or tag not in (*_TEXT_ROOT, "body", "html") and _marked(attributes)
+        bad = tag in _FURNITURE and not (tag in ("header", "label") and inside) or tag not in (*_TEXT_ROOT, "body", "html") and _marked(tag, attributes, inside)
         stack.append((tag, bad, tag in _TEXT_ROOT and not bad))
         furniture += bad
         roots += stack[-1][2]

@@ -52,6 +52,30 @@ def test_an_article_does_not_hide_text_outside_it():
     assert sum(html_blocks.keep(lines)) == 6 and sum(html_blocks.keep(lines, bonus=0)) == 4
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><h2 id="related-work">Related work</h2><p class="comment">a</p><section id="search">b</section><div class="notice">c</div></article>', "Related work\na\nb\nc"),
+        ('<div class="page-header"><h1>Title</h1></div><article><p>text</p></article>', "Title\ntext"),
+        ('<section id="search"><h2 class="skip">Search</h2><p title="a hidden gem">text</p></section>', "Search\ntext"),
+        ('<article><p>text</p><div class="post relatedPosts">x</div><ul class="share-buttons"><li>y</ul><div role="search">z</div><p hidden>h</p></article>', "text"),
+        ('<div id="cookie-banner">we use them, and say so at length in this line</div><div class="Sidebar">x</div><div class="notice">n</div><p>text</p>', "text"),
+        ('<article><p>see <a href="/a">one article of ours</a></p><ul><li><a href="/b">two</a></ul></article>', "see one article of ours\ntwo"),
+    ],
+)
+def test_names_of_furniture(page, text):
+    assert main_text(page) == text
+
+
+def test_every_text_that_surges_is_kept():
+    body = "".join(f"<p>This is paragraph {i} of a text that is long enough to count as body text.</p>" for i in range(20))
+    close = "A shorter closing section that stands behind three lines of an advert."
+    links = 'Sources: <a href="/a">a report that is named in full length</a>, <a href="/b">another report that is named in full</a>'
+    page = f"<div>{body}<div class='ad'><p>a</p><p>b</p><p>c</p></div><p>{close}</p><p>{links}</p><p>{close}</p></div>"
+    got = main_text(page).split("\n")
+    assert len(got) == 23 and got[-3] == got[-1] == close and got[-2].startswith("Sources: a report")
+
+
 def test_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (2, "", "x"), (3, "<p>" + "long text " * 50_000, "x")], "page_id long, html string, text string")
     got = html_blocks.extract_pages(pages)
