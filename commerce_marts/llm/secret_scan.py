@@ -23,8 +23,6 @@ MIN_ASSIGN = 6
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 ORDINARY = "[A-Za-z0-9+/_=-]{4,}"
 FIRST_CHAR, CHARS = 43, 80
-#: Documents the models are trained on, drawn by a hash of their id.
-TRAIN_ROWS = 20_000
 #: Share of a uniform model in the random one; weight of single characters in that of pairs; count of an unseen character.
 UNIFORM, PRIOR, FLOOR = 0.5, 5.0, 0.1
 #: A string is random above this ratio (in nats) in all and for each character.
@@ -79,27 +77,24 @@ def _pairs(word: Column) -> Column:
     return F.transform(zipped, lambda p: (F.ascii(p["a"]) - FIRST_CHAR) * CHARS + F.ascii(p["b"]) - FIRST_CHAR)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> list[float]:
+def train(docs: DataFrame, text_col: str = "text") -> list[float]:
     """Log-likelihood ratio for each pair of characters, random over ordinary; CHARS * CHARS numbers.
 
-    The labelled samples are strings of about ``rows`` documents (all, if there are fewer): values of
-    the patterns are random ones, other strings of four and more characters ordinary ones if two
-    documents hold them. Only the pair counts, at most 2 * CHARS * CHARS, come to the driver. Without
-    any sample no string is found to be random.
+    The labelled samples are strings of all documents, each counted once: values of the patterns are
+    random ones, other strings of four and more characters ordinary ones if two different texts hold
+    them. Only the pair counts, at most 2 * CHARS * CHARS, come to the driver. Without any sample no
+    string is found to be random.
     """
-    total = docs.count()
-    kept = F.shiftrightunsigned(F.xxhash64(F.lit(5), F.col(id_col)), 33) < F.lit(int(min(1.0, rows / max(total, 1)) * 2**31))
-    text = text_or_empty(docs.filter(kept), text_col)
-    some = docs.filter(kept).select(text.alias("text"))
+    some = docs.select(text_or_empty(docs, text_col).alias("text"))
     values = F.concat(*[_values(F.col("text"), k) for k in KINDS])
-    some = some.select("text", values.alias("values"))
+    some = some.select("text", F.xxhash64("text").alias("hash"), values.alias("values"))
     words = F.array_distinct(F.array_except(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0)), F.col("values")))
     # A string that holds a value, such as one with a prefix, is no ordinary one.
     plain = F.filter(words, lambda w: ~F.exists("values", lambda v: F.contains(w, v)))
-    labelled = some.select(F.explode(F.array(F.struct(F.lit(1).alias("random"), F.array_distinct("values").alias("words")), F.struct(F.lit(0).alias("random"), plain.alias("words")))).alias("x"))
-    word = labelled.select("x.random", F.explode("x.words").alias("word")).filter(F.length("word") >= 4)
-    # An unknown secret is no ordinary string; such a one hardly stands in two documents.
-    word = word.groupBy("random", "word").agg(F.count("*").alias("docs")).filter("random = 1 OR docs > 1")
+    labelled = some.select("hash", F.explode(F.array(F.struct(F.lit(1).alias("random"), F.array_distinct("values").alias("words")), F.struct(F.lit(0).alias("random"), plain.alias("words")))).alias("x"))
+    word = labelled.select("hash", "x.random", F.explode("x.words").alias("word")).filter(F.length("word") >= 4)
+    # An unknown secret is no ordinary string; such a one hardly stands in two texts, but in all copies of one.
+    word = word.groupBy("random", "word").agg(F.min("hash").alias("least"), F.max("hash").alias("most")).filter("random = 1 OR least < most")
     pair = word.select("random", F.explode(_pairs(F.col("word"))).alias("pair")).filter(F.col("pair").between(0, CHARS * CHARS - 1))
     counts = {(r["random"], r["pair"]): r["n"] for r in pair.groupBy("random", "pair").agg(F.count("*").alias("n")).collect()}
     return _ratios(counts)
@@ -129,7 +124,7 @@ def log_ratio(word: Column, model: Column) -> Column:
 
 
 def find_secrets(
-    docs: DataFrame, model: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text", min_ratio: float = MIN_RATIO, min_ratio_char: float = MIN_RATIO_CHAR, prefix: str = "secret_",
+    docs: DataFrame, model: list[float] | None = None, text_col: str = "text", min_ratio: float = MIN_RATIO, min_ratio_char: float = MIN_RATIO_CHAR, prefix: str = "secret_",
 ) -> DataFrame:
     """Add ``<prefix>spans``: array<struct<kind, start, end, value>> of all secrets in each row's text.
 
@@ -139,7 +134,7 @@ def find_secrets(
     new name is replaced. Long texts are scanned whole.
     """
     if model is None:
-        model = train(docs, id_col, text_col)
+        model = train(docs, text_col)
     text, table = text_or_empty(docs, text_col), constant(model, "array<double>")
     work = docs
     for k in KINDS:

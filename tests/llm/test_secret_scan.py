@@ -3,6 +3,7 @@ import random
 import re
 
 from conftest import ROOT
+from pyspark.sql import functions as F
 
 from commerce_marts.llm import queries, secret_scan
 
@@ -50,6 +51,18 @@ def test_models_find_random_strings_only(spark):
     assert all(got[i] == ["assign"] for i in range(300))
 
 
+def test_models_count_all_documents(spark):
+    # 50,000 documents; one ordinary word stands in the first and last ones only.
+    docs = spark.range(50_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("plain words of number "), F.col("id").cast("string"), F.when(F.col("id").isin(0, 49_999), " zyzzyva").otherwise("")).alias("text"))
+    pair = lambda a, b: (ord(a) - secret_scan.FIRST_CHAR) * secret_scan.CHARS + ord(b) - secret_scan.FIRST_CHAR
+    model = secret_scan.train(docs)
+    assert model[pair("y", "z")] < model[pair("q", "z")]
+    # Copies of one text are no second document.
+    copies = docs.filter("doc_id = 0")
+    alone = secret_scan.train(copies.unionByName(copies))
+    assert alone[pair("y", "z")] == alone[pair("q", "z")]
+
+
 def test_query_and_clean_documents(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{ROOT}/documents.parquet").collect()}
     got = queries.op5_secrets(spark, ROOT).collect()
