@@ -1,8 +1,9 @@
 """Secrets in texts: fixed patterns, and random-looking strings found by two character Markov models.
 
 Both models count pairs of neighbouring characters: one in values that the patterns matched, one in
-ordinary words and identifiers of the same documents. A string is reported when the random model
-explains it better by a wide enough log-likelihood ratio. Only built-in column functions are used.
+ordinary words and identifiers of the same documents. A string, or the stretches of one, are reported
+when the random model explains them better by a wide enough log-likelihood ratio. Only built-in
+column functions are used.
 """
 
 from __future__ import annotations
@@ -19,21 +20,27 @@ HEX = "[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex")
 MIN_ASSIGN = 6
 
-#: Strings that the models judge, and the characters they know (U+002B to U+007A).
-CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+#: Strings that the models judge, and the characters they know (U+002B to U+007A): of 20 and more
+#: characters all; of 8 to 19 those where small letters meet capitals, or letters digits. In one case
+#: alone short random strings look like words in capitals or of rare languages.
+CANDIDATE = (
+    "[A-Za-z0-9+/_=-]{20,}|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{8})(?=[A-Za-z0-9+/_=-]*?(?:[a-z][A-Z]|[A-Za-z][0-9]|[0-9][A-Za-z]))[A-Za-z0-9+/_=-]++"
+)
 ORDINARY = "[A-Za-z0-9+/_=-]{4,}"
 FIRST_CHAR, CHARS = 43, 80
 #: Share of a uniform model in the random one; weight of single characters in that of pairs; count of an unseen character.
 UNIFORM, PRIOR, FLOOR = 0.5, 5.0, 0.1
-#: A string is random above this ratio (in nats) in all and for each character.
+#: A string or a stretch of one is random above this ratio (in nats) in all and for each character.
 MIN_RATIO, MIN_RATIO_CHAR = 15.0, 0.6
+#: A random stretch ends where the ratio, less its least value for each character, has fallen by this much from its peak.
+DROP = 15.0
 
 
-def spans(text: Column, pattern: str) -> Column:
+def spans(text: Column, pattern: str, wanted: Column | None = None) -> Column:
     """Leftmost matches that do not overlap, as array<struct<start, end, value>>; code points, end exclusive.
 
     The text between matches comes from a split by the same pattern; a match starts where the parts
-    and matches before it end.
+    and matches before it end. ``wanted`` is an array of the values to return, all if it is missing.
     """
     kind = "struct<at:bigint,found:array<struct<start:bigint,end:bigint,value:string>>>"
     first = F.from_json(F.lit('{"at":0,"found":[]}'), kind)
@@ -42,7 +49,10 @@ def spans(text: Column, pattern: str) -> Column:
         start = done["at"] + F.length(pair["gap"])
         end = start + F.length(pair["value"])
         one = F.array(F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value")))
-        return F.struct(end.alias("at"), F.concat(done["found"], one).alias("found"))
+        more = F.concat(done["found"], one)
+        if wanted is not None:
+            more = F.when(F.array_contains(wanted, pair["value"]), more).otherwise(done["found"])
+        return F.struct(end.alias("at"), more.alias("found"))
 
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(matches)).alias("gap"), matches.alias("value"))
@@ -123,13 +133,75 @@ def log_ratio(word: Column, model: Column) -> Column:
     return F.aggregate(_pairs(word), F.lit(0.0), lambda total, p: total + F.element_at(model, p.cast("int") + 1))
 
 
+def _possible(word: Column, gains: Column, min_ratio: float) -> Column:
+    """Whether the positive ratios of a word's pairs suffice for a random stretch."""
+    return F.aggregate(_pairs(word), F.lit(0.0), lambda total, p: total + F.element_at(gains, p.cast("int") + 1)) >= min_ratio
+
+
+def _stretches(word: Column, model: Column, min_ratio: float, min_ratio_char: float) -> Column:
+    """Random stretches of a word, array<struct<start, end>>, in one pass.
+
+    The ratio less ``min_ratio_char`` for each pair is summed up; a stretch starts after the last sum
+    that is not positive, and ends at the peak of the sum among the places where it is random.
+    """
+    kind = "struct<at:int,start:int,sum:double,ratio:double,best:double,end:int,found:array<struct<start:int,end:int>>>"
+    first = F.from_json(F.lit('{"at":0,"start":0,"sum":0,"ratio":0,"best":0,"end":0,"found":[]}'), kind)
+
+    def closed(done: Column) -> Column:
+        one = F.array(F.struct(done["start"].alias("start"), done["end"].alias("end")))
+        return F.when(done["end"] > 0, F.concat(done["found"], one)).otherwise(done["found"])
+
+    def add(done: Column, p: Column) -> Column:
+        fresh = (done["sum"] <= 0) | ((done["end"] > 0) & (done["sum"] < done["best"] - DROP))
+        old = lambda name, none: F.when(fresh, none).otherwise(done[name])
+        ratio = F.element_at(model, p.cast("int") + 1)
+        all_, total = old("ratio", F.lit(0.0)) + ratio, old("sum", F.lit(0.0)) + ratio - min_ratio_char
+        better = (all_ >= min_ratio) & (total >= min_ratio_char) & (total >= old("best", F.lit(0.0)))
+        return F.struct(
+            (done["at"] + 1).alias("at"), old("start", done["at"]).alias("start"), total.alias("sum"), all_.alias("ratio"), F.when(better, total).otherwise(old("best", F.lit(0.0))).alias("best"),
+            F.when(better, done["at"] + 2).otherwise(old("end", F.lit(0))).alias("end"), F.when(fresh, closed(done)).otherwise(done["found"]).alias("found"),
+        )
+
+    return F.aggregate(_pairs(word), first, add, closed)
+
+
+def _whole_parts(word: Column, stretch: Column) -> Column:
+    """A stretch of a word, widened to the letters and digits that it begins and ends among.
+
+    Where it holds only two or fewer of more such characters, these are left out.
+    """
+    start, end = stretch["start"], stretch["end"]
+    text = F.substr(word, start + 1, end - start)
+    count = lambda x, pattern: F.length(F.regexp_extract(x, pattern, 0))
+    before = count(F.substr(word, F.lit(1), start), "(?<![A-Za-z0-9])[A-Za-z0-9]*+$")
+    after = count(F.substr(word, end + 1, F.length(word)), "^[A-Za-z0-9]*+")
+    head, tail = count(text, "^[A-Za-z0-9]{0,2}[^A-Za-z0-9]++"), count(text, "(?<![^A-Za-z0-9])[^A-Za-z0-9]++[A-Za-z0-9]{0,2}$")
+    start = F.when((before > 2) & (head > 0), start + head).otherwise(start - before)
+    end = F.when((after > 2) & (tail > 0), end - tail).otherwise(end + after)
+    return F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"))
+
+
+def _outside(span: Column, taken: Column) -> Column:
+    """The parts of a span between those of ``taken``, sorted: array<struct<start, end>>."""
+    first = F.struct(span["start"].alias("at"), F.from_json(F.lit("[]"), "array<struct<start:bigint,end:bigint>>").alias("out"))
+
+    def with_part(done: Column, to: Column) -> Column:
+        return F.when(done["at"] < to, F.concat(done["out"], F.array(F.struct(done["at"].alias("start"), to.alias("end"))))).otherwise(done["out"])
+
+    def add(done: Column, b: Column) -> Column:
+        return F.struct(F.greatest(done["at"], b["end"]).alias("at"), with_part(done, F.least(b["start"], span["end"])).alias("out"))
+
+    return F.aggregate(taken, first, add, lambda done: with_part(done, span["end"]))
+
+
 def find_secrets(
     docs: DataFrame, model: list[float] | None = None, text_col: str = "text", min_ratio: float = MIN_RATIO, min_ratio_char: float = MIN_RATIO_CHAR, prefix: str = "secret_",
 ) -> DataFrame:
     """Add ``<prefix>spans``: array<struct<kind, start, end, value>> of all secrets in each row's text.
 
-    Kinds are those of KINDS and ``random`` for strings that only the models find; such a string
-    never overlaps a pattern's match. Spans are sorted by start, then kind as listed. Null and empty
+    Kinds are those of KINDS and ``random`` for what only the models find: whole strings of known
+    characters, or else their random stretches, however long; of one that overlaps a pattern's match
+    the parts outside the match. Spans are sorted by start, then kind as listed. Null and empty
     texts have none; rows that repeat are judged alike; an empty table gives no rows; a column of the
     new name is replaced. Long texts are scanned whole.
     """
@@ -144,16 +216,28 @@ def find_secrets(
         ratio = log_ratio(word, table)
         return (ratio >= min_ratio) & (ratio >= min_ratio_char * F.length(word))
 
-    free = lambda s: ~F.exists(
-        F.concat(*[F.col(f"__{k}") for k in KINDS]), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])
-    )
-    any_random = F.exists(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), judged)
+    gains = constant([max(x, 0.0) for x in model], "array<double>")
+    taken = F.array_sort(F.concat(*[F.transform(f"__{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS]))
+    work = work.withColumn("__taken", taken)
+
+    def found(s: Column) -> Column:
+        """Random parts of a string and its place."""
+        near = F.filter("__taken", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        part = lambda a, b: F.struct(a.alias("start"), b.alias("end"), F.substr(s["value"], (a - s["start"] + 1).cast("int"), (b - a).cast("int")).alias("value"))
+        stretches = F.transform(_stretches(s["value"], table, min_ratio, min_ratio_char), lambda x: _whole_parts(s["value"], x))
+        placed = F.transform(stretches, lambda x: F.struct((s["start"] + x["start"]).alias("start"), (s["start"] + x["end"]).alias("end")))
+        free = F.flatten(F.transform(placed, lambda x: _outside(x, F.filter(near, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))))
+        parts = F.filter(F.transform(free, lambda x: part(x["start"], x["end"])), lambda x: x["value"].rlike("[A-Za-z0-9]"))
+        return F.when((F.size(near) == 0) & judged(s["value"]), F.array(part(s["start"], s["end"]))).otherwise(F.array_distinct(parts))
+
+    words = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))), lambda w: _possible(w, gains, min_ratio))
     none = F.from_json(F.lit("[]"), "array<struct<start:bigint,end:bigint,value:string>>")
-    work = work.withColumn("__random", F.when(text.rlike(CANDIDATE) & any_random, F.filter(spans(text, CANDIDATE), lambda s: judged(s["value"]) & free(s))).otherwise(none))
+    work = work.withColumn("__words", words)
+    work = work.withColumn("__random", F.when(F.size("__words") > 0, F.flatten(F.transform(spans(text, CANDIDATE, F.col("__words")), found))).otherwise(none))
     order = (*KINDS, "random")
     named = [_named(k, i) for i, k in enumerate(order)]
     sorted_ = F.transform(F.array_sort(F.concat(*named)), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-    return work.withColumn(f"{prefix}spans", sorted_).drop(*[f"__{k}" for k in order])
+    return work.withColumn(f"{prefix}spans", sorted_).drop("__taken", "__words", *[f"__{k}" for k in order])
 
 
 def joined(found: Column) -> Column:

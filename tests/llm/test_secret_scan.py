@@ -51,6 +51,28 @@ def test_models_find_random_strings_only(spark):
     assert all(got[i] == ["assign"] for i in range(300))
 
 
+def test_random_stretches_of_longer_and_shorter_strings(spark):
+    random.seed(7)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    noise = lambda n: "".join(random.choice(letters) for _ in range(n))
+    plain = "the internal configuration credentials some long setting name of a commit and a path"
+    docs = [(i, f'{plain} {i} /internal/configuration/credentials/ some_long_setting_name= token = "{noise(32)}" api_key: {noise(24)}') for i in range(300)]
+    a, b, short, left, right, hexes = noise(32), noise(32), noise(14), noise(15), noise(15), "0123456789abcdef01234567"
+    docs += [
+        (1000, f"see /internal/configuration/credentials/{a} the path"), (1001, f"some_long_setting_name={a}"), (1002, f"name {short} of"), (1003, f"and {left}Z{hexes}Z{right} of"),
+        (1004, f"/{a}/internal/configuration/credentials/internal/configuration/credentials/{b}/path"),
+    ]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = secret_scan.find_secrets(frame)
+    got = {r["doc_id"]: [(s["kind"], s["value"]) for s in r["secret_spans"]] for r in found.collect()}
+    assert got[1000] == got[1001] == [("random", a)] and got[1002] == [("random", short)]
+    assert got[1003] == [("random", f"{left}Z"), ("hex", hexes), ("random", f"Z{right}")]
+    assert [v.strip("/") for _, v in got[1004]] == [a, b]
+    assert all([k for k, _ in got[i]] == ["assign", "assign"] for i in range(300))
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(found).filter("doc_id >= 1000").collect()}
+    assert clean[1003] == "and [secret] of" and clean[1001] == "some_long_setting_name=[secret]"
+
+
 def test_models_count_all_documents(spark):
     # 50,000 documents; one ordinary word stands in the first and last ones only.
     docs = spark.range(50_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("plain words of number "), F.col("id").cast("string"), F.when(F.col("id").isin(0, 49_999), " zyzzyva").otherwise("")).alias("text"))
