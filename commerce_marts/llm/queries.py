@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import embedding_join, fingerprints, html_blocks, jaccard_join, mixing, packing, quality, secret_scan, sharding, token_counts
+from . import divergence, embedding_join, fingerprints, html_blocks, jaccard_join, mixing, packing, quality, secret_scan, sharding, token_counts
 from .common import settle, text_or_empty
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -98,9 +98,13 @@ def op10_sequences(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack_documents(_table(spark, root, "documents"), TOKENIZER, with_ids=False)
 
 
+def op11_divergence(spark: SparkSession, root: str) -> DataFrame:
+    return divergence.audit_sources(_table(spark, root, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_mixture, op3_token_totals, op4_main_text, op5_secrets, op6_near_vectors, op7_shingle_groups, op8_shards, op9_fingerprints, op10_sequences)
+    for f in (op1_quality, op2_mixture, op3_token_totals, op4_main_text, op5_secrets, op6_near_vectors, op7_shingle_groups, op8_shards, op9_fingerprints, op10_sequences, op11_divergence)
 }
 
 _COMPONENTS = """edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
@@ -124,4 +128,22 @@ SQL: dict[str, str] = {
         links AS (SELECT a.id AS x, b.id AS y FROM s a JOIN s b ON a.s = b.s AND a.id < b.id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
             GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))), {_COMPONENTS}
         SELECT n.id AS doc_id, cast(len(s) AS bigint) AS n_shingles, component_id FROM nodes n JOIN named USING (id)""",
+    "op11_divergence": r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS total FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3),
+        c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+        v AS (SELECT lang, count(*) AS v, sum(total) AS nl FROM kept GROUP BY 1),
+        s AS (SELECT lang, source, sum(n) AS ng FROM c GROUP BY 1, 2),
+        g AS (SELECT lang, source, coalesce(v, 0) AS v, coalesce(nl, 0) AS nl, coalesce(ng, 0) AS ng
+            FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN v USING (lang) LEFT JOIN s USING (lang, source)),
+        p AS (SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000 * (coalesce(n, 0) + 1)) // (ng + v) AS p,
+            1 + (1000000000 * (total + 1)) // (nl + v) AS q FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+        rows AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, cast(value AS bigint) AS value, cast(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS int) AS rank
+        FROM rows QUALIFY part = 'pair' OR rank <= 200""",
 }
