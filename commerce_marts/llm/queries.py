@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import divergence, embedding_join, fingerprints, html_blocks, jaccard_join, manifest, mixing, packing, quality, secret_scan, sharding, token_counts
+from . import divergence, embedding_join, fingerprints, html_blocks, jaccard_join, language_id, manifest, mixing, packing, quality, secret_scan, sharding, token_counts
 from .common import settle, text_or_empty
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -106,9 +106,21 @@ def op12_manifest(spark: SparkSession, root: str) -> DataFrame:
     return manifest.build_manifest(_table(spark, root, "documents"))
 
 
+def language_model(spark: SparkSession, root: str) -> language_id.Model:
+    """The production model: learned from rows that are not held out."""
+    docs = _table(spark, root, "documents")
+    return language_id.train(docs.filter(~quality.held_out(F.col("doc_id"))))
+
+
+def op13_languages(spark: SparkSession, root: str) -> DataFrame:
+    docs = _table(spark, root, "documents").select("doc_id", "text")
+    told = language_id.predict(docs, language_model(spark, root))
+    return told.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_mixture, op3_token_totals, op4_main_text, op5_secrets, op6_near_vectors, op7_shingle_groups, op8_shards, op9_fingerprints, op10_sequences, op11_divergence, op12_manifest)
+    for f in (op1_quality, op2_mixture, op3_token_totals, op4_main_text, op5_secrets, op6_near_vectors, op7_shingle_groups, op8_shards, op9_fingerprints, op10_sequences, op11_divergence, op12_manifest, op13_languages)
 }
 
 _COMPONENTS = """edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
