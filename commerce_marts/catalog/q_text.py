@@ -77,12 +77,19 @@ def document_queries(t):
     return search.top_keywords(t.documents, 100).select(F.col("word").alias("query")).unionByName(fixed)
 
 
-@query("X05_search_documents", """SELECT document_id, filename, document_type, query, match_count::int AS match_count, match_type, position::int AS position, rank::int AS rank, s AS snippet,
-    CASE WHEN match_type = 'word' THEN regexp_replace(s, '(' || query || ')', '<mark>\\1</mark>', 'gi') END AS highlighted FROM (SELECT *,
-    replace(substr(text, greatest(position - 150, 1), position + length(query) + 150 - greatest(position - 150, 1)), chr(10), ' ') AS s FROM s_found)""")
+add_cte("s_matches", f"""SELECT *, CASE match_type WHEN 'word' THEN list_filter(range(1, length(low) - length(term) + 2), lambda i: substr(low, i, length(term)) = term
+        AND NOT (i > 1 AND regexp_full_match(substr(low, i - 1, 1), '[\\p{{L}}\\p{{N}}_]')) AND NOT regexp_full_match(substr(low, i + length(term), 1), '[\\p{{L}}\\p{{N}}_]'))
+    ELSE list_transform(range(1, len(parts)), lambda i: cast(list_sum(list_transform(parts[1:i], lambda p: length(p))) AS bigint) + (i - 1) * length(term) + 1) END AS places
+    FROM (SELECT *, string_split(low, term) AS parts FROM s_found)""")
+AROUND = "replace(substr(text, greatest(p - 150, 1), p + length(query) + 150 - greatest(p - 150, 1)), chr(10), ' ')"
+
+
+@query("X05_search_documents", f"""SELECT document_id, filename, document_type, query, match_count::int AS match_count, match_type, position::int AS position, rank::int AS rank, s AS snippet,
+    regexp_replace(s, '(' || query || ')', '<mark>\\1</mark>', 'gi') AS highlighted, md5(array_to_string(list_transform(places, lambda p: p || ':' || {AROUND}), '|')) AS matches FROM (SELECT *,
+    {AROUND.replace("p +", "position +").replace("p -", "position -")} AS s FROM s_matches)""")
 def _(t):
-    found = search.search_documents(t.documents, document_queries(t)).drop("matches")
-    return found.withColumn("highlighted", F.when(F.col("match_type") == "word", F.col("highlighted")))
+    found = search.search_documents(t.documents, document_queries(t))
+    return found.withColumn("matches", F.md5(F.array_join(F.transform("matches", lambda m: F.concat(m["position"].cast("string"), F.lit(":"), m["snippet"])), "|")))
 
 
 @query("X05_match_positions", """WITH p AS (SELECT document_id, string_split(lower(text), 'license') AS parts FROM r_documents), l AS (SELECT document_id, len(parts) AS n, unnest(range(len(parts))) AS match_no, unnest(parts) AS part FROM p)
@@ -242,11 +249,11 @@ def _(t):
     return kpis.collection_stats(t.documents)
 
 
-@query("X23_search_summary", """SELECT query, count(*) AS document_count, sum(match_count)::bigint AS total_matches, string_agg(DISTINCT document_type, ',' ORDER BY document_type) AS document_types,
-    printf('Found ''%s'' in %d document(s) with %d total matches.', query, count(*), sum(match_count)::bigint) AS summary FROM s_found GROUP BY query""")
+@query("X23_search_summary", f"""SELECT query, count(*) AS document_count, sum(match_count)::bigint AS total_matches, string_agg(DISTINCT document_type, ',' ORDER BY document_type) AS document_types, string_agg(CASE WHEN rank <= 10 THEN substr(s, 1, 200) END, '|' ORDER BY rank) AS snippets,
+    printf('Found ''%s'' in %d document(s) with %d total matches.', query, count(*), sum(match_count)::bigint) AS summary FROM (SELECT *, {AROUND.replace("p +", "position +").replace("p -", "position -")} AS s FROM s_found) GROUP BY query""")
 def _(t):
     pack = search.search_summary(search.search_documents(t.documents, document_queries(t)))
-    return pack.withColumn("document_types", F.array_join("document_types", ",")).drop("snippets")
+    return pack.withColumn("document_types", F.array_join("document_types", ",")).withColumn("snippets", F.array_join("snippets", "|"))
 
 
 @query("E06_series_digest", "SELECT document_id, md5(text) AS digest FROM r_documents")

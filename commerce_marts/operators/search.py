@@ -1,7 +1,7 @@
 """Product and document search, keywords and reference extraction.
 
-Queries come as a table. Their distinct terms travel to the texts as one array, so a search is one
-scan of the texts whatever the number of queries; scores are then joined by term.
+Queries come as a table. Their terms meet an inverted index of the texts (``text_index``), so the work grows
+with what the terms hold, not with terms times texts.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.money import as_col
+from ..session import cut_lineage, dealt
 from .filters import any_like
 from .onerow import beside
 from .ordered import top_n
-
-WORD_CHARS = r"\p{L}\p{N}_"
+from .text_index import WORD_CHARS, TextIndex, quoted
 
 
 def search_products(products: DataFrame, text: str, n: int | None = 10) -> DataFrame:
@@ -45,23 +45,10 @@ def _hay() -> Column:
     return F.lower(F.concat_ws(" ", "name", "category", "description"))
 
 
-def _with_terms(rows: DataFrame, text: Column, terms: DataFrame, carry: list[str], measures=()) -> DataFrame:
-    """(carry, term) for every term of a query table that a row's text contains.
-
-    Each measure is a name and a function of (text, struct so far) whose result is added as a field.
-    The distinct terms go to the tasks as one array, so the plan is the same for any number of
-    queries and rows are neither moved nor multiplied before they match.
-    """
-    listed = terms.select("term").distinct().agg(F.collect_list("term").alias("_terms"))
-    found = beside(rows.withColumn("_text", text), listed)
-    held = F.transform(F.filter("_terms", lambda t: F.contains(F.col("_text"), t)), lambda t: F.struct(t.alias("term")))
-    for name, measure in measures:
-        held = _added(held, name, measure)
-    return found.select(*carry, F.inline(held))
-
-
-def _added(structs: Column, name: str, measure) -> Column:
-    return F.transform(structs, lambda x: x.withField(name, measure(F.col("_text"), x)))
+def _with_terms(rows: DataFrame, text: Column, terms: DataFrame, carry: list[str]) -> DataFrame:
+    """(id, carry, term) for every term of a query table that a row's text contains."""
+    held = TextIndex(rows, "id", text).counts(cut_lineage(terms.select("term").distinct(), "terms")).select("id", "term")
+    return held.join(rows.select("id", *carry), "id")
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
@@ -73,7 +60,7 @@ def token_match(products: DataFrame, queries: DataFrame, k: int = 6) -> DataFram
     """Two points per token of a query found in name, category or description; ``queries`` has one column ``query``."""
     words = F.split(F.trim(F.regexp_replace(F.lower("query"), r"[-_\s]+", " ")), " ")
     tokens = queries.select("query").distinct().select("query", F.explode(words).alias("term")).filter("term <> ''")
-    hits = _with_terms(products, _hay(), tokens, ["id", "name", "price"]).join(tokens, "term")
+    hits = _with_terms(products, _hay(), tokens, ["name", "price"]).join(tokens, "term")
     return _best(hits.groupBy("query", "id", "name", "price").agg((2 * F.count(F.lit(1))).alias("score")), k)
 
 
@@ -106,7 +93,7 @@ def attribute_match(products: DataFrame, queries: DataFrame, k: int = 6) -> Data
     genders = F.filter(F.array(*[point(F.lit(g), 3, 0) for g in ("men", "women")]), lambda x: F.contains(F.col("low"), x["term"]))
     parsed = parsed.withColumn("needs", F.size(attributes))
     terms = parsed.select("query", "cap", "needs", F.inline(F.concat(tokens, attributes, genders)))
-    scored = _with_terms(products, _hay(), terms, ["id", "name", "price"]).join(terms, "term")
+    scored = _with_terms(products, _hay(), terms, ["name", "price"]).join(terms, "term")
     scored = scored.groupBy("query", "id", "name", "price", "cap", "needs").agg(F.sum("points").alias("score"), F.sum("need").alias("met"))
     within = F.col("cap").isNull() | (F.col("price") <= F.col("cap"))
     hits = scored.filter((F.col("met") == F.col("needs")) & within).select("query", "id", "name", "price", "score")
@@ -116,15 +103,6 @@ def attribute_match(products: DataFrame, queries: DataFrame, k: int = 6) -> Data
     return _best(hits.unionByName(rest), k)
 
 
-def _quoted(term: Column) -> Column:
-    return F.regexp_replace(term, r"([^\w\s])", r"\\$1")
-
-
-def word_pattern(term: Column) -> Column:
-    """Whole-word pattern that treats every letter and digit of any script as part of a word."""
-    return F.concat(F.lit(f"(?<![{WORD_CHARS}])"), _quoted(term), F.lit(f"(?![{WORD_CHARS}])"))
-
-
 def _snippet(text: Column, position: Column, size: Column, context: int) -> Column:
     start = F.greatest(position - context, F.lit(1))
     return F.replace(F.substr(text, start, position + size + context - start), F.lit("\n"), F.lit(" "))
@@ -142,37 +120,18 @@ def search_documents(documents: DataFrame, queries: DataFrame, k: int = 10, cont
     if document_type:
         docs = docs.filter(F.col("document_type") == document_type)
     asked = queries.select(F.trim("query").alias("query")).distinct().withColumn("term", F.lower("query")).filter("term <> ''")
-    low, term = F.lower("text"), F.col("term")
-    docs = docs.withColumn("_words", F.split(low, f"[^{WORD_CHARS}]+"))
-
-    def words(text: Column, x: Column) -> Column:
-        # A term of word characters is counted among the words; others need the pattern.
-        t = x["term"]
-        whole = F.when(t.rlike(f"^[{WORD_CHARS}]+$"), F.size(F.filter("_words", lambda w: w == t))).otherwise(F.regexp_count(text, word_pattern(t)))
-        return F.when(F.contains(t, F.lit(" ")), 0).otherwise(whole)
-
-    def plain(text: Column, x: Column) -> Column:
-        t = x["term"]
-        return F.when(x["words"] > 0, 0).otherwise(((F.length(text) - F.length(F.replace(text, t, F.lit("")))) / F.length(t)).cast("int"))
-
-    found = _with_terms(docs, low, asked, ["document_id", "filename", "document_type"], [("words", words), ("plain", plain)])
-    kind = F.when(F.contains(term, F.lit(" ")), "phrase").when(F.col("words") > 0, "word").otherwise("substring")
-    counted = found.select(
-        "document_id", "filename", "document_type", "term", F.when(F.col("words") > 0, F.col("words")).otherwise(F.col("plain")).alias("match_count"), kind.alias("match_type")
-    )
-    best = top_n(counted.join(asked, "term"), ["query"], [F.desc("match_count"), F.asc("document_id")], k, rank="rank")
-    full = best.join(docs.select("document_id", "text"), "document_id")
-    pattern = F.when(F.col("match_type") == "word", word_pattern(term)).otherwise(_quoted(term))
-    gaps = F.transform(F.split(low, pattern, -1), F.length)
-    none = F.from_json(F.lit('{"at":1,"found":[]}'), "struct<at:int,found:array<int>>")
-    # A match starts where the gaps and matches before it end.
-    step = lambda done, gap: F.struct((done["at"] + gap + F.length("term")).alias("at"), F.concat(done["found"], F.array(done["at"] + gap)).alias("found"))
-    places = F.aggregate(F.slice("_gaps", 1, F.size("_gaps") - 1), none, step, lambda done: done["found"])
-    full = full.withColumn("_gaps", gaps).withColumn("_at", places).withColumn("position", F.get("_at", F.lit(0)))
-    listed = F.transform("_at", lambda p: F.struct(p.alias("position"), _snippet(F.col("text"), p, F.length("term"), context).alias("snippet")))
-    marked = F.regexp_replace(F.col("snippet"), F.concat(F.lit("(?i)("), _quoted(F.col("query")), F.lit(")")), F.lit("<mark>$1</mark>"))
+    asked = cut_lineage(asked, "asked")
+    index = TextIndex(docs, "document_id", "text")
+    kind = F.when(F.contains("term", F.lit(" ")), "phrase").when(F.col("words") > 0, "word").otherwise("substring")
+    counted = index.counts(asked).select("document_id", "term", F.when(F.col("words") > 0, F.col("words")).otherwise(F.col("plain")).cast("int").alias("match_count"), kind.alias("kind"))
+    best = cut_lineage(top_n(counted.join(asked, "term"), ["query"], [F.desc("match_count"), F.asc("document_id")], k, rank="rank"), "best")
+    places = index.places(best.select("document_id", "term", "kind").distinct())
+    full = best.join(places, ["document_id", "term", "kind"]).join(docs.select("document_id", "filename", "document_type", "text"), "document_id")
+    listed = F.transform("positions", lambda p: F.struct(p.alias("position"), _snippet(F.col("text"), p, F.length("term"), context).alias("snippet")))
+    marked = F.regexp_replace(F.col("snippet"), F.concat(F.lit("(?i)("), quoted(F.col("query")), F.lit(")")), F.lit("<mark>$1</mark>"))
     full = full.withColumn("matches", listed).withColumn("snippet", F.get("matches", F.lit(0))["snippet"]).withColumn("highlighted", marked)
-    return full.select("document_id", "filename", "document_type", "query", "match_count", "match_type", "position", "rank", "snippet", "highlighted", "matches")
+    position = F.get("positions", F.lit(0)).alias("position")
+    return full.select("document_id", "filename", "document_type", "query", "match_count", F.col("kind").alias("match_type"), position, "rank", "snippet", "highlighted", "matches")
 
 
 def match_positions(documents: DataFrame, term: str) -> DataFrame:
@@ -216,7 +175,7 @@ def keyword_words(text: str | Column) -> Column:
 def top_keywords(documents: DataFrame, k: int = 20, key: str | None = None) -> DataFrame:
     """Most frequent words per document (``key``) or of the whole collection."""
     keys = [key] if key else []
-    words = documents.select(*keys, F.explode(keyword_words("text")).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("count"))
+    words = dealt(documents.select(*keys, "text")).select(*keys, F.explode(keyword_words("text")).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("count"))
     return top_n(words, keys, [F.desc("count"), F.asc("word")], k, rank="rank")
 
 

@@ -64,3 +64,12 @@ def cut_lineage(df, name: str = "cut"):
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df):
+    """``df`` in at least as many parts as tasks run at once: one small file would leave all work on its rows to one task.
+
+    Inputs that are split well enough already, as large ones are, are not moved.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
