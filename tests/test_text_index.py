@@ -74,4 +74,4 @@ def test_a_hundred_thousand_terms(spark):
     for i, text in enumerate(texts):  # a term of letters lies inside a word
         inside = {w[a:b] for w in text.split() for a in range(len(w)) for b in range(a + 1, len(w) + 1)} | {"ing er"}
         want |= brute([text], inside.intersection(terms)) and {(i, t): v for (_, t), v in brute([text], inside.intersection(terms)).items()}
-    assert got == want and len(got) > 10_000
+    assert got == want and len(got) > 5_000
