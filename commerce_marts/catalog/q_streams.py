@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..operators import filters
 from ..session import shared_dir
 from ..sources import sinks
 from ..sources.canonical import RAW_SCHEMAS, Retail
-from ..streaming import streams
+from ..streaming import streams, velocity_state
 from .registry import query
 
 
@@ -65,6 +67,32 @@ def _(t):
     return plain(result(t, streams.failed_logins(live(t).activities, 3), "logins"), "start", "end")
 
 
+def trailing_sql(where, limits):
+    """Windows that end with a minute in which a user has rows, once the watermark has passed it."""
+    arms = " UNION ALL ".join(
+        f"""SELECT user_id, {size} AS window_minutes, minute + INTERVAL 1 MINUTE AS "end", sum(c) OVER (PARTITION BY user_id ORDER BY minute
+        RANGE BETWEEN INTERVAL {size - 1} MINUTE PRECEDING AND CURRENT ROW)::bigint AS n, {limit} AS least FROM m""" for size, limit in limits
+    )
+    return f"""WITH m AS (SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS c FROM events WHERE {where} GROUP BY 1, 2), w AS ({arms})
+        SELECT user_id, window_minutes, "end", n FROM w WHERE n >= least AND "end" <= (SELECT max(ts) FROM events WHERE {where}) - INTERVAL 1 HOUR"""
+
+
+#: The given events are sparse; the limits are lowered so that each window has rows.
+SPARSE_LIMITS = ((5, 2), (15, 2), (60, 3), (1440, 7))
+LOGIN_LIMITS = ((5, 2), (15, 2), (60, 2), (1440, 3))
+
+
+@query("R03_velocity_windows", trailing_sql("true", SPARSE_LIMITS))
+def _(t):
+    return plain(result(t, velocity_state.velocity_windows(live(t).raw("events"), "ts", SPARSE_LIMITS), "windows"), "end")
+
+
+@query("R04_login_windows", trailing_sql("event_type = 'error'", LOGIN_LIMITS))
+def _(t):
+    failed = live(t).activities.filter("activity_type = 'login_failed'")
+    return plain(result(t, velocity_state.velocity_windows(failed, "created_at", LOGIN_LIMITS), "login-windows"), "end")
+
+
 @query("R05_event_landing", "SELECT activity_type, count(*) AS activities FROM r_activities GROUP BY 1")
 def _(t):
     root = shared_dir(t.spark, "activities")
@@ -78,6 +106,16 @@ def _(t):
     return result(t, streams.dedup_stream(twice, ["event_id"], "ts", "1 hour"), "dedup").select("event_id", "user_id", "event_type")
 
 
+@query("R06_first_rows", "SELECT event_id, user_id, event_type, value, ts FROM events WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 130 MINUTE")
+def _(t):
+    # Each event has a changed copy ten minutes later, which is read before it.
+    copies = F.explode(F.array(F.struct(F.lit(10).alias("late"), F.lit("copy").alias("kind")), F.struct(F.lit(0).alias("late"), F.lit(None).cast("string").alias("kind"))))
+    events = live(t).raw("events").withColumn("c", copies).withColumns({"ts": F.col("ts") + F.make_dt_interval(mins=F.col("c.late")), "event_type": F.coalesce("c.kind", "event_type")}).drop("c")
+    found = result(t, streams.first_rows(events, ["event_id"], "ts", "1 hour"), "first")
+    limit = t.raw("events").agg(F.max("ts")).first()[0] - dt.timedelta(minutes=130)
+    return found.filter(F.col("ts") <= F.lit(limit)).select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
 SESSIONS = """SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS events FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM
     (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s"""
 
@@ -93,9 +131,9 @@ def _(t):
 
 
 @query("R08_stream_sales_daily", """SELECT * FROM (SELECT created_at::date::timestamp AS day, count(*) AS total_orders, msum(total_amount) AS total_revenue, count(*) FILTER (status = 'Delivered') AS delivered_orders,
-    count(*) FILTER (status = 'Cancelled') AS cancelled_orders FROM r_orders GROUP BY 1) WHERE day + INTERVAL 1 DAY <= (SELECT max(created_at) FROM r_orders) - INTERVAL 1 HOUR""")
+    count(*) FILTER (status = 'Cancelled') AS cancelled_orders, count(DISTINCT user_id) AS unique_customers FROM r_orders GROUP BY 1) WHERE day + INTERVAL 1 DAY <= (SELECT max(created_at) FROM r_orders) - INTERVAL 1 HOUR""")
 def _(t):
-    return plain(result(t, streams.sales_daily(live(t).orders), "sales"), "day").drop("unique_customers")
+    return plain(result(t, streams.sales_daily(live(t).orders), "sales"), "day")
 
 
 @query("R09_stream_alerts", "SELECT 'Low_Stock_Alert' AS rule, 'high' AS severity, id::varchar AS key FROM r_products WHERE stock < 10")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..functions.money import money_sum
+from ..functions.money import CENTS, in_units, money_sum
 from ..operators.filters import apply_rules
 
 MAX_FILES = 100
@@ -51,9 +51,26 @@ def stream_ingest(source: DataFrame, path: str, checkpoint: str, once: bool = Fa
 
 
 def dedup_stream(df: DataFrame, key: list[str], ts: str, delay: str) -> DataFrame:
-    """First row per key within the lateness bound."""
-    timed = with_event_time(df, ts, delay)
-    return timed.dropDuplicatesWithinWatermark(key) if df.isStreaming else timed.dropDuplicates(key)
+    """One row per key within the lateness bound: the first to arrive in a stream, the earliest in a batch."""
+    if not df.isStreaming:
+        return first_rows(df, key, ts, delay)
+    return with_event_time(df, ts, delay).dropDuplicatesWithinWatermark(key)
+
+
+def first_rows(df: DataFrame, key: list[str], ts: str, delay: str) -> DataFrame:
+    """The earliest row of each key, whatever order rows arrive in.
+
+    Rows of a key that lie within ``delay`` of each other are copies; the earliest is held back until the
+    watermark has passed the last of them and ``delay`` more, so no earlier copy can follow. Copies of the same
+    time are decided by their other columns. Only the best row so far is kept for a key, in each task and
+    in the state. Rows without a time are left out. Stream and batch give the same rows.
+    """
+    columns = df.columns
+    timed = with_event_time(df.filter(F.col(ts).isNotNull()), ts, delay)
+    row = F.struct(*[timed[c].alias(f"c{i}") for i, c in enumerate(columns)])
+    rank = F.struct(F.col(ts), F.to_json(row))  # any order that all copies share
+    held = timed.groupBy(F.session_window(ts, delay).alias("span"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(key)]).agg(F.min_by(row, rank).alias("first"))
+    return held.select(*[F.col(f"first.c{i}").cast(df.schema[c].dataType).alias(c) for i, c in enumerate(columns)])
 
 
 def velocity(df: DataFrame, ts: str, size: str, slide: str, threshold: int, delay: str = "1 hour", amount: str | None = None) -> DataFrame:
@@ -99,11 +116,18 @@ def _joined(spans: DataFrame, keys: list[str], gap: Column) -> DataFrame:
 
 
 def sales_daily(orders: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Daily sales; distinct customers are approximate because streams cannot count them exactly."""
-    daily = with_event_time(orders, "created_at", delay).groupBy(F.window("created_at", "1 day")).agg(
-        F.count(F.lit(1)).alias("total_orders"), money_sum("total_amount").alias("total_revenue"),
-        F.count(F.when(F.col("status") == "Delivered", 1)).alias("delivered_orders"), F.count(F.when(F.col("status") == "Cancelled", 1)).alias("cancelled_orders"),
-        F.approx_count_distinct("user_id").alias("unique_customers"),
+    """Daily sales with the exact number of customers, from two aggregations in a row.
+
+    The first has one row for each day and customer, which leaves its state when the day is over; the second
+    counts these rows and adds their sums. Money is added in whole cents.
+    """
+    count = lambda status: F.count(F.when(F.col("status") == status, 1))
+    each = with_event_time(orders, "created_at", delay).groupBy(F.window("created_at", "1 day"), "user_id").agg(
+        F.count(F.lit(1)).alias("orders"), F.sum(in_units("total_amount", CENTS)).alias("cents"), count("Delivered").alias("delivered"), count("Cancelled").alias("cancelled")
+    )
+    daily = each.groupBy(F.window(F.window_time("window"), "1 day")).agg(
+        F.sum("orders").alias("total_orders"), (F.sum("cents").cast("double") / CENTS).alias("total_revenue"), F.sum("delivered").alias("delivered_orders"),
+        F.sum("cancelled").alias("cancelled_orders"), F.count("user_id").alias("unique_customers"),
     )
     return daily.select(F.col("window.start").alias("day"), *[c for c in daily.columns if c != "window"])
 
