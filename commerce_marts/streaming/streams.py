@@ -12,8 +12,10 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.money import CENTS, in_units, money_sum
 from ..operators.filters import apply_rules
+from ..sources.batch_sums import BatchSums
 
 MAX_FILES = 100
+KEY_TYPE = "bigint"
 EVERY = "5 minutes"
 
 
@@ -132,16 +134,20 @@ def sales_daily(orders: DataFrame, delay: str = "1 hour") -> DataFrame:
     return daily.select(F.col("window.start").alias("day"), *[c for c in daily.columns if c != "window"])
 
 
+def totals_store(spark: SparkSession, path: str, key: str) -> BatchSums:
+    return BatchSums(spark, path, f"{key} {KEY_TYPE}, rows bigint, amount decimal(28,2)", [key])
+
+
 def refresh_totals(source: DataFrame, path: str, key: str, amount: str, checkpoint: str, once: bool = True) -> DataStreamWriter:
-    """Keep totals by key fresh: each micro-batch stores only its own sums, in a folder of its own.
+    """Keep totals by key fresh: each micro-batch stores only its own sums.
 
-    A repeated batch replaces its folder, so it counts once; nothing that is stored is read or
-    written again. :func:`read_totals` adds the batches up.
+    A repeated batch is known by its id and counts once; stored sums are merged by size class, so
+    :func:`read_totals` opens few folders however many batches there were.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        sums = batch.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col(amount).cast("decimal(18,2)")).cast("decimal(28,2)").alias("amount"))
-        sums.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        sums = batch.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col(amount).cast("decimal(18,2)")).alias("amount"))
+        totals_store(batch.sparkSession, path, key).commit(batch_id, sums)
 
     out = source.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return out.trigger(availableNow=True) if once else out.trigger(processingTime=EVERY)
@@ -149,7 +155,7 @@ def refresh_totals(source: DataFrame, path: str, key: str, amount: str, checkpoi
 
 def read_totals(spark: SparkSession, path: str, key: str) -> DataFrame:
     """Rows and amount by key over all stored batches."""
-    return spark.read.parquet(path).groupBy(key).agg(F.sum("rows").alias("rows"), F.sum("amount").cast("decimal(28,2)").alias("amount"))
+    return totals_store(spark, path, key).totals()
 
 
 def stream_alerts(source: DataFrame, rules: list[tuple[str, str, str]], key: Column, path: str, checkpoint: str, once: bool = True) -> DataStreamWriter:

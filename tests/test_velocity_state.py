@@ -92,7 +92,7 @@ def test_exact_customers_of_a_day(spark, tmp_path):
     schema = "created_at timestamp_ntz, user_id bigint, total_amount double, status string"
     rng = random.Random(1)
     rows = [(at(rng.randrange(1440 * 4)), rng.choice([None, *range(300)]), rng.randrange(1, 10_000) / 100, rng.choice(["Delivered", "Cancelled", "x"])) for _ in range(3000)]
-    rows.sort()
+    rows.sort(key=lambda r: r[0])
     path = str(tmp_path / "in")
     put(spark, path, 0, rows[:1500], schema)
     put(spark, path, 1, rows[1500:], schema)
