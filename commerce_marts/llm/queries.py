@@ -48,8 +48,9 @@ def op3_token_totals(spark: SparkSession, root: str) -> DataFrame:
         F.sha2(text, 256).alias("text"),
     )
     counts = settle(counts, "counts")
-    first = counts.groupBy("text").agg(F.min("doc_id").alias("first"))
-    copies = counts.join(first, "text").filter("doc_id <> first")
+    # The first row of each text: the smallest id, null ids last. Rows of a text meet as one row of each task.
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "source", "lang", "words", "pieces"))
+    firsts = counts.groupBy("text").agg(first.alias("f")).select("f.*")
 
     def by(rows: DataFrame, count: str, tokenizer: str) -> DataFrame:
         return rows.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.col(count).alias("tokens"))
@@ -59,7 +60,12 @@ def op3_token_totals(spark: SparkSession, root: str) -> DataFrame:
     totals.commit(1, added=by(counts, "words", "words"))
     for _ in range(2):
         totals.commit(2, added=by(counts.filter(english), "pieces", "pieces"), removed=by(counts.filter(english), "words", "words"))
-    totals.commit(3, removed=by(copies.filter(english), "pieces", "pieces").unionByName(by(copies.filter(~english), "words", "words")))
+
+    def both(rows: DataFrame) -> DataFrame:
+        return by(rows.filter(english), "pieces", "pieces").unionByName(by(rows.filter(~english), "words", "words"))
+
+    # All rows leave and the first ones come back, so copies are never joined with their texts.
+    totals.commit(3, added=both(firsts), removed=both(counts))
     return totals.totals()
 
 

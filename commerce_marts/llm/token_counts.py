@@ -2,8 +2,10 @@
 
 A batch holds documents that were added and documents that were removed; a revised document is
 removed with its old count and added with its new one. A batch is summed by source, language and
-tokenizer version and stored under its id, so storing it again changes nothing. Totals are the sum
-of all stored batches.
+tokenizer version before it is stored. One manifest, replaced as a whole, names the stored sums that
+count and the ids of the batches in them: a batch that is sent again is left out, also after its sums were merged
+with others, and a crash before the manifest is written leaves the totals as they were. Sums are merged by
+size class as batches come, so totals are read from a few small folders.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.batch_sums import BatchSums
+
 KEYS = ["source", "lang", "tokenizer"]
 
 
@@ -28,29 +32,19 @@ def signed(added: DataFrame | None = None, removed: DataFrame | None = None) ->
 
 
 class TokenRollup:
-    """Totals in a shared folder, one subfolder for each batch."""
+    """Totals in a shared folder. One writer at a time; a writer that was stopped sends its batch again."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def commit(self, batch_id: int, added: DataFrame | None = None, removed: DataFrame | None = None) -> None:
-        """Store a batch; the same id again replaces it, so a batch that failed half-way or is sent twice counts once."""
-        signed(added, removed).write.mode("overwrite").parquet(f"{self.path}/batch={int(batch_id)}")
+        self.sums = BatchSums(spark, path, "source string, lang string, tokenizer string, documents long, tokens long", KEYS)
 
-    def batches(self) -> DataFrame:
-        return self.spark.read.schema("source string, lang string, tokenizer string, documents long, tokens long, batch int").parquet(self.path)
+    def commit(self, batch_id: int, added: DataFrame | None = None, removed: DataFrame | None = None) -> bool:
+        """Store a batch once; False if its id is known already, whatever the rows are."""
+        return self.sums.commit(batch_id, signed(added, removed))
 
     def totals(self) -> DataFrame:
         """KEYS, documents and tokens of all documents that are there now; keys without documents are left out."""
-        sums = self.batches().groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        return sums.filter("documents <> 0 OR tokens <> 0")
-
-    def fold(self, upto: int) -> None:
-        """Replace the batches up to an id by one with their sums. Not to be run beside a commit of one of them."""
-        from .common import settle
-
-        old = settle(self.batches().filter(F.col("batch") <= upto).groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")), "fold")
-        empty = old.limit(0)
-        for row in self.batches().filter(F.col("batch") < upto).select("batch").distinct().collect():
-            empty.write.mode("overwrite").parquet(f"{self.path}/batch={row['batch']}")
-        old.write.mode("overwrite").parquet(f"{self.path}/batch={int(upto)}")
+        return self.sums.totals().filter("documents <> 0 OR tokens <> 0")
+
+    def fold(self, upto: int | None = None) -> None:
+        """Merge stored sums now instead of when enough have come; ids stay known, so ``upto`` changes nothing any more."""
+        self.sums.compact(fan_in=2)
