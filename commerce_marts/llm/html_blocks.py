@@ -3,14 +3,19 @@
 Markup is stripped into lines, one for each block element. A line weighs its text outside links, or
 nothing inside elements whose kind or name marks them as page furniture. Weights are summed over a
 sliding window of lines; text surges where the sum rises over a threshold and dives where it falls to
-nothing. Lines between are kept. Sums of lines in an article element get a bonus; text outside it is
+nothing. Lines between are kept. Lines of text in an article element get a bonus to their sums; lines of links alone
+have none, inside an article or outside, and stay only where text around them surges. Text outside the article is
 measured by the same threshold, and every text that surges is kept.
+
+Containers whose names are made of words for comments, notices and adverts weigh nothing either, but only if the
+sums say that the page has another text: a review in a box of that name is its text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 from itertools import groupby
 
@@ -23,10 +28,12 @@ from .common import text_or_empty
 
 #: Lines of a window; weight of the sum at which text surges; longest stretch without weight inside a text.
 WINDOW, SURGE, GAP = 3, 40, 2
-#: Added to the sums of lines in an article or main element; as much as the threshold, so that none of their lines is lost.
+#: Added to the sums of lines with text of their own in an article or main element; as much as the threshold, so that short ones stay.
 BONUS = SURGE
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+_OPEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)", re.S)
+#: What may stand between the name of a tag and its end; possessive, so that nothing is read twice.
+_ATTRIBUTES = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
@@ -55,6 +62,16 @@ _NAMES = {
 } | {f"related-{x}" for x in ("articles", "content", "items", "links", "news", "posts", "stories")}
 #: Names that furniture has outside an article, while inside one they can be parts of the text.
 _OUTER_NAMES = {"banner", "comment", "header", "menu", "notice", "notices", "notification", "promotion", "related", "search", "site-header", "main-header", "skip", "widget"}
+#: Words for what readers and others add to a page, and words that names of such containers have beside them.
+_ADDED = {
+    "ad", "ads", "advert", "advertisement", "adverts", "comment", "commenter", "comments", "discussion", "feedback", "newsletter", "notice", "notices", "notification", "notifications", "promo",
+    "promotion", "replies", "reply", "response", "responses", "review", "reviews", "sponsor", "sponsored", "subscribe",
+}
+_BESIDE = {
+    "all", "area", "article", "blog", "block", "body", "bottom", "box", "card", "container", "content", "customer", "customers", "entry", "feed", "form", "global", "group", "guest", "inline", "inner", "item",
+    "items", "legal", "list", "main", "member", "news", "outer", "page", "panel", "post", "reader", "readers", "section", "site", "slot", "story", "system", "text", "thread", "threads", "top", "unit", "user",
+    "users", "visitor", "visitors", "widget", "wrap", "wrapper",
+}
 _ROLES = {"alertdialog", "banner", "complementary", "contentinfo", "dialog", "menu", "menubar", "navigation", "search", "toolbar"}
 #: Elements that end an open element of the first set when they start.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -67,6 +84,24 @@ class Line:
     furniture: bool
     rooted: bool
     heading: bool
+    added: bool = False
+
+
+def _names_addition(name: str) -> bool:
+    """Whether a name consists of words for additions and words that stand beside them: reader-comments, not comments-on-law."""
+    words = {w.lower() for w in _PART.split(name) if w and not w.isdigit()}
+    return not words.isdisjoint(_ADDED) and words <= _ADDED | _BESIDE
+
+
+def _adds(tag: str, attributes: str) -> bool:
+    """Whether a container's class, id or label names an addition to the text."""
+    if tag not in _CONTAINERS or not attributes:
+        return False
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        value = _PART.sub("-", "".join(values))
+        if name.lower() == "class" and any(map(_names_addition, "".join(values).split())) or name.lower() in ("id", "aria-label") and _names_addition(value):
+            return True
+    return False
 
 
 def _marked(tag: str, attributes: str, inside: bool) -> bool:
@@ -90,22 +125,25 @@ def _marked(tag: str, attributes: str, inside: bool) -> bool:
 def lines_of(page: str) -> list[Line]:
     """Blocks of text in page order; empty ones are left out."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, bool]] = []  # (tag, furniture, root)
+    stack: list[tuple[str, bool, bool, bool]] = []  # (tag, furniture, root, addition)
+    opened: Counter[str] = Counter()
     text: list[str] = []
     link = [0]
-    furniture = roots = links = headings = 0
+    furniture = roots = links = headings = added = 0
 
     def flush() -> None:
         if text:
             line = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if line:
-                out.append(Line(line, link[0], furniture > 0, roots > 0, headings > 0))
+                out.append(Line(line, link[0], furniture > 0, roots > 0, headings > 0, added > 0))
             text.clear()
         link[0] = 0
 
     def pop() -> None:
-        nonlocal furniture, roots, links, headings
-        tag, bad, root = stack.pop()
+        nonlocal furniture, roots, links, headings, added
+        tag, bad, root, addition = stack.pop()
+        opened[tag] -= 1
+        added -= addition
         furniture -= bad
         roots -= root
         links -= tag == "a"
@@ -119,17 +157,22 @@ def lines_of(page: str) -> list[Line]:
 
     at, end = 0, len(page)
     while at < end:
-        found = _TOKEN.search(page, at)
+        found = _OPEN.search(page, at)
         if found is None:
             take(page[at:])
             break
         take(page[at : found.start()])
         at = found.end()
-        closing, tag, attributes = found.group(1), found.group(2), found.group(3)
+        closing, tag = found.group(1), found.group(2)
         if tag is None:
             if found.group().startswith("<![CDATA["):
                 take(html.escape(found.group()[9:].removesuffix("]]>")))
             continue
+        stop = _ATTRIBUTES.match(page, at).end()
+        if stop < end and page[stop] != ">":  # a quote without its other half: the tag ends as if there were no quotes
+            stop = page.find(">", at)
+            stop = end if stop < 0 else stop
+        attributes, at = page[at:stop], stop + 1
         tag = tag.lower()
         if tag in _RAW and not closing:
             if not attributes.endswith("/") or tag in ("script", "style", "title", "textarea"):
@@ -141,14 +184,10 @@ def lines_of(page: str) -> list[Line]:
         if tag not in _INLINE:
             flush()
         if closing:
-            if any(t == tag for t, _, _ in stack):
+            if opened[tag]:
                 # Inline elements do not end the blocks around them.
                 if tag in _INLINE:
-                    kept = []
-                    while stack[-1][0] != tag:
-                        if stack[-1][0] not in _INLINE:
-                            break
-                        kept.append(stack[-1])
+                    while stack[-1][0] != tag and stack[-1][0] in _INLINE:
                         pop()
                     if stack[-1][0] == tag:
                         pop()
@@ -174,7 +213,10 @@ def lines_of(page: str) -> list[Line]:
                 pop()
         inside = roots > 0
         bad = tag in _FURNITURE and not (tag in ("header", "label") and inside) or tag not in (*_TEXT_ROOT, "body", "html") and _marked(tag, attributes, inside)
-        stack.append((tag, bad, tag in _TEXT_ROOT and not bad))
+        addition = _adds(tag, attributes)
+        stack.append((tag, bad, tag in _TEXT_ROOT and not bad, addition))
+        opened[tag] += 1
+        added += addition
         furniture += bad
         roots += stack[-1][2]
         links += tag == "a"
@@ -186,18 +228,27 @@ def lines_of(page: str) -> list[Line]:
 def keep(lines: list[Line], window: int = WINDOW, surge: int = SURGE, gap: int = GAP, bonus: int = BONUS) -> list[bool]:
     """Which lines lie between a surge and a dive of the window sums."""
     out = [False] * len(lines)
-    weight = np.array([0 if x.furniture else max(len(x.text) - x.link_chars, 0) for x in lines], np.int64)
+    own = np.array([0 if x.furniture else max(len(x.text) - x.link_chars, 0) for x in lines], np.int64)
+    ones = np.ones(window, np.int64)
+    # Additions are none where nothing else on the page but headings weighs enough.
+    added = np.array([x.added for x in lines], bool)
+    apart = [int(np.convolve(np.where(some, own, 0), ones).max()) if some.any() else 0 for some in (added, ~added & ~np.array([x.heading for x in lines], bool))]
+    bad = np.array([x.furniture for x in lines], bool)
+    if apart[1] and apart[1] >= min(2 * surge, apart[0] // 2):
+        bad |= added
+    weight = np.where(bad, 0, own)
     # Text inside and outside articles surges for itself; furniture inside an article does not part its text.
-    stretches = [list(g) for _, g in groupby((i for i, x in enumerate(lines) if not (x.furniture and x.rooted)), key=lambda i: lines[i].rooted)]
-    sums = [np.convolve(weight[s], np.ones(window, np.int64), "full")[window // 2 : window // 2 + len(s)] for s in stretches]
+    stretches = [list(g) for _, g in groupby((i for i, x in enumerate(lines) if not (bad[i] and x.rooted)), key=lambda i: lines[i].rooted)]
+    sums = [np.convolve(weight[s], ones, "full")[window // 2 : window // 2 + len(s)] for s in stretches]
     # Short pages have no line of the usual length: half of their best window counts.
     level = min(surge, max(1, max((int(x.max()) for x in sums), default=0) // 2))
     for places, total in zip(stretches, sums, strict=True):
-        # Lines that can begin or end a text: not those that are mostly links, but for an article's.
-        solid = [lines[k].rooted or bool(weight[k]) and (weight[k] * 2 >= len(lines[k].text) or weight[k] >= surge) for k in places]
+        total = total + bonus * np.array([lines[k].rooted and weight[k] > 0 for k in places])
+        # Lines that can begin or end a text: not those that are mostly links; in an article, those whose sums reach the level.
+        solid = [bool(total[n] >= level) if lines[k].rooted else bool(weight[k]) and (weight[k] * 2 >= len(lines[k].text) or weight[k] >= surge) for n, k in enumerate(places)]
         i = 0
         while i < len(places):
-            if not solid[i] or total[i] + bonus * lines[places[i]].rooted < level:
+            if not solid[i] or total[i] < level:
                 i += 1
                 continue
             start = stop = i
@@ -213,10 +264,10 @@ def keep(lines: list[Line], window: int = WINDOW, surge: int = SURGE, gap: int =
             while start and solid[start - 1]:
                 start -= 1
             for k in places[start : stop + 1]:
-                out[k] = not lines[k].furniture
+                out[k] = not bad[k]
             # So do headings just before an article.
             k = places[start] - 1
-            while not start and k >= 0 and lines[k].heading and not lines[k].furniture:
+            while not start and k >= 0 and lines[k].heading and not bad[k]:
                 out[k] = True
                 k -= 1
             i = stop + 1
@@ -233,7 +284,8 @@ def extract_pages(pages: DataFrame, html_col: str = "html", out_col: str = "text
 
     Blocks come in page order, joined by a line break; white space within one is a single blank;
     character references are decoded. A null or empty page, or one without an article or longer
-    text, gives an empty text. Broken markup is read as far as it goes. Pages that repeat give the
+    text, gives an empty text. Broken markup is read as far as it goes, pages of any length in time that grows with
+    their length. Pages that repeat give the
     same text; an empty table stays empty; a column of the new name is replaced.
     """
 

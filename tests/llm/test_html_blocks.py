@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 from conftest import ROOT
@@ -55,7 +56,7 @@ def test_an_article_does_not_hide_text_outside_it():
 @pytest.mark.parametrize(
     ("page", "text"),
     [
-        ('<article><h2 id="related-work">Related work</h2><p class="comment">a</p><section id="search">b</section><div class="notice">c</div></article>', "Related work\na\nb\nc"),
+        ('<article><h2 id="related-work">Related work</h2><p class="comment">a</p><section id="search">b</section><div class="notice">c</div></article>', "Related work\na\nb"),
         ('<div class="page-header"><h1>Title</h1></div><article><p>text</p></article>', "Title\ntext"),
         ('<section id="search"><h2 class="skip">Search</h2><p title="a hidden gem">text</p></section>', "Search\ntext"),
         ('<article><p>text</p><div class="post relatedPosts">x</div><ul class="share-buttons"><li>y</ul><div role="search">z</div><p hidden>h</p></article>', "text"),
@@ -82,3 +83,42 @@ def test_odd_rows(spark):
     assert got.columns == pages.columns
     assert [len(r["text"]) for r in got.orderBy("page_id").collect()] == [0, 0, 0, 499_999]
     assert html_blocks.extract_pages(pages.limit(0)).count() == 0
+
+
+BODY = "".join(f"<p>This is paragraph {i} of a text that is long enough to count as body text.</p>" for i in range(3))
+TEXT = [f"This is paragraph {i} of a text that is long enough to count as body text." for i in range(3)]
+SAID = "<p>I read this with care, and I must say that I could not agree less with what is said here.</p>" * 4
+
+
+@pytest.mark.parametrize("box", ['div class="comment"', 'div class="notice"', 'section id="reader-comments"', 'div id="comments-section"', 'div class="user-reviews"', 'div class="x userComments"', 'ul aria-label="Reader comments"', 'div class="advert"'])
+def test_additions_go_inside_and_behind_articles(box):
+    inner = f"<{box}>{SAID}</{box.split()[0]}>"
+    for page in (f"<article>{BODY}{inner}</article>", f"<article>{BODY}</article>{inner}", f"<div>{BODY}</div>{inner}", f"<article>{inner}{BODY}</article>"):
+        assert main_text(page).split("\n") == TEXT
+
+
+def test_names_made_from_headings_and_boxes_that_hold_the_text_stay():
+    for box in ('section id="comments-on-the-law"', 'div class="review-of-methods"', 'div id="discussion-and-outlook"', 'p class="comment"', 'blockquote class="reply"'):
+        assert main_text(f"<article>{BODY}<{box}>kept here</{box.split()[0]}></article>").split("\n") == [*TEXT, "kept here"]
+    long_title = "A title of a review that alone is longer than the threshold of text"
+    assert main_text(f'<article><h1>{long_title}</h1><p>By A. B.</p><div class="article-review">{BODY}</div></article>').split("\n") == [long_title, "By A. B.", *TEXT]
+
+
+def test_sums_decide_inside_articles():
+    links = "".join(f'<li><a href="/{i}">Another story of ours with a long title, number {i}</a></li>' for i in range(8))
+    got = main_text(f"<article>{BODY}<p>One line.</p><ul>{links}</ul></article>").split("\n")
+    assert got[:4] == [*TEXT, "One line."] and len(got) <= 5
+    few = '<ul><li><a href="/a">One source</a></li></ul>'
+    assert main_text(f"<article>{BODY}{few}{BODY}</article>").split("\n") == [*TEXT, "One source", *TEXT]
+
+
+@pytest.mark.parametrize("page", ["<a " * 100_000 + '"', "<i>" * 50_000 + "</b>" * 100_000, "<div>" * 50_000 + "</p>" * 100_000, "<a b='" * 50_000, "<!--" * 50_000, "</i" * 100_000, "<p>x" * 50_000, "<script>" * 50_000])
+def test_broken_markup_takes_time_by_its_length(page):
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 2
+
+
+def test_quotes_without_their_other_half():
+    assert main_text('<article><p title="a>b">one</p><p class="x>two</p><p>three</p></article>').startswith("one")
+    assert main_text("<article><p>one</p><p it's>two</p></article>") == "one\ntwo"
