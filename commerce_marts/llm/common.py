@@ -36,6 +36,18 @@ def text_or_empty(docs: DataFrame, col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def constant(values: list, kind: str) -> Column:
     """A list as one literal of type ``kind``; the optimizer folds it before the job runs."""
     return F.from_json(F.lit(json.dumps(values)), kind)

@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import constant, settle, text_or_empty
+from .common import constant, free_names, settle, text_or_empty
 
 KEY_BITS = 63
+#: Bits below those of the text.
+GROUP_SHIFT = 31
 #: First round: ranges over all keys; later rounds: parts of each range that holds a splitter.
 FIRST_BITS, ROUND_BITS = 12, 8
 #: Rows of a cell, the range that one task numbers; and the most cells.
@@ -23,7 +25,7 @@ CELL_ROWS, MAX_CELLS = 100_000, 4096
 def sort_key(text: Column, doc_id: Column) -> Column:
     high = F.shiftrightunsigned(F.xxhash64(text), 32)
     low = F.shiftrightunsigned(F.xxhash64(doc_id, text), 33)
-    return F.shiftleft(high.bitwiseAND(0xFFFFFFFF), 31).bitwiseOR(low)
+    return F.shiftleft(high.bitwiseAND(0xFFFFFFFF), GROUP_SHIFT).bitwiseOR(low)
 
 
 def find_splitters(rows: DataFrame, parts: int, tolerance: float = 0.002) -> list[int]:
@@ -72,6 +74,32 @@ def find_splitters(rows: DataFrame, parts: int, tolerance: float = 0.002) -> lis
     return keys
 
 
+def between_groups(rows: DataFrame, keys: list[int], cells: int, shards: int) -> list[int]:
+    """Splitters of cells, those between shards moved to the nearer border of the group of equal texts they cut.
+
+    A group that weighs more than a shard is cut all the same. Splitters inside shards stay between their shard's.
+    """
+    outer = {i: keys[i] for i in range(cells - 1, len(keys), cells)}
+    group = F.shiftright("key", GROUP_SHIFT)
+    # A splitter behind all keys has no group.
+    cut = sorted({k for k in outer.values() if k < 1 << KEY_BITS})
+    below = [F.sum(F.when(F.col("key") < k, F.col("size")).otherwise(0)).alias(f"b{n}") for n, k in enumerate(cut)]
+    held = rows.filter(group.isin([k >> GROUP_SHIFT for k in cut])).groupBy(group.alias("g")).agg(F.sum("size").alias("size"), *below).collect()
+    whole = {r["g"]: r for r in held}
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    for i, k in outer.items():
+        row = whole.get(k >> GROUP_SHIFT)
+        if row and row["size"] * shards <= total:
+            before = row[f"b{cut.index(k)}"]
+            outer[i] = (row["g"] + (before * 2 > row["size"])) << GROUP_SHIFT
+    out, most = list(keys), (1 << KEY_BITS) - 1
+    for i in range(len(keys)):
+        start = i // cells * cells
+        low, high = outer.get(start - 1, 0), outer.get(start + cells - 1, most)
+        out[i] = min(outer[i] if i in outer else min(max(keys[i], low), high), most)
+    return out
+
+
 def part_of(key: Column, splitters: list[int]) -> Column:
     """How many splitters are at or below ``key``: a lookup by leading bits, then a short comparison."""
     if not splitters:
@@ -92,7 +120,8 @@ def part_of(key: Column, splitters: list[int]) -> Column:
 def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", cell_rows: int = CELL_ROWS, prefix: str = "") -> DataFrame:
     """Add shard (int) and slot (long, gapless from 0 within a shard) to all rows, plus size in bytes.
 
-    A row weighs the UTF-8 bytes of its text plus 1 (null: 1), and shards weigh near the same. Slots
+    A row weighs the UTF-8 bytes of its text plus 1 (null: 1), and shards weigh near the same. Equal texts
+    share a shard unless they weigh more than one. Slots
     follow the sort key; equal rows share a key and take neighbouring slots. Rows with null ids are
     placed like others. An empty table gives no rows. ``prefix`` precedes the three new names, and
     columns of these names are replaced.
@@ -103,14 +132,15 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     n = rows.count()
     cells = max(1, min(MAX_CELLS // shards, -(-n // (cell_rows * shards)), n)) if n else 1
     cells = max(cells, 8)
-    splitters = find_splitters(rows, shards * cells)
+    splitters = between_groups(rows, find_splitters(rows, shards * cells), cells, shards)
     cell = part_of(F.col("key"), splitters)
     counts = rows.select(cell.alias("cell")).groupBy("cell").count().collect()
     starts, held = [], {r["cell"]: r["count"] for r in counts}
     for p in range(shards * cells):
         starts.append(0 if p % cells == 0 else starts[-1] + held.get(p - 1, 0))
-    sized = docs.withColumn(f"{prefix}size", size).withColumn("__key", key).withColumn("__cell", part_of(F.col("__key"), splitters))
-    order = Window.partitionBy("__cell").orderBy("__key", F.col(id_col))
-    slot = F.row_number().over(order).cast("long") - 1 + F.element_at(constant(starts, "array<bigint>"), F.col("__cell") + 1)
-    placed = sized.withColumn(f"{prefix}slot", slot.cast("long")).withColumn(f"{prefix}shard", F.floor(F.col("__cell") / cells).cast("int"))
-    return placed.drop("__key", "__cell")
+    at, of = free_names(docs, "shard_key", "shard_cell")
+    sized = docs.withColumn(f"{prefix}size", size).withColumn(at, key).withColumn(of, part_of(F.col(at), splitters))
+    order = Window.partitionBy(of).orderBy(at, F.col(id_col))
+    slot = F.row_number().over(order).cast("long") - 1 + F.element_at(constant(starts, "array<bigint>"), F.col(of) + 1)
+    placed = sized.withColumn(f"{prefix}slot", slot.cast("long")).withColumn(f"{prefix}shard", F.floor(F.col(of) / cells).cast("int"))
+    return placed.drop(at, of)

@@ -1,5 +1,6 @@
 import zlib
 
+import pytest
 from conftest import ROOT
 
 from commerce_marts.llm import queries, sharding
@@ -48,3 +49,24 @@ def test_odd_rows(odd):
     assert {(r["doc_id"], r["size"]) for r in got.collect() if r["doc_id"] in (1, 2, 4)} == {(1, 1), (2, 1), (4, 4)}
     assert len({(r["shard"], r["slot"]) for r in got.collect()}) == 12
     assert sharding.shard_documents(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("group", [2, 4, 17, 50])
+def test_equal_texts_share_a_shard(spark, group):
+    rows = [(i * 7, f"text number {i // group} " + "x" * (i // group % 40)) for i in range(4000)]
+    placed = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), cell_rows=100).collect()
+    where = {}
+    for r in placed:
+        where.setdefault(r["text"], set()).add(r["shard"])
+    assert all(len(x) == 1 for x in where.values())
+    sizes = [sum(r["size"] for r in placed if r["shard"] == s) for s in range(8)]
+    weight = max(sum(r["size"] for r in placed if r["text"] == t) for t in where)
+    assert max(sizes) - min(sizes) <= 2 * weight and min(sizes) > 0
+    for s in range(8):
+        assert sorted(r["slot"] for r in placed if r["shard"] == s) == list(range(sum(r["shard"] == s for r in placed)))
+
+
+def test_columns_named_like_helpers_stay(spark):
+    docs = spark.createDataFrame([(i, "t", "mine", i) for i in range(20)], "doc_id long, text string, shard_key string, SHARD_CELL long")
+    got = sharding.shard_documents(docs)
+    assert got.columns == [*docs.columns, "size", "slot", "shard"] and {r["shard_key"] for r in got.collect()} == {"mine"}
