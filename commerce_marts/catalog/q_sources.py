@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
@@ -105,7 +106,8 @@ def _(t):
 def _(t):
     path = shared_dir(t.spark, "registered")
     sinks.write_table(t.products, path)
-    name = sinks.register(t.spark, "commerce_raw", "products", path)
+    # A database of its own: nothing that a session's catalog holds is touched.
+    name = sinks.register(t.spark, f"commerce_raw_{uuid4().hex}", "products", path)
     return t.spark.sql(f"SELECT category, sum(stock) AS stock FROM {name} GROUP BY category")
 
 

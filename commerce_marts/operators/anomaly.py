@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions.money import as_col, count_if, money_avg, money_sum, ratio, some_of
 from ..functions.timeutil import AsOf, ago, as_of_ts, day, seconds_between, since, whole_days
+from ..session import cut_lineage
 from . import ordered
 from .onerow import beside
 
@@ -238,14 +239,15 @@ def rule_anomalies(orders: DataFrame, as_of: AsOf) -> DataFrame:
 
 
 def fraud_features(orders: DataFrame, items: DataFrame) -> DataFrame:
-    """Orders with line count, orders of the user in the last hour, earlier orders and cancellation rate."""
+    """Orders with line count, orders of the user in the last hour, earlier orders and cancellation rate; a null user is a user."""
     lines = items.groupBy(F.col("order_id").alias("id")).agg(F.count(F.lit(1)).alias("item_count"))
     cols = ["id", "order_number", "user_id", "status", "total_amount", "created_at"]
     base = orders.select(*cols, *[c for c in ("cancelled_at",) if c in orders.columns])
     df = ordered.prior_count(base, "user_id", "created_at", "user_history")
     df = ordered.trailing_count(df, "user_id", "created_at", 3600, "last_hour")
-    rate = orders.groupBy("user_id").agg(ratio(count_if(F.col("status") == "Cancelled"), F.count(F.lit(1))).alias("cancel_rate"))
-    return df.join(lines, "id", "left").join(rate, "user_id").withColumn("item_count", F.coalesce("item_count", F.lit(0)))
+    rate = orders.groupBy(F.col("user_id").alias("_user")).agg(ratio(count_if(F.col("status") == "Cancelled"), F.count(F.lit(1))).alias("cancel_rate"))
+    df = df.join(lines, "id", "left").join(rate, F.col("user_id").eqNullSafe(F.col("_user"))).drop("_user")
+    return df.withColumn("item_count", F.coalesce("item_count", F.lit(0)))
 
 
 def fraud_score(features: DataFrame, stats: DataFrame) -> DataFrame:
@@ -300,11 +302,13 @@ def multivariate_outliers(orders: DataFrame, items: DataFrame, as_of: AsOf, shar
         df = fraud_features(orders, items)
     else:
         recent = since("created_at", as_of, days=days)
-        seen = orders.filter(recent).select("user_id").distinct()
-        df = fraud_features(orders.join(seen, "user_id", "left_semi"), items).filter(recent)
+        seen = orders.filter(recent).select(F.col("user_id").alias("_user")).distinct()
+        df = fraud_features(orders.join(seen, F.col("user_id").eqNullSafe(F.col("_user")), "left_semi"), items).filter(recent)
     df = df.withColumns(
         {"hour": F.hour("created_at"), "weekday": F.weekday("created_at"), "cancelled": (F.col("status") == "Cancelled").cast("int")}
     )
+    # Statistics, ranks, amounts and the result read the features; they are made once.
+    df = cut_lineage(df, "features")
     stats = df.agg(
         *[F.avg(c).alias(f"_m_{c}") for c in FEATURES], *[F.stddev_pop(c).alias(f"_d_{c}") for c in FEATURES], F.count(F.lit(1)).alias("_n")
     )

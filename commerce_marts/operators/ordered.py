@@ -237,7 +237,7 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str
 
 
 def prior_count(df: DataFrame, key: str, ts: str, out: str, tie: str | None = None) -> DataFrame:
-    """How many earlier rows (strictly before in time) the same key has.
+    """How many earlier rows (strictly before in time) the same key has; null is a key, rows without a time come before none.
 
     Counted per key and hour first; the raw rows are only ordered inside their hour, so a key that
     holds a large share of all rows is spread over its hours.
@@ -245,16 +245,16 @@ def prior_count(df: DataFrame, key: str, ts: str, out: str, tie: str | None = No
     hour = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / 3600)
     rows = df.withColumn("_hour", hour)
     before = Window.partitionBy(key).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    timed = F.when(F.col("_hour").isNotNull(), F.col("_c"))
     hours = rows.groupBy(key, "_hour").agg(F.count(F.lit(1)).alias("_c")).select(
-        key, "_hour", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before")
+        F.col(key).alias("_key"), F.col("_hour").alias("_at_hour"), F.coalesce(F.sum(timed).over(before), F.lit(0)).alias("_before")
     )
     inside = Window.partitionBy(key, "_hour").orderBy("_micros").rangeBetween(Window.unboundedPreceding, -1)
     counted = rows.withColumn("_micros", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(
-        "_in", F.count(F.lit(1)).over(inside)
-    )
-    return counted.join(hours, [key, "_hour"]).withColumn(out, F.col("_before") + F.col("_in")).drop(
-        "_hour", "_micros", "_in", "_before"
+        "_in", F.when(F.col("_micros").isNotNull(), F.count(F.lit(1)).over(inside)).otherwise(0)
     )
+    met = counted.join(hours, F.col(key).eqNullSafe(F.col("_key")) & F.col("_hour").eqNullSafe(F.col("_at_hour")))
+    return met.withColumn(out, F.col("_before") + F.col("_in")).drop("_hour", "_micros", "_in", "_before", "_key", "_at_hour")
 
 
 def trailing_count(df: DataFrame, key: str, ts: str, seconds: int, out: str, slot_seconds: int = 60) -> DataFrame:

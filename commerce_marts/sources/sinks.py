@@ -40,10 +40,11 @@ def write_json(df: DataFrame, root: str, stamp: dt.datetime) -> str:
     return path
 
 
-def register(spark: SparkSession, database: str, name: str, path: str) -> str:
-    """Make a written table known to the catalog."""
+def register(spark: SparkSession, database: str, name: str, path: str, replace: bool = False) -> str:
+    """Make a written table known to the catalog. A table of that name is an error unless it is to be replaced."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-    spark.sql(f"DROP TABLE IF EXISTS {database}.{name}")
+    if replace:
+        spark.sql(f"DROP TABLE IF EXISTS {database}.{name}")
     spark.sql(f"CREATE TABLE {database}.{name} USING PARQUET LOCATION '{path}'")
     return f"{database}.{name}"
 
