@@ -245,8 +245,8 @@ def fraud_features(orders: DataFrame, items: DataFrame) -> DataFrame:
     base = orders.select(*cols, *[c for c in ("cancelled_at",) if c in orders.columns])
     df = ordered.prior_count(base, "user_id", "created_at", "user_history")
     df = ordered.trailing_count(df, "user_id", "created_at", 3600, "last_hour")
-    rate = orders.groupBy(F.col("user_id").alias("_user")).agg(ratio(count_if(F.col("status") == "Cancelled"), F.count(F.lit(1))).alias("cancel_rate"))
-    df = df.join(lines, "id", "left").join(rate, F.col("user_id").eqNullSafe(F.col("_user"))).drop("_user")
+    rate = ordered.filled_key(orders, "user_id").groupBy("_k", "_none").agg(ratio(count_if(F.col("status") == "Cancelled"), F.count(F.lit(1))).alias("cancel_rate"))
+    df = ordered.filled_key(df, "user_id").join(rate, ["_k", "_none"]).drop("_k", "_none").join(lines, "id", "left")
     return df.withColumn("item_count", F.coalesce("item_count", F.lit(0)))
 
 

@@ -236,49 +236,56 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str
     return out if rank else out.drop(name)
 
 
+def filled_key(df: DataFrame, key: str, *names: str) -> DataFrame:
+    """Add a key without nulls as two columns, ``_k`` and ``_none`` or ``names``: plain joins and windows on both treat null as a key.
+
+    A null-safe comparison would do the same, but its join keys are no columns, so rows that are dealt by the key move again.
+    """
+    kind = df.schema[key].dataType
+    value, none = names or ("_k", "_none")
+    return df.withColumns({value: F.coalesce(F.col(key), F.lit("0").cast(kind)), none: F.col(key).isNull()})
+
+
 def prior_count(df: DataFrame, key: str, ts: str, out: str, tie: str | None = None) -> DataFrame:
     """How many earlier rows (strictly before in time) the same key has; null is a key, rows without a time come before none.
 
     Counted per key and hour first; the raw rows are only ordered inside their hour, so a key that
     holds a large share of all rows is spread over its hours.
     """
-    hour = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / 3600)
-    rows = df.withColumn("_hour", hour)
-    before = Window.partitionBy(key).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
-    timed = F.when(F.col("_hour").isNotNull(), F.col("_c"))
-    hours = rows.groupBy(key, "_hour").agg(F.count(F.lit(1)).alias("_c")).select(
-        F.col(key).alias("_key"), F.col("_hour").alias("_at_hour"), F.coalesce(F.sum(timed).over(before), F.lit(0)).alias("_before")
-    )
-    inside = Window.partitionBy(key, "_hour").orderBy("_micros").rangeBetween(Window.unboundedPreceding, -1)
-    counted = rows.withColumn("_micros", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(
-        "_in", F.when(F.col("_micros").isNotNull(), F.count(F.lit(1)).over(inside)).otherwise(0)
-    )
-    met = counted.join(hours, F.col(key).eqNullSafe(F.col("_key")) & F.col("_hour").eqNullSafe(F.col("_at_hour")))
-    return met.withColumn(out, F.col("_before") + F.col("_in")).drop("_hour", "_micros", "_in", "_before", "_key", "_at_hour")
+    keys = ["_k", "_none", "_hour"]
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    hour = F.coalesce(F.floor(F.col("_micros") / 3_600_000_000), F.lit(-(1 << 62)))
+    rows = filled_key(df, key).withColumn("_micros", micros).withColumn("_hour", hour)
+    before = Window.partitionBy("_k", "_none").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    # Rows without a time count for nobody.
+    hours = rows.groupBy(*keys).agg(F.count("_micros").alias("_c")).select(*keys, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys).orderBy("_micros").rangeBetween(Window.unboundedPreceding, -1)
+    counted = rows.withColumn("_in", F.when(F.col("_micros").isNotNull(), F.count(F.lit(1)).over(inside)).otherwise(0))
+    return counted.join(hours, keys).withColumn(out, F.col("_before") + F.col("_in")).drop(*keys, "_micros", "_in", "_before")
 
 
 def trailing_count(df: DataFrame, key: str, ts: str, seconds: int, out: str, slot_seconds: int = 60) -> DataFrame:
-    """Rows of the same key within the last ``seconds`` up to and including the current row.
+    """Rows of the same key within the last ``seconds`` up to and including the current row; null is a key.
 
     The figure is a difference of two running counts: rows up to now, less rows before the start of
     the period. Equal times of a key are counted first; running counts are kept by (key, time slot)
     and completed inside a slot, so the work grows with the rows and a busy key is spread over its slots.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = df.withColumn("_micros", micros)
-    points = rows.groupBy(key, "_micros").agg(F.count(F.lit(1)).alias("_n"))
-    now = F.struct(F.col("_micros").alias("at"), F.col("_n").alias("n"), F.lit(True).alias("now"))
-    start = F.struct((F.col("_micros") - seconds * 1_000_000).alias("at"), F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("now"))
-    marks = points.select(key, "_micros", F.explode(F.array(now, start)).alias("_m")).select(key, "_micros", "_m.*")
+    keys = ["_k", "_none"]
+    rows = filled_key(df, key).withColumn("_micros", F.unix_micros(F.col(ts).cast("timestamp")))
+    # Rows without a time share a time of their own, far before all others.
+    rows = rows.withColumn("_at", F.coalesce("_micros", F.lit(-(1 << 62))))
+    points = rows.groupBy(*keys, "_at").agg(F.count(F.lit(1)).alias("_n"))
+    now = F.struct(F.col("_at").alias("at"), F.col("_n").alias("n"), F.lit(True).alias("now"))
+    start = F.struct((F.col("_at") - seconds * 1_000_000).alias("at"), F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("now"))
+    marks = points.select(*keys, "_at", F.explode(F.array(now, start)).alias("_m")).select(*keys, "_at", "_m.*")
     marks = marks.withColumn("_slot", F.floor(F.col("at") / (slot_seconds * 1_000_000)))
-    earlier = Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = marks.groupBy(key, "_slot").agg(F.sum("n").alias("_c")).select(
-        F.col(key).alias("_key"), F.col("_slot").alias("_at_slot"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before")
-    )
-    inside = Window.partitionBy(key, "_slot").orderBy("at")
+    earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = marks.groupBy(*keys, "_slot").agg(F.sum("n").alias("_c")).select(*keys, "_slot", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_slot").orderBy("at")
     upto, below = inside.rangeBetween(Window.unboundedPreceding, 0), inside.rangeBetween(Window.unboundedPreceding, -1)
     reached = F.when(F.col("now"), F.sum("n").over(upto)).otherwise(-F.coalesce(F.sum("n").over(below), F.lit(0)))
-    counted = marks.withColumn("_in", reached).join(slots, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_slot") == F.col("_at_slot"))).drop("_key")
+    counted = marks.withColumn("_in", reached).join(slots, [*keys, "_slot"])
     total = F.sum(F.col("_in") + F.when(F.col("now"), F.col("_before")).otherwise(-F.col("_before")))
-    found = counted.groupBy(F.col(key).alias("_key"), F.col("_micros").alias("_time")).agg(total.alias(out))
-    return rows.join(found, F.col(key).eqNullSafe(F.col("_key")) & F.col("_micros").eqNullSafe(F.col("_time"))).drop("_micros", "_key", "_time")
+    found = counted.groupBy(*keys, "_at").agg(total.alias(out))
+    return rows.join(found, [*keys, "_at"]).drop(*keys, "_micros", "_at")
