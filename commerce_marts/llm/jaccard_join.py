@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_ROWS, buffers, components, mix, settle, slices, text_or_empty, word_hashes
+from .common import SMALL_ROWS, buffers, components, free_names, mix, settle, slices, text_or_empty, word_hashes
 
 WORDS, NUM, DEN = 5, 4, 5
 #: Sizes of a band reach up to this multiple.
@@ -185,10 +185,10 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
+                    batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([histogram(s, HISTOGRAM) for s in sets], pa.binary()), pa.array([histogram(s, WIDE) for s in sets], pa.binary()),
                 ],
-                ["doc_id", "n", "class", "histogram", "wide"],
+                ["doc_id", "text_hash", "n", "class", "histogram", "wide"],
             )
 
 
@@ -276,8 +276,10 @@ def _index(parts: int):
                 if many.any():
                     head = np.repeat(w[first], size)
                     other = many & ~first
-                    rows.append(_blob(1, 0, head[other].view(np.uint64), w[other]))
-                    rows.append(_blob(2, 0, k[many], w[many]))
+                    # Passed on as they are, so any part will do: spread by content, for reruns to agree.
+                    place = int(mix(w[many].view(np.uint64)).sum() % np.uint64(parts))
+                    rows.append(_blob(1, place, head[other].view(np.uint64), w[other]))
+                    rows.append(_blob(2, place, k[many], w[many]))
                     k, w, many = k[first | ~many], w[first | ~many], many[first | ~many]
                     k = k | np.where(many, _MANY, np.uint64(0))
                 k, w = np.concatenate([k, key[~plain]]), np.concatenate([w, who[~plain]])
@@ -512,7 +514,8 @@ def _rest(members: DataFrame, groups: DataFrame, classes: DataFrame, nearest: in
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row: id, n_shingles (size of its set), component_id (smallest id reachable by links).
+    """One row for each row: id, n_shingles (size of its set), component_id (smallest id reachable by links),
+    text_hash (with the id the key of a row) and group_id (a hash that names the group; null for empty sets).
 
     Words are runs without blank or U+0009 to U+000D, A to Z lowered; a set holds the distinct runs of
     five words, or the whole sequence where there are fewer. Rows link when their sets are similar
@@ -522,8 +525,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text"))
-    described = settle(rows.mapInArrow(_describe, "doc_id long, n long, class long, histogram binary, wide binary"), "sets")
+    text = text_or_empty(docs, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    described = settle(rows.mapInArrow(_describe, "doc_id long, text_hash long, n long, class long, histogram binary, wide binary"), "sets")
     known = described.filter("class is not null")
     classes = known.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("histogram").alias("histogram"), F.min("wide").alias("wide"))
     classes = settle(classes, "classes")
@@ -544,17 +548,26 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = classes.select("class", "rep").join(groups.withColumnRenamed("node", "class"), "class", "left")
     named = settle(named.select("class", "rep", F.coalesce("component", "class").alias("component")), "grouped")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = settle(named.join(least, "component").select("class", "component_id"), "named")
-    joined = described.select("doc_id", "n", "class").join(named, "class", "left")
+    named = settle(named.join(least, "component").select("class", "component", "component_id"), "named")
+    joined = described.select("doc_id", "text_hash", "n", "class").join(named, "class", "left")
     own = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return joined.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), "text_hash", F.col("component").alias("group_id"))
 
 
-def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id names its group, one row for each id; all columns stay.
+def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each group of ``similar_groups``, and all rows that link with nothing; all columns stay.
 
-    Rows with a null id name no group and stay.
+    The row with the smallest id stays (a null id only where the group has no other), of several with that id the
+    one with the smallest hash of its text, and of rows equal in both the one that is least in its columns.
+    Ids that different texts share are no reason to drop a row.
     """
-    named = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col("component_id").alias("__group")).distinct()
-    kept = docs.join(named, F.col(id_col) == F.col("__group"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    key, hashed, one = free_names(docs, "group_id_", "group_text", "group_one")
+    pair = F.struct(F.col(id_col).isNull(), id_col, "text_hash")
+    least = groups.filter("group_id IS NOT NULL").groupBy("group_id").agg(F.min(pair).alias("p")).select("p.*")
+    alone = groups.filter("group_id IS NULL").select(id_col, "text_hash").distinct()
+    wanted = least.select(F.col(id_col).alias(key), F.col("text_hash").alias(hashed), F.lit(True).alias(one))
+    wanted = wanted.unionByName(alone.select(F.col(id_col).alias(key), F.col("text_hash").alias(hashed), F.lit(False).alias(one)))
+    marked = docs.join(wanted, F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(text_or_empty(docs, text_col)) == F.col(hashed)))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = marked.filter(F.col(one)).groupBy(key, hashed).agg(F.min(F.struct(*columns)).alias(one)).select(f"{one}.*")
+    return kept.unionByName(marked.filter(~F.col(one)).select(*columns))

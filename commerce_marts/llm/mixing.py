@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, settle, small, text_or_empty
+from .common import WORD, free_names, settle, small, text_or_empty
 
 HASH_BITS = 63
 #: Bits by which a boundary bucket is divided in one round.
@@ -138,10 +138,9 @@ def mix_sources(
 
 
 def take(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: str = "mix_") -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of ``docs``."""
-    key, copies, text = f"{prefix}key_id", f"{prefix}copies", text_or_empty(docs, text_col)
-    parts = mixed.groupBy(F.col(id_col).alias(key), F.col("text_hash").alias(f"{prefix}key_text")).agg(F.max(copies).alias(copies)).filter(F.col(copies) > 0)
-    same = F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(f"{prefix}key_text"))
-    joined = docs.join(parts, same)
-    repeated = joined.withColumn(f"{prefix}n", F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents of the mix, each as often as it is taken, with the columns of ``docs``, whatever their names."""
+    key, hashed, copies, n = free_names(docs, "mix_key_id", "mix_key_text", "mix_copies", "mix_n")
+    parts = mixed.groupBy(F.col(id_col).alias(key), F.col("text_hash").alias(hashed)).agg(F.max(f"{prefix}copies").alias(copies)).filter(F.col(copies) > 0)
+    same = F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_or_empty(docs, text_col)) == F.col(hashed))
+    repeated = docs.join(parts, same).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
+    return repeated.drop(key, hashed, copies, n)

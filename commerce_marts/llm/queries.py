@@ -86,7 +86,7 @@ def op6_near_vectors(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op7_shingle_groups(spark: SparkSession, root: str) -> DataFrame:
-    return jaccard_join.similar_groups(_table(spark, root, "documents"))
+    return jaccard_join.similar_groups(_table(spark, root, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_shards(spark: SparkSession, root: str) -> DataFrame:

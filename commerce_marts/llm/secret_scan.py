@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import constant, text_or_empty
+from .common import constant, free_names, text_or_empty
 
 # The patterns, the group that holds the secret and its least length.
 ASSIGN = "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -74,9 +74,9 @@ def _values(text: Column, kind: str) -> Column:
     return F.transform(found, lambda s: F.regexp_extract(s["value"], ASSIGN, 2) if kind == "assign" else s["value"])
 
 
-def _named(kind: str, place: int) -> Column:
+def _named(column: str, kind: str, place: int) -> Column:
     return F.transform(
-        F.col(f"__{kind}"), lambda s: F.struct(s["start"].alias("start"), F.lit(place).alias("place"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value"))
+        F.col(column), lambda s: F.struct(s["start"].alias("start"), F.lit(place).alias("place"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value"))
     )
 
 
@@ -203,26 +203,29 @@ def find_secrets(
     characters, or else their random stretches, however long; of one that overlaps a pattern's match
     the parts outside the match. Spans are sorted by start, then kind as listed. Null and empty
     texts have none; rows that repeat are judged alike; an empty table gives no rows; a column of the
-    new name is replaced. Long texts are scanned whole.
+    new name is replaced, all others stay whatever their names. Long texts are scanned whole.
     """
     if model is None:
         model = train(docs, text_col)
     text, table = text_or_empty(docs, text_col), constant(model, "array<double>")
+    order = (*KINDS, "random")
+    *columns, taken_col, words_col = free_names(docs, *order, "taken", "words")
+    column = dict(zip(order, columns, strict=True))
     work = docs
     for k in KINDS:
-        work = work.withColumn(f"__{k}", base_spans(text, k))
+        work = work.withColumn(column[k], base_spans(text, k))
 
     def judged(word: Column) -> Column:
         ratio = log_ratio(word, table)
         return (ratio >= min_ratio) & (ratio >= min_ratio_char * F.length(word))
 
     gains = constant([max(x, 0.0) for x in model], "array<double>")
-    taken = F.array_sort(F.concat(*[F.transform(f"__{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS]))
-    work = work.withColumn("__taken", taken)
+    taken = F.array_sort(F.concat(*[F.transform(column[k], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS]))
+    work = work.withColumn(taken_col, taken)
 
     def found(s: Column) -> Column:
         """Random parts of a string and its place."""
-        near = F.filter("__taken", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        near = F.filter(taken_col, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
         part = lambda a, b: F.struct(a.alias("start"), b.alias("end"), F.substr(s["value"], (a - s["start"] + 1).cast("int"), (b - a).cast("int")).alias("value"))
         stretches = F.transform(_stretches(s["value"], table, min_ratio, min_ratio_char), lambda x: _whole_parts(s["value"], x))
         placed = F.transform(stretches, lambda x: F.struct((s["start"] + x["start"]).alias("start"), (s["start"] + x["end"]).alias("end")))
@@ -232,12 +235,11 @@ def find_secrets(
 
     words = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))), lambda w: _possible(w, gains, min_ratio))
     none = F.from_json(F.lit("[]"), "array<struct<start:bigint,end:bigint,value:string>>")
-    work = work.withColumn("__words", words)
-    work = work.withColumn("__random", F.when(F.size("__words") > 0, F.flatten(F.transform(spans(text, CANDIDATE, F.col("__words")), found))).otherwise(none))
-    order = (*KINDS, "random")
-    named = [_named(k, i) for i, k in enumerate(order)]
+    work = work.withColumn(words_col, words)
+    work = work.withColumn(column["random"], F.when(F.size(words_col) > 0, F.flatten(F.transform(spans(text, CANDIDATE, F.col(words_col)), found))).otherwise(none))
+    named = [_named(column[k], k, i) for i, k in enumerate(order)]
     sorted_ = F.transform(F.array_sort(F.concat(*named)), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-    return work.withColumn(f"{prefix}spans", sorted_).drop("__taken", "__words", *[f"__{k}" for k in order])
+    return work.withColumn(f"{prefix}spans", sorted_).drop(taken_col, words_col, *columns)
 
 
 def joined(found: Column) -> Column:

@@ -6,24 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commerce_marts.llm import jaccard_join, mixing, packing, quality, queries, secret_scan
-from commerce_marts.llm.common import settle
+from commerce_marts.llm.common import free_names, settle
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. It is fitted on the labels of rows that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels.filter(~quality.held_out(F.col("doc_id"))))
-    return quality.score_documents(docs, model, score_col="__score").filter(F.col("__score") >= queries.LEAST_SCORE).drop("__score")
+    (score,) = free_names(docs, "score")
+    return quality.score_documents(docs, model, score_col=score).filter(F.col(score) >= queries.LEAST_SCORE).drop(score)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
+    """Of each group of near duplicates the document with the smallest id; documents that share an id stay apart."""
     return jaccard_join.keep_one(docs, settle(jaccard_join.similar_groups(docs), "groups"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret replaced by a mark; n_chars follows the text."""
-    clean = secret_scan.redact(secret_scan.find_secrets(docs, prefix="__secret_"), prefix="__secret_").drop("__secret_spans")
+    prefix = "secret_"
+    while f"{prefix}spans" in map(str.lower, docs.columns):
+        prefix += "_"
+    clean = secret_scan.redact(secret_scan.find_secrets(docs, prefix=prefix), prefix=prefix).drop(f"{prefix}spans")
     return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
 
 

@@ -3,6 +3,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 from test_jaccard_join import brute
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
@@ -48,3 +49,15 @@ def test_run_and_odd_documents(spark, tmp_path, odd):
     odd.drop("score").limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/none/labels.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_columns_named_like_helpers_stay(spark):
+    """Every stage but the last keeps columns that are named like those it works with."""
+    names = ["score", "__score", "secret_spans", "secret__spans", "assign", "taken", "words", "random", "__hex", "mix_copies", "mix_key_id", "mix_n", "group_id", "group_one", "text_hash", "size", "hash"]
+    docs = spark.read.parquet(f"{ROOT}/documents.parquet")
+    docs = docs.select("*", *[F.col("doc_id").alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, ROOT)
+    assert docs.columns[-len(names) :] == names
+    assert docs.filter(" OR ".join(f"`{n}` <> doc_id" for n in names)).count() == 0 < docs.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, ROOT).count() > 0
