@@ -11,7 +11,7 @@ from ..functions import fixed_values as fv
 from ..operators import metrics
 from ..plans import medallion, staging
 from ..session import shared_dir
-from ..sources import readers, schemas, sinks
+from ..sources import history as periods_of, readers, schemas, sinks
 from . import shared as s
 from .registry import add_cte, query
 
@@ -322,6 +322,20 @@ def _(t):
     return history(t)[0]
 
 
+@query("D02_late_history", """WITH p AS (SELECT user_id, created_at::date AS d, max(status) AS status FROM r_orders WHERE created_at IS NOT NULL GROUP BY 1, 2),
+    m AS (SELECT *, lag(status) OVER w AS before, row_number() OVER w AS n FROM p WINDOW w AS (PARTITION BY user_id ORDER BY d))
+    SELECT user_id, status, d AS effective_date, coalesce(lead(d) OVER w, DATE '9999-12-31') AS expiration_date, lead(d) OVER w IS NULL AS is_current
+    FROM (SELECT * FROM m WHERE n = 1 OR status IS DISTINCT FROM before) WINDOW w AS (PARTITION BY user_id ORDER BY d)""")
+def _(t):
+    """The newest order status of each customer by day; delivered, shipped and all other orders come as three batches, so most changes are late."""
+    batch = F.when(F.col("status") == "Delivered", 0).when(F.col("status") == "Shipped", 1).otherwise(2)
+    parts = [t.orders.filter(batch == i).select("user_id", "status", "created_at") for i in range(3)]
+    now = periods_of.late_changes(None, parts[0], "user_id", ["status"], "created_at")
+    for part in parts[1:]:
+        now = periods_of.merge_late(now, part, "user_id", ["status"], "created_at")
+    return periods_of.periods(now, "user_id")
+
+
 @query("S31_medallion_run", """SELECT 'raw' AS layer, 'orders' AS table_name, count(*) AS rows FROM r_orders UNION ALL SELECT 'raw', 'users', count(*) FROM r_users UNION ALL SELECT 'staging', 'fact_order_items', count(*) FROM r_items
     UNION ALL SELECT 'curated', 'sales_daily', count(DISTINCT o_orderdate) FROM orders UNION ALL SELECT 'curated', 'customer_360', count(*) FROM r_users UNION ALL SELECT 'curated', 'inventory_analytics', count(*) FROM r_products""")
 def _(t):

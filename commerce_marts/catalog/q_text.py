@@ -172,6 +172,32 @@ def _(t):
     return chunking.chunk_sentences(t.documents, "document_id", size=40, overlap=0).drop("chunk_text")
 
 
+add_cte("s_sent_sums", """SELECT *, min(i) OVER (PARTITION BY document_id ORDER BY before RANGE BETWEEN 50 PRECEDING AND CURRENT ROW) AS low
+    FROM (SELECT *, (sum(w) OVER (PARTITION BY document_id ORDER BY i) - w)::bigint AS before FROM s_sent)""")
+
+
+def overlapping(first, size):
+    """SQL of chunks of ``size`` words in which a chunk that ends before sentence i is followed by one from sentence ``first`` on."""
+    return f"""WITH RECURSIVE f AS (SELECT document_id, i, i AS start, before, w AS len, 0 AS chunk FROM s_sent_sums WHERE i = 1 UNION ALL
+    SELECT document_id, i, start, before, CASE WHEN closed THEN before - from_ + w ELSE len + w END, CASE WHEN closed THEN chunk + 1 ELSE chunk END FROM (
+        SELECT n.*, b.before AS from_ FROM (SELECT s.document_id, s.i, s.before, s.w, f.len, f.chunk, f.len + s.w > {size} AS closed, CASE WHEN f.len + s.w > {size} THEN {first} ELSE f.start END AS start
+            FROM f JOIN s_sent_sums s ON f.document_id = s.document_id AND s.i = f.i + 1) n JOIN s_sent_sums b ON b.document_id = n.document_id AND b.i = n.start)),
+    c AS (SELECT document_id, chunk, min(start) AS start, max(i) AS last, max(len) AS len FROM f GROUP BY 1, 2)
+    SELECT c.document_id, chunk::int AS chunk_index, string_agg(s, ' ' ORDER BY i) AS chunk_text, (last - start + 1)::int AS chunk_size, len::int AS word_count,
+    substr(md5(c.document_id || '_' || chunk || '_' || substr(string_agg(s, ' ' ORDER BY i), 1, 100)), 1, 16) AS chunk_id
+    FROM c JOIN s_sent ON s_sent.document_id = c.document_id AND i BETWEEN start AND last GROUP BY c.document_id, chunk, start, last, len"""
+
+
+@query("X13_chunk_overlap_words", overlapping("greatest(f.start + 1, s.low)", 512))
+def _(t):
+    return chunking.chunk_sentences(t.documents, "document_id", size=512, overlap=50)
+
+
+@query("X13_chunk_overlap_sentences", overlapping("greatest(f.start, s.i - 5)", 512))
+def _(t):
+    return chunking.chunk_sentences(t.documents, "document_id", size=512, overlap=5, overlap_sentences=True)
+
+
 add_cte("s_word_lists", "SELECT document_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM r_documents")
 
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,22 +55,27 @@ def chunk_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     The overlap is counted in words, so a chunk repeats the last sentences of the one before that
     fit into it; ``overlap_sentences`` counts sentences instead. Ids come from source, index and the
-    head of the chunk.
+    head of the chunk. One row is read at a time and its chunks leave in slices; null texts have none.
     """
     parts = F.split(F.regexp_replace(clean_text(text), r"(?<=[.!?])\s+", BREAK), BREAK, -1)
     prepared = docs.select(F.col(key), parts.alias("parts"))
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for k, units in zip(batch[key], batch["parts"]):
+            for i in range(batch.num_rows):
+                units = batch.column(1)[i].as_py() or []
                 sizes = [len(u.split()) for u in units]
-                for index, (a, b, words) in enumerate(_fold(list(units), sizes, size, overlap, overlap_sentences)):
-                    rows.append((k, index, " ".join(units[a:b]), b - a, words))
-            yield pd.DataFrame(rows, columns=[key, "chunk_index", "chunk_text", "chunk_size", "word_count"])
+                spans = _fold(units, sizes, size, overlap, overlap_sentences)
+                for at in range(0, len(spans), 1000):
+                    part = spans[at : at + 1000]
+                    columns = [
+                        pa.array([batch.column(0)[i].as_py()] * len(part), batch.column(0).type), pa.array(range(at, at + len(part)), pa.int32()),
+                        pa.array([" ".join(units[a:b]) for a, b, _ in part], pa.string()), pa.array([b - a for a, b, _ in part], pa.int32()), pa.array([n for *_, n in part], pa.int32()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, [key, "chunk_index", "chunk_text", "chunk_size", "word_count"])
 
     kind = docs.schema[key].dataType.simpleString()
-    out = prepared.mapInPandas(fold, f"{key} {kind}, chunk_index int, chunk_text string, chunk_size int, word_count int")
+    out = prepared.mapInArrow(fold, f"{key} {kind}, chunk_index int, chunk_text string, chunk_size int, word_count int")
     name = F.lit(source) if source else F.col(key).cast("string")
     digest = F.md5(F.concat(name, F.lit("_"), F.col("chunk_index").cast("string"), F.lit("_"), F.substring("chunk_text", 1, 100)))
     return out.withColumn("chunk_id", F.substring(digest, 1, 16))
