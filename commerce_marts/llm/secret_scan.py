@@ -8,6 +8,8 @@ column functions are used.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,34 +36,63 @@ UNIFORM, PRIOR, FLOOR = 0.5, 5.0, 0.1
 MIN_RATIO, MIN_RATIO_CHAR = 15.0, 0.6
 #: A random stretch ends where the ratio, less its least value for each character, has fallen by this much from its peak.
 DROP = 15.0
+#: Matches of a text are placed and compared in blocks of so many.
+BLOCK = 64
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _blocks(values: Column, size: int = BLOCK) -> Column:
+    """An array in arrays of ``size`` elements; one empty array if there are none."""
+    return _let(values, lambda v: F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0)), F.lit(size)), lambda i: F.slice(v, i + 1, F.lit(size))))
+
+
+def _before(values: Column, more: Callable[[Column, Column], Column], levels: int = 2) -> Column:
+    """What ``more`` (a sum or a maximum) makes of 0 and the elements before each one of array<bigint>.
+
+    Blocks are folded on their own from what lies before them, so no fold copies a long array again and again.
+    """
+    none = F.from_json(F.lit("[]"), "array<bigint>")
+
+    def fold(block: Column, at: Column) -> Column:
+        add = lambda done, x: F.struct(more(done["at"], x).alias("at"), F.concat(done["out"], F.array(done["at"])).alias("out"))
+        return F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), add, lambda done: done["out"])
+
+    zero = F.lit(0).cast("bigint")
+    if levels == 0:
+        return fold(values, zero)
+
+    def by_blocks(blocks: Column) -> Column:
+        whole = F.transform(blocks, lambda b: F.aggregate(b, zero, more))
+        return F.flatten(F.zip_with(blocks, _before(whole, more, levels - 1), fold))
 
+    return _let(_blocks(values), by_blocks)
 
-def spans(text: Column, pattern: str, wanted: Column | None = None) -> Column:
+
+def spans(text: Column, pattern: str) -> Column:
     """Leftmost matches that do not overlap, as array<struct<start, end, value>>; code points, end exclusive.
 
     The text between matches comes from a split by the same pattern; a match starts where the parts
-    and matches before it end. ``wanted`` is an array of the values to return, all if it is missing.
+    and matches before it end.
     """
-    kind = "struct<at:bigint,found:array<struct<start:bigint,end:bigint,value:string>>>"
-    first = F.from_json(F.lit('{"at":0,"found":[]}'), kind)
-
-    def add(done: Column, pair: Column) -> Column:
-        start = done["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["value"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value")))
-        more = F.concat(done["found"], one)
-        if wanted is not None:
-            more = F.when(F.array_contains(wanted, pair["value"]), more).otherwise(done["found"])
-        return F.struct(end.alias("at"), more.alias("found"))
-
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(matches)).alias("gap"), matches.alias("value"))
-    named = F.transform(pairs, lambda p: F.struct(p["gap"].alias("gap"), p["value"].alias("value")))
-    found = F.aggregate(named, first, add, lambda done: done["found"])
+
+    def placed(gaps: Column, matches: Column) -> Column:
+        length = F.zip_with(gaps, matches, lambda gap, value: (F.length(gap) + F.length(value)).cast("bigint"))
+        parts = F.arrays_zip(_before(length, lambda a, n: a + n).alias("at"), gaps.alias("gap"), matches.alias("value"))
+        return F.transform(parts, lambda p: _span(p["at"] + F.length(p["gap"]), p["value"]))
+
+    found = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: _let(F.slice(F.split(text, pattern, -1), 1, F.size(m)), lambda gaps: placed(gaps, m)))
     none = F.from_json(F.lit("[]"), "array<struct<start:bigint,end:bigint,value:string>>")
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 
+def _span(start: Column, value: Column) -> Column:
+    return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
+
+
 def base_spans(text: Column, kind: str) -> Column:
     if kind == "assign":
         # Too short values are dropped after the match, so that they use up their place in the text.
@@ -223,20 +254,35 @@ def find_secrets(
     taken = F.array_sort(F.concat(*[F.transform(column[k], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS]))
     work = work.withColumn(taken_col, taken)
 
-    def found(s: Column) -> Column:
+    overlap = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+    def found(s: Column, around: Column) -> Column:
         """Random parts of a string and its place."""
-        near = F.filter(taken_col, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        near = F.filter(around, lambda b: overlap(b, s))
         part = lambda a, b: F.struct(a.alias("start"), b.alias("end"), F.substr(s["value"], (a - s["start"] + 1).cast("int"), (b - a).cast("int")).alias("value"))
         stretches = F.transform(_stretches(s["value"], table, min_ratio, min_ratio_char), lambda x: _whole_parts(s["value"], x))
         placed = F.transform(stretches, lambda x: F.struct((s["start"] + x["start"]).alias("start"), (s["start"] + x["end"]).alias("end")))
-        free = F.flatten(F.transform(placed, lambda x: _outside(x, F.filter(near, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))))
+        free = F.flatten(F.transform(placed, lambda x: _outside(x, F.filter(near, lambda b: overlap(b, x)))))
         parts = F.filter(F.transform(free, lambda x: part(x["start"], x["end"])), lambda x: x["value"].rlike("[A-Za-z0-9]"))
         return F.when((F.size(near) == 0) & judged(s["value"]), F.array(part(s["start"], s["end"]))).otherwise(F.array_distinct(parts))
 
-    words = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))), lambda w: _possible(w, gains, min_ratio))
+    def found_in(strings: Column, around: Column, sizes: tuple[int, ...]) -> Column:
+        """Random parts of strings; blocks of them, then smaller ones, meet only the matches that reach into them."""
+        if not sizes:
+            return F.flatten(F.transform(strings, lambda s: found(s, around)))
+
+        def block(b: Column) -> Column:
+            reach = F.struct(F.get(b, F.lit(0))["start"].alias("start"), F.get(b, F.size(b) - 1)["end"].alias("end"))
+            return _let(reach, lambda r: _let(F.filter(around, lambda t: overlap(t, r)), lambda near: found_in(b, near, sizes[1:])))
+
+        return F.flatten(F.transform(_blocks(strings, sizes[0]), block))
+
+    possible = lambda w: _possible(w, gains, min_ratio)
+    words = F.array_distinct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
     none = F.from_json(F.lit("[]"), "array<struct<start:bigint,end:bigint,value:string>>")
-    work = work.withColumn(words_col, words)
-    work = work.withColumn(column["random"], F.when(F.size(words_col) > 0, F.flatten(F.transform(spans(text, CANDIDATE, F.col(words_col)), found))).otherwise(none))
+    work = work.withColumn(words_col, F.exists(words, possible))
+    strings = F.filter(spans(text, CANDIDATE), lambda s: possible(s["value"]))
+    work = work.withColumn(column["random"], F.when(F.col(words_col), found_in(strings, F.col(taken_col), (BLOCK * BLOCK, BLOCK))).otherwise(none))
     named = [_named(column[k], k, i) for i, k in enumerate(order)]
     sorted_ = F.transform(F.array_sort(F.concat(*named)), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
     return work.withColumn(f"{prefix}spans", sorted_).drop(taken_col, words_col, *columns)
@@ -249,15 +295,18 @@ def joined(found: Column) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", prefix: str = "secret_", mark: str = "[secret]") -> DataFrame:
     """Replace every span by ``mark``; spans that touch or overlap become one mark."""
-    kind = "struct<at:bigint,out:string>"
     text, found = F.col(text_col), F.col(f"{prefix}spans")
-
-    def add(done: Column, s: Column) -> Column:
-        gap = F.when(s["start"] > done["at"], F.concat(F.substr(text, (done["at"] + 1).cast("int"), (s["start"] - done["at"]).cast("int")), F.lit(mark)))
-        fresh = (done["at"] == 0) & (s["start"] == 0)
-        out = F.concat(done["out"], F.coalesce(gap, F.when(fresh & (done["out"] == ""), F.lit(mark)).otherwise(F.lit(""))))
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), out.alias("out"))
-
-    first = F.from_json(F.lit('{"at":0,"out":""}'), kind)
-    clean = F.aggregate(found, first, add, lambda done: F.concat(done["out"], F.substr(text, (done["at"] + 1).cast("int"), F.length(text))))
+    part = lambda x, start, end: F.substr(x, (start + 1).cast("int"), (end - start).cast("int"))
+
+    def pieces(b: Column) -> Column:
+        """What stands before each span of a block, and its mark; cut from the block's own part of the text."""
+        at, end = F.get(b, F.lit(0))["at"], F.get(b, F.size(b) - 1)["start"]
+        first = lambda s: (s["at"] == 0) & (s["start"] == 0)
+        cut = lambda own, s: F.when(s["start"] > s["at"], F.concat(part(own, s["at"] - at, s["start"] - at), F.lit(mark)))
+        return _let(part(text, at, end), lambda own: F.array_join(F.transform(b, lambda s: cut(own, s).when(first(s), F.lit(mark)).otherwise(F.lit(""))), ""))
+
+    ends = _before(F.transform(found, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    placed = F.zip_with(found, ends, lambda s, at: F.struct(at.alias("at"), s["start"].alias("start")))
+    rest = F.substr(text, (F.array_max(F.transform(found, lambda s: s["end"])) + 1).cast("int"), F.length(text))
+    clean = F.concat(F.array_join(F.transform(_blocks(placed), pieces), ""), rest)
     return docs.withColumn(text_col, F.when(F.size(found) > 0, clean).otherwise(text))
