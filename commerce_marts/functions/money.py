@@ -27,7 +27,12 @@ def money_sum(c: str | Column, scale: int | str = CENTS) -> Column:
     """Exact sum of amounts given in whole units of 1 / ``scale``, or of a decimal type."""
     if isinstance(scale, str):
         return F.sum(as_col(c).cast(scale)).cast("double")
-    return F.sum(in_units(c, scale)).cast("double") / F.lit(float(scale))
+    return units_sum(in_units(c, scale), scale)
+
+
+def units_sum(c: str | Column, scale: int) -> Column:
+    """Sum of whole units of 1 / ``scale`` as an amount."""
+    return F.sum(as_col(c)).cast("double") / F.lit(float(scale))
 
 
 def money_sum_if(cond: Column, c: str | Column, scale: int | str = CENTS) -> Column:

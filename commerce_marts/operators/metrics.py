@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.money import MILLS, as_col, count_if, money_avg, money_sum, pct, ratio
+from ..functions.money import CENTS, MILLS, as_col, count_if, in_units, money_avg, money_sum, pct, ratio, units_sum
 from ..functions.timeutil import day, since
 
 
@@ -122,13 +122,24 @@ def sales_velocity(fact_items: DataFrame) -> DataFrame:
     ).withColumn("daily_velocity", ratio("total_sold", F.greatest("selling_days", F.lit(1))))
 
 
-def product_rollup(fact_items: DataFrame) -> DataFrame:
-    return fact_items.groupBy("product_id").agg(
+def product_rollup(fact_items: DataFrame, parts: int = 8) -> DataFrame:
+    """Units, money, orders and dates of sale per product.
+
+    Orders are counted at their first line in a sort by order, so no task holds a hash table of all pairs of
+    product and order. The orders of a product are dealt to ``parts`` parts, so a common one is shared by tasks.
+    """
+    lines = fact_items.select(
+        "product_id", "order_id", "quantity", "unit_price", "created_at", in_units("line_revenue", CENTS).alias("_revenue"),
+        in_units("line_profit", MILLS).alias("_profit"), F.pmod(F.xxhash64("order_id"), F.lit(parts)).cast("int").alias("_part"),
+    )
+    before = F.lag("order_id").over(Window.partitionBy("product_id", "_part").orderBy("order_id"))
+    first = F.col("order_id").isNotNull() & ~F.col("order_id").eqNullSafe(before)
+    return lines.withColumn("_first", first).groupBy("product_id").agg(
         F.sum("quantity").alias("units_sold"),
-        money_sum("line_revenue").alias("total_revenue"),
-        money_sum("line_profit", MILLS).alias("total_profit"),
+        units_sum("_revenue", CENTS).alias("total_revenue"),
+        units_sum("_profit", MILLS).alias("total_profit"),
         F.round(F.avg("unit_price"), 6).alias("avg_selling_price"),
-        F.countDistinct("order_id").alias("orders_count"),
+        count_if(F.col("_first")).alias("orders_count"),
         F.min("created_at").alias("first_sale"),
         F.max("created_at").alias("last_sale"),
     )

@@ -129,3 +129,19 @@ def test_lake_run_twice_gives_the_same_tables(spark, tmp_path):
     first = spark.read.parquet(f"{root}/curated/sales_daily").orderBy("created_at").collect()
     two = medallion.run_medallion(retail, root, dt.datetime(2001, 8, 2), stop_on_fail=False)
     assert one == two and first == spark.read.parquet(f"{root}/curated/sales_daily").orderBy("created_at").collect()
+
+
+def test_product_rollup_counts_orders_without_a_table_of_pairs(spark):
+    lines = [(1, 1, 2, 1.5), (1, 1, 1, 2.5), (1, 2, 1, 1.0), (1, None, 1, 1.0), (1, None, 1, 1.0), (None, 3, 1, 4.0), (None, 3, 1, 4.0), (2, None, 1, 1.0)]
+    items = spark.createDataFrame([(p, o, q, u, q * u, q * u / 4, day(o or 9)) for p, o, q, u in lines], "product_id long, order_id long, quantity int, unit_price double, line_revenue double, line_profit double, created_at timestamp_ntz")
+    df = metrics.product_rollup(items.repartition(3))
+    assert {r["product_id"]: tuple(r)[1:] for r in df.collect()} == {
+        1: (6, 8.5, 2.125, 1.4, 2, day(1), day(9)), None: (2, 8.0, 2.0, 4.0, 1, day(3), day(3)), 2: (1, 1.0, 0.25, 1.0, 0, day(9), day(9)),
+    }
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Aggregate" in x and "order_id#" in x.split("functions=")[0]]
+
+
+def test_lake_tables_are_packed(spark, tmp_path):
+    assert sinks.write_table(spark.range(5), str(tmp_path / "t")) == 5
+    assert [f.name.endswith(".zstd.parquet") for f in (tmp_path / "t").glob("part-*")] == [True] * len([*(tmp_path / "t").glob("part-*")])
