@@ -45,10 +45,31 @@ def _hay() -> Column:
     return F.lower(F.concat_ws(" ", "name", "category", "description"))
 
 
-def _with_terms(rows: DataFrame, text: Column, terms: DataFrame, carry: list[str]) -> DataFrame:
-    """(id, carry, term) for every term of a query table that a row's text contains."""
-    held = TextIndex(rows, "id", text).counts(cut_lineage(terms.select("term").distinct(), "terms")).select("id", "term")
-    return held.join(rows.select("id", *carry), "id")
+def _scored(products: DataFrame, terms: DataFrame, carry: list[str], k: int) -> DataFrame:
+    """(query, carry, id, name, price, score, met) of the products that can be among the first ``k`` of a query.
+
+    ``terms`` has the points and needs of each query's terms. They depend on the set of asked terms that a product
+    holds, so queries meet these sets, not the products. Of products with the same set the cheaper one
+    comes first under any price cap, so each set keeps its ``k`` cheapest, and as many without a price.
+    """
+    named = products.filter("id IS NOT NULL")
+    texts = named.groupBy("id").agg(F.array_sort(F.collect_list(_hay())).alias("_texts"))
+    classes = cut_lineage(texts.select("_texts").distinct().withColumn("_class", F.monotonically_increasing_id()), "classes")
+    index = TextIndex(classes.select("_class", F.explode("_texts").alias("text")), "_class", "text")
+    held = index.counts(cut_lineage(terms.select("term").distinct(), "terms")).select("_class", "term")
+    marks = cut_lineage(held.groupBy("_class").agg(F.array_sort(F.collect_list("term")).alias("_terms")), "marks")
+    rows = named.groupBy("id", "name", "price").agg(F.count(F.lit(1)).alias("_copies"))
+    rows = rows.join(texts, "id").join(classes, "_texts").join(marks, "_class").withColumn("_free", F.col("price").isNull())
+    heads = top_n(rows.select("_terms", "_copies", "_free", "id", "name", "price"), ["_terms", "_copies", "_free"], [F.asc("price"), F.asc("id")], k)
+    sets = marks.select("_terms").distinct().select("_terms", F.explode("_terms").alias("term")).join(terms, "term")
+    sets = sets.groupBy("query", *carry, "_terms").agg(F.sum("points").alias("_points"), F.sum("need").alias("_need"))
+    score, met = (F.col("_copies") * F.col("_points")).alias("score"), (F.col("_copies") * F.col("_need")).alias("met")
+    return sets.join(heads, "_terms").select("query", *carry, "id", "name", "price", score, met)
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    """The distinct queries, stored: else filters of what is read from a query run on the rows that queries are made of."""
+    return cut_lineage(queries.select("query").distinct(), "asked")
 
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
@@ -59,9 +80,8 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
 def token_match(products: DataFrame, queries: DataFrame, k: int = 6) -> DataFrame:
     """Two points per token of a query found in name, category or description; ``queries`` has one column ``query``."""
     words = F.split(F.trim(F.regexp_replace(F.lower("query"), r"[-_\s]+", " ")), " ")
-    tokens = queries.select("query").distinct().select("query", F.explode(words).alias("term")).filter("term <> ''")
-    hits = _with_terms(products, _hay(), tokens, ["name", "price"]).join(tokens, "term")
-    return _best(hits.groupBy("query", "id", "name", "price").agg((2 * F.count(F.lit(1))).alias("score")), k)
+    tokens = _asked(queries).select("query", F.explode(words).alias("term")).filter("term <> ''")
+    return _best(_scored(products, tokens.withColumns({"points": F.lit(2), "need": F.lit(0)}), [], k), k)
 
 
 def price_limit(query: str | Column = "query") -> Column:
@@ -84,7 +104,7 @@ def attribute_match(products: DataFrame, queries: DataFrame, k: int = 6) -> Data
     point follow by price, and only the cheapest ``k`` of these can be among its first.
     """
     low = F.lower("query")
-    parsed = queries.select("query").distinct().select(
+    parsed = _asked(queries).select(
         "query", price_limit().alias("cap"), F.regexp_replace(_first_named(fv.GARMENTS, low), "s+$", "").alias("garment"), _first_named(fv.COLOURS, low).alias("colour"), low.alias("low")
     )
     point = lambda term, points, need: F.struct(term.alias("term"), F.lit(points).alias("points"), F.lit(need).alias("need"))
@@ -93,8 +113,7 @@ def attribute_match(products: DataFrame, queries: DataFrame, k: int = 6) -> Data
     genders = F.filter(F.array(*[point(F.lit(g), 3, 0) for g in ("men", "women")]), lambda x: F.contains(F.col("low"), x["term"]))
     parsed = parsed.withColumn("needs", F.size(attributes))
     terms = parsed.select("query", "cap", "needs", F.inline(F.concat(tokens, attributes, genders)))
-    scored = _with_terms(products, _hay(), terms, ["name", "price"]).join(terms, "term")
-    scored = scored.groupBy("query", "id", "name", "price", "cap", "needs").agg(F.sum("points").alias("score"), F.sum("need").alias("met"))
+    scored = _scored(products, terms, ["cap", "needs"], k)
     within = F.col("cap").isNull() | (F.col("price") <= F.col("cap"))
     hits = scored.filter((F.col("met") == F.col("needs")) & within).select("query", "id", "name", "price", "score")
     cheap = products.orderBy("price", "id").limit(k).agg(F.collect_list(F.struct("id", "name", "price")).alias("_cheap"))
