@@ -17,12 +17,13 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
 
     Rows are brought together by partition value first, so a partition is not scattered over one
     small file per task. The exchange may be rebalanced, so a large partition is split over tasks.
+    Files are compressed with zstd.
     """
     seen = Observation()
     out = df.observe(seen, F.count(F.lit(1)).alias("rows"))
     if partition_by:
         out = out.hint("rebalance", *[F.col(c) for c in partition_by])
-    writer = out.write.mode(mode).option("maxRecordsPerFile", max_rows)
+    writer = out.write.mode(mode).option("maxRecordsPerFile", max_rows).option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
