@@ -11,6 +11,10 @@ from .onerow import beside
 from .ordered import top_n
 
 
+#: Parts of the pairing for each part of the lines.
+PAIR_PARTS = 16
+
+
 def by_popularity() -> list[Column]:
     return [F.desc("stock"), F.desc("created_at"), F.asc("id")]
 
@@ -20,16 +24,23 @@ def copurchase_counts(items: DataFrame, block: int = 200) -> DataFrame:
 
     The products of an order are dealt to blocks of about ``block`` and blocks are paired, so the
     pairs of one order are made and summed by many tasks, none of which holds more than two blocks
-    of it. Repeated lines count as often as they occur on the partner side.
+    of it. Repeated lines count as often as they occur on the partner side. Two products are summed once
+    for both directions, which are told apart after the sum.
     """
     lines = items.groupBy("order_id", "product_id").agg(F.count(F.lit(1)).alias("lines"))
     sizes = lines.groupBy("order_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
     dealt = lines.join(sizes, "order_id").withColumn("_own", F.pmod(F.xxhash64("product_id"), "_blocks").cast("int"))
     each = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    left = dealt.select("order_id", F.col("_own").alias("_p"), each.alias("_q"), "product_id")
+    left = dealt.select("order_id", F.col("_own").alias("_p"), each.alias("_q"), "product_id", F.col("lines").alias("_back"))
     right = dealt.select("order_id", each.alias("_p"), F.col("_own").alias("_q"), F.col("product_id").alias("other_id"), "lines")
-    pairs = left.join(right, ["order_id", "_p", "_q"]).filter("product_id <> other_id")
-    return pairs.groupBy("product_id", "other_id").agg(F.sum("lines").alias("frequency"))
+    meet = ["order_id", "_p", "_q"]
+    # A task's table of pairs grows with its lines, so parts follow the input and are not merged again.
+    parts = PAIR_PARTS * items.rdd.getNumPartitions()
+    pairs = left.repartition(parts, *meet).join(right.repartition(parts, *meet), meet).filter("product_id < other_id")
+    sums = pairs.groupBy("product_id", "other_id").agg(F.sum("lines").alias("_there"), F.sum("_back").alias("_back"))
+    there = F.struct("product_id", "other_id", F.col("_there").alias("frequency"))
+    back = F.struct(F.col("other_id").alias("product_id"), F.col("product_id").alias("other_id"), F.col("_back").alias("frequency"))
+    return sums.select(F.inline(F.array(there, back)))
 
 
 def copurchase(items: DataFrame, products: DataFrame, k: int = 4, block: int = 200) -> DataFrame:

@@ -58,3 +58,12 @@ def test_category_neighbours_excludes_self(spark):
     for r in recommend.category_neighbours(products, 2).orderBy("product_id", "rank").collect():
         got[r["product_id"]].append(r["other_id"])
     assert got == {0: [1, 2], 1: [0, 2], 2: [0, 1], 3: [0, 1], 4: [0, 1]}
+
+
+def test_copurchase_sums_a_pair_once(spark):
+    """Pairs are made in one direction, in parts that follow the input and are not merged again."""
+    items = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 1), (2, None), (None, 3), (3, 4)], "order_id bigint, product_id bigint").repartition(2)
+    counts = recommend.copurchase_counts(items)
+    assert sorted(map(tuple, counts.collect())) == [(1, 2, 2), (2, 1, 1)]
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "(product_id#" in plan and " < other_id#" in plan and f", {2 * recommend.PAIR_PARTS}" in plan
