@@ -188,7 +188,9 @@ def line_context_search(documents: DataFrame, query: str, around: int = 2, first
 
 def keyword_words(text: str | Column) -> Column:
     """Runs of four or more ASCII letters that are whole words, lower-cased."""
-    return F.filter(F.split(F.lower(as_col(text)), f"[^{WORD_CHARS}]+"), lambda w: w.rlike("^[a-z]{4,}$"))
+    # Other words are matched too, so that each match starts at the start of a word.
+    words = F.regexp_extract_all(F.lower(as_col(text)), F.lit(f"([a-z]{{4,}}+)(?![{WORD_CHARS}])|[{WORD_CHARS}]++"), F.lit(1))
+    return F.array_remove(words, "")
 
 
 def top_keywords(documents: DataFrame, k: int = 20, key: str | None = None) -> DataFrame:

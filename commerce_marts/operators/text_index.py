@@ -1,7 +1,9 @@
 """An inverted index over texts: postings of tokens, and the tokens that hold a search term.
 
 A token is a run of letters, digits and underscores, or a run of other characters that are not all white
-space. Postings have one row for each text and distinct token with its count and positions. A search term
+space. Postings have one row for each block of texts and distinct token, with the block's texts that hold it and
+its count in each. Most tokens of a text are in others too, so there are far fewer such rows than pairs of text and
+token, and the pairs are made for the asked tokens only. A search term
 without a blank lies inside one token, so it is looked for in the vocabulary only: each term meets the tokens that
 share its rarest trigram, and the tokens that hold it lead to the texts by an equality join. A term of several
 tokens is looked up by its words; only texts that hold all of these are read to count it.
@@ -13,8 +15,10 @@ lower case; terms are expected in lower case.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,8 +32,8 @@ WORD_CHARS = r"\p{L}\p{N}_"
 TOKEN = re.compile(r"\w+|\s*[^\w\s][^\w]*")
 #: Characters of the keys under which the vocabulary is found; shorter terms use keys of their own length.
 GRAM = 3
-#: Postings that are sent on at once.
-ROWS = 50_000
+#: Pairs of text and token that end a block.
+PAIRS = 300_000
 
 
 def quoted(term: Column) -> Column:
@@ -53,44 +57,57 @@ def grams(text: Column, size: int) -> Column:
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, token, n, positions from 1) of each text."""
+    """Rows (token, texts) of each block of texts, ``texts`` being (id, n) of those that hold the token."""
 
-    def rows() -> pa.RecordBatch:
-        columns = [pa.array(ids, batch.schema.field(0).type), pa.array(tokens, pa.string()), pa.array(map(len, places), pa.int64()), pa.array(places, pa.list_(pa.int32()))]
-        return pa.RecordBatch.from_arrays(columns, ["id", "token", "n", "positions"])
+    def block(ids: pa.Array, texts: list[int], sizes: list[int], tokens: list[str], counts: list[int]) -> pa.RecordBatch:
+        words = pa.array(tokens, pa.string()).dictionary_encode()
+        codes = words.indices.to_numpy()
+        order = np.argsort(codes, kind="stable")
+        held = pa.StructArray.from_arrays([ids.take(pa.array(np.repeat(texts, sizes)[order])), pa.array(counts, pa.int64()).take(pa.array(order))], ["id", "n"])
+        ends = np.concatenate([[0], np.cumsum(np.bincount(codes))])
+        return pa.RecordBatch.from_arrays([words.dictionary, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held)], ["token", "texts"])
 
     for batch in batches:
-        ids, tokens, places = [], [], []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found: dict[str, list[int]] = {}
-            for m in TOKEN.finditer(text.as_py()):
-                found.setdefault(m.group(), []).append(m.start() + 1)
-            ids += [key] * len(found)
-            tokens += found
-            places += found.values()
-            if len(ids) > ROWS:
-                yield rows()
-                ids, tokens, places = [], [], []
-        if ids:
-            yield rows()
+        ids, texts, sizes, tokens, counts = batch.column(0), [], [], [], []
+        for at, text in enumerate(batch.column(1)):
+            found = Counter(TOKEN.findall(text.as_py()))
+            texts.append(at)
+            sizes.append(len(found))
+            tokens += found.keys()
+            counts += found.values()
+            if len(tokens) > PAIRS:
+                yield block(ids, texts, sizes, tokens, counts)
+                texts, sizes, tokens, counts = [], [], [], []
+        if tokens:
+            yield block(ids, texts, sizes, tokens, counts)
+
+
+def _word_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, term, kind, text) with the positions (from 1) of the term among the tokens in place of the text."""
+    for batch in batches:
+        rows = zip(batch.column(1).to_pylist(), batch.column(3), strict=True)
+        places = [[m.start() + 1 for m in TOKEN.finditer(text.as_py()) if m.group() == term] for term, text in rows]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(places, pa.list_(pa.int32()))], ["id", "term", "kind", "positions"])
 
 
 class TextIndex:
-    """Postings of the texts of a frame, and the trigrams of their tokens, stored in the shared folder.
+    """Postings and vocabulary of the texts of a frame, stored in the shared folder.
 
     ``docs`` has one row for each ``id_col``; rows with a null text have no postings.
     """
 
     def __init__(self, docs: DataFrame, id_col: str, text: str | Column) -> None:
         self.id_col = id_col
-        self.texts = docs.select(F.col(id_col).alias("id"), F.lower(as_col(text)).alias("text")).filter("text IS NOT NULL")
-        schema = T.StructType([
-            T.StructField("id", self.texts.schema["id"].dataType), T.StructField("token", T.StringType()), T.StructField("n", T.LongType()),
-            T.StructField("positions", T.ArrayType(T.IntegerType())),
-        ])
-        self.postings = cut_lineage(dealt(self.texts).mapInArrow(_postings, schema), "postings")
-        self.vocabulary = self.postings.select("token").distinct()
-        self.keys = cut_lineage(self._keys(GRAM), "keys")
+        self.docs = docs.select(F.col(id_col).alias("id"), as_col(text).alias("text")).filter("text IS NOT NULL")
+        pair = T.StructType([T.StructField("id", self.docs.schema["id"].dataType), T.StructField("n", T.LongType())])
+        schema = T.StructType([T.StructField("token", T.StringType()), T.StructField("texts", T.ArrayType(pair))])
+        lowered = self.docs.withColumn("text", F.lower("text"))
+        self.postings = cut_lineage(dealt(lowered).mapInArrow(_postings, schema), "postings")
+        self.vocabulary = cut_lineage(self.postings.select("token").distinct(), "vocabulary")
+
+    def _texts_of(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the texts of their ids; only these are lower-cased."""
+        return rows.join(self.docs, "id").withColumn("text", F.lower("text"))
 
     def _keys(self, size: int) -> DataFrame:
         return self.vocabulary.filter(F.length("token") >= size).select("token", F.explode(grams(F.col("token"), size)).alias("key"))
@@ -99,15 +116,15 @@ class TextIndex:
         """(term, token, hits) for the tokens that hold a term; ``terms`` has distinct, filled terms in ``term``.
 
         The keys of a term are counted in the vocabulary and it is joined by the rarest; a term with a key that
-        no token has is found at once to be in none.
+        no token has is found at once to be in none. Of the vocabulary's keys only those of terms are stored.
         """
         sizes = sorted(r[0] for r in terms.select(F.least(F.length("term"), F.lit(GRAM))).distinct().collect())
         found = None
         for size in sizes:
             some = terms.filter(F.length("term") == size) if size < GRAM else terms.filter(F.length("term") >= GRAM)
             keys = some.select("term", F.explode(grams(F.col("term"), size)).alias("key"))
-            held = self.keys if size == GRAM else self._keys(size)
-            common = held.join(keys.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("tokens"))
+            held = cut_lineage(self._keys(size).join(keys.select("key").distinct(), "key", "left_semi"), "keys")
+            common = held.groupBy("key").agg(F.count(F.lit(1)).alias("tokens"))
             rarest = keys.join(common, "key", "left").groupBy("term").agg(F.min_by("key", F.struct(F.coalesce("tokens", F.lit(0)), "key")).alias("key"))
             part = held.join(rarest, "key").filter(F.contains("token", F.col("term"))).select("term", "token")
             found = part if found is None else found.unionByName(part)
@@ -126,27 +143,29 @@ class TextIndex:
         pieces = F.array_distinct(F.when(F.size(word) > 0, word).otherwise(F.array("term")))
         # A term of one word is its own piece; others are met by all their words first and then read.
         parts = terms.select(F.col("term").alias("asked"), _single("term").alias("single"), F.size(pieces).alias("needed"), F.explode(pieces).alias("term"))
-        at = self.tokens_holding(parts.select("term").distinct()).join(self.postings.select("id", "token", "n"), "token")
-        whole = F.sum(F.when(F.col("token") == F.col("term"), F.col("n")).otherwise(0))
-        held = at.groupBy("id", "term").agg(whole.alias("words"), F.sum(F.col("n") * F.col("hits")).alias("plain")).join(parts, "term")
-        met = held.groupBy("id", F.col("asked").alias("term"), "single", "needed").agg(F.count(F.lit(1)).alias("met"), F.sum("words").alias("words"), F.sum("plain").alias("plain"))
-        met = cut_lineage(met.filter("met = needed").drop("met", "needed"), "met")
-        read = met.filter("NOT single").select("id", "term").join(self.texts, "id")
+        tokens = cut_lineage(self.tokens_holding(parts.select("term").distinct()), "tokens")
+        at = tokens.withColumn("whole", F.col("token") == F.col("term")).join(self.postings, "token").select("term", "whole", "hits", F.inline("texts"))
+        held = at.groupBy("id", "term").agg(F.sum(F.when(F.col("whole"), F.col("n")).otherwise(0)).alias("words"), F.sum(F.col("n") * F.col("hits")).alias("plain"))
+        held = cut_lineage(held, "held")
+        single = held.join(parts.filter("single").select("term"), "term").select("id", "term", "words", "plain")
+        met = held.select("id", "term").join(parts.filter("NOT single"), "term").groupBy("id", F.col("asked").alias("term"), "needed").agg(F.count(F.lit(1)).alias("met"))
+        read = self._texts_of(met.filter("met = needed").select("id", "term"))
         words = F.when(F.contains("term", F.lit(" ")), 0).otherwise(F.regexp_count("text", word_pattern(F.col("term")))).cast("long")
         read = read.select("id", "term", words.alias("words"), plain_count(F.col("text"), F.col("term")).alias("plain")).filter("plain > 0")
-        return met.filter("single").select("id", "term", "words", "plain").unionByName(read).withColumnRenamed("id", self.id_col)
+        return single.unionByName(read).withColumnRenamed("id", self.id_col)
 
     def places(self, found: DataFrame) -> DataFrame:
         """All positions (from 1, sorted) of a term in a text: ``found`` (id, term, kind) with ``positions``.
 
-        Kind 'word' means whole words only; other terms count everywhere. Those of words are in the postings; for
-        other terms the texts of ``found`` are read again.
+        Kind 'word' means whole words only; other terms count everywhere. The texts of ``found`` are read once and
+        stored; those of words are cut into tokens again.
         """
-        found = found.select(F.col(self.id_col).alias("id"), "term", "kind")
+        found = cut_lineage(self._texts_of(found.select(F.col(self.id_col).alias("id"), "term", "kind")), "found")
         known = _single("term") & (F.col("kind") == "word")
-        words = found.filter(known).join(self.postings.select("id", F.col("token").alias("term"), "positions"), ["id", "term"])
+        schema = T.StructType([*found.drop("text").schema.fields, T.StructField("positions", T.ArrayType(T.IntegerType()))])
+        words = found.filter(known).select("id", "term", "kind", "text").mapInArrow(_word_places, schema).filter(F.size("positions") > 0)
         pattern = F.when(F.col("kind") == "word", word_pattern(F.col("term"))).otherwise(quoted(F.col("term")))
-        read = occurrences(found.filter(~known).join(self.texts, "id"), F.col("text"), F.col("term"), ["id", "term", "kind"], pattern)
+        read = occurrences(found.filter(~known), F.col("text"), F.col("term"), ["id", "term", "kind"], pattern)
         # One list is as long as one text has matches, which is what is asked for.
         read = read.groupBy("id", "term", "kind").agg(F.array_sort(F.collect_list(F.col("position").cast("int"))).alias("positions"))
         return words.unionByName(read).withColumnRenamed("id", self.id_col)

@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from commerce_marts.operators.search import keyword_words
 from commerce_marts.operators.text_index import TextIndex
 
 WORDS = ["cat", "scatter", "the", "other", "über", "x_1", "c++", "a.b", "--", "1,200", "東京", "ab", "a", "aaaa", "men's"]
@@ -75,3 +76,19 @@ def test_a_hundred_thousand_terms(spark):
         inside = {w[a:b] for w in text.split() for a in range(len(w)) for b in range(a + 1, len(w) + 1)} | {"ing er"}
         want |= brute([text], inside.intersection(terms)) and {(i, t): v for (_, t), v in brute([text], inside.intersection(terms)).items()}
     assert got == want and len(got) > 5_000
+
+
+def test_postings_grow_with_blocks_not_with_pairs(spark):
+    texts = [f"The cat, the {'dog' if i % 3 else 'c++'} no {i % 5}" for i in range(2_000)]
+    docs = frame(spark, texts).selectExpr("concat('k', document_id) AS document_id", "text").coalesce(2)
+    index = TextIndex(docs, "document_id", "text")
+    assert index.postings.count() < len(texts)  # one row for each text and token would be over five times as many as texts
+    terms = ["the", "cat", "c++", "og", "no 4", "dog no"]
+    got = {(int(r["document_id"][1:]), r["term"]): (r["words"], r["plain"]) for r in index.counts(asked(spark, terms)).collect()}
+    assert got == brute(texts, terms)
+
+
+def test_keywords_are_whole_words(spark):
+    texts = ["Word words_ abc abcd, éclair wxyz2 ABCD-efgh\nnaïve x𐐨yzab 𐐨abcd abcd𐐨 good", "", None, "abcdé fine"]
+    rows = frame(spark, texts).select("document_id", keyword_words("text").alias("words")).orderBy("document_id").collect()
+    assert [r["words"] for r in rows] == [None if t is None else [w for w in re.findall(r"\w+", t.lower()) if re.fullmatch("[a-z]{4,}", w)] for t in texts]
