@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from commerce_marts.llm import embedding_join
 from commerce_marts.llm.embedding_join import near_vectors
 
 
@@ -52,3 +54,59 @@ def test_empty_and_repeated_rows(spark):
     assert near_vectors(spark.createDataFrame([], kind)).count() == 0
     got = near_vectors(spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], kind)).collect()
     assert sorted(tuple(r) for r in got) == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]
+
+
+def test_steps_hold_each_vector_once(spark, monkeypatch):
+    """Neither a stored step nor an exchange may hold a vector for each cell or block that it meets."""
+    rows = [(i, [float(np.float32(e)) for e in v]) for i, v in enumerate(np.random.default_rng(8).standard_normal((400, 32)))]
+    steps, plans, settle = {}, {}, embedding_join.settle
+
+    def seen(frame, name):
+        stored = settle(frame, name)
+        vectors = F.size("n") if "n" in stored.columns and name == "blocks" else F.lit(1)
+        steps[name] = max(steps.get(name, 0), stored.agg(F.coalesce(F.sum(vectors), F.lit(0))).first()[0])
+        plans[name] = frame._jdf.queryExecution().executedPlan().toString()
+        return stored
+
+    monkeypatch.setattr(embedding_join, "settle", seen)
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), cell_rows=20, block_rows=8)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows)
+    assert max(steps.values()) <= 400 and steps["blocks"] == 400
+    assert "Exchange hashpartitioning" not in plans["found"]
+
+
+@pytest.mark.parametrize(("cell_rows", "block_rows", "least"), [(150, 40, 0.9), (100_000, 100_000, 0.9), (300, 100_000, 0.3)])
+def test_leading_directions_lose_no_link(spark, cell_rows, block_rows, least):
+    rng = np.random.default_rng(9)
+    centre = rng.standard_normal((5, 48))
+    rows = [(i, rng.standard_normal(48)) for i in range(500)]
+    rows += [(500 + i, centre[i % 5] + rng.standard_normal(48) * 0.33) for i in range(300)]
+    rows += [(800 + i, centre[0] + rng.standard_normal(48) * 0.01) for i in range(200)]
+    # Numbers that single precision cannot hold, far beyond its range, and at the limit from both sides.
+    rows = [(i, v if i % 4 else v * 1e200) for i, v in rows]
+    x = np.eye(48)[0]
+    rows += [(2000 + k, least * x + np.sqrt(1 - least**2) * np.eye(48)[1 + k] * s) for k, s in enumerate((1 - 1e-9, 1 + 1e-9, 1 - 1e-6, 1 + 1e-6))] + [(2100, x)]
+    rows += [(3000 + i, rows[520][1]) for i in range(40)]
+    rows = [(i, [float(e) for e in v]) for i, v in rows]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), least, cell_rows=cell_rows, block_rows=block_rows)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, least)
+
+
+def test_links_of_blocks_wider_than_a_step():
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((700, 32))
+    x[::7] = x[0] + rng.standard_normal((100, 32)) * 0.02
+    unit = embedding_join._unit(x)
+    links = unit @ unit.T >= 0.9
+    lead = embedding_join._directions(unit, 0.5)
+    for directions in (None, lead, np.linalg.qr(rng.standard_normal((32, 15)))[0].astype(np.float32)):
+        whole = embedding_join._Block(np.frombuffer(x.tobytes(), np.uint8), 700, 32, directions, 1e-5)
+        for step, width in ((128, 4096), (16, 64)):
+            with pytest.MonkeyPatch.context() as patch:
+                patch.setattr(embedding_join, "STEP", step)
+                patch.setattr(embedding_join, "WIDTH", width)
+                own = np.concatenate([np.stack(p, 1) for p in embedding_join._links(whole, whole, True, 0.9, 1e-5)])
+                part = whole.take(np.arange(0, 699, 2))
+                both = np.concatenate([np.stack(p, 1) for p in embedding_join._links(part, whole, False, 0.9, 1e-5)])
+            assert sorted(map(tuple, own)) == [*zip(*np.nonzero(np.triu(links, 1)), strict=True)]
+            assert sorted(map(tuple, both)) == [*zip(*(lambda a, b: (a * 2, b))(*np.nonzero(links[0:699:2])), strict=True)]
